@@ -15,7 +15,6 @@ from ledgerline.operators.calendar import rebalance_dates
 from ledgerline.operators.intervals import era_at, member_panel
 from ledgerline.operators.shares import split_factor
 
-BY_TICKER = Window.partitionBy("ticker")
 # What a live quote of a company looks like.
 US_EXCHANGES = ("NMS", "NYQ", "NGM", "NCM", "ASE", "PCX", "BTS")
 PLACEHOLDER_EXCHANGES, PLACEHOLDER_TYPES = ("YHD",), ("MUTUALFUND", "NONE")
@@ -23,7 +22,7 @@ PLACEHOLDER_EXCHANGES, PLACEHOLDER_TYPES = ("YHD",), ("MUTUALFUND", "NONE")
 
 def move(price: str = "adj_close") -> Column:
     """How many times a price moved since the row before, up or down."""
-    last = F.lag(price).over(BY_TICKER.orderBy("date"))
+    last = F.lag(price).over(Window.partitionBy("ticker").orderBy("date"))
     return F.greatest(ratio(F.col(price), last), ratio(last, F.col(price)))
 
 
@@ -45,7 +44,7 @@ def clean_daily(daily: DataFrame, membership: DataFrame, glitch: float = 2.0, co
     reused = first.join(span, "ticker").where("m_end is not null and first_print > m_end").select("ticker")
     fresh = daily.join(reused, "ticker", "left_anti")
 
-    order = BY_TICKER.orderBy("date")
+    order = Window.partitionBy("ticker").orderBy("date")
     up = F.signum(F.col("adj_close") - F.lag("adj_close").over(order))
     moved = fresh.withColumns({"__x": move(), "__up": up})
     back = moved.withColumns({"__x1": F.lead("__x").over(order), "__up1": F.lead("__up").over(order)})
@@ -87,7 +86,7 @@ def monthly_returns(daily: DataFrame, lag_days: int, start: date, end: date) ->
     """
     when = rebalance_dates(daily, lag_days, start, end).withColumn("t_next", F.lead("t_exec").over(Window.orderBy("month")))
     rows = dense(monthly_prices(daily, lag_days, start, end).drop("t", "t_exec")).join(F.broadcast(when), "month")
-    order = BY_TICKER.orderBy("month")
+    order = Window.partitionBy("ticker").orderBy("month")
     rows = rows.withColumns({"__me1": F.lead("px_me").over(order), "__ex1": F.lead("px_exec").over(order)})
     rows = asof_backward(rows, daily.select("ticker", F.col("date").alias("last_date"), F.col("adj_close").alias("last_px")), ["ticker"], "t_next", "last_date", ["last_date", "last_px"])
     whole = ratio("__ex1", "px_exec") - 1
@@ -101,7 +100,7 @@ def monthly_returns(daily: DataFrame, lag_days: int, start: date, end: date) ->
 
 def daily_returns(daily: DataFrame) -> DataFrame:
     """(date, ticker, ret): each print over the one before it."""
-    return daily.select("date", "ticker", (ratio(F.col("adj_close"), F.lag("adj_close").over(BY_TICKER.orderBy("date"))) - 1).alias("ret"))
+    return daily.select("date", "ticker", (ratio(F.col("adj_close"), F.lag("adj_close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).alias("ret"))
 
 
 def coverage(membership: DataFrame, monthly: DataFrame, start: date, end: date) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +117,7 @@ def coverage(membership: DataFrame, monthly: DataFrame, start: date, end: date)
 def month_end_returns(daily: DataFrame) -> DataFrame:
     """(ticker, month, ret) of the last print of each calendar month."""
     last = daily.groupBy("ticker", F.last_day("date").alias("month")).agg(F.max_by("adj_close", "date").alias("px"))
-    return last.select("ticker", "month", (ratio(F.col("px"), F.lag("px").over(BY_TICKER.orderBy("month"))) - 1).alias("ret"))
+    return last.select("ticker", "month", (ratio(F.col("px"), F.lag("px").over(Window.partitionBy("ticker").orderBy("month"))) - 1).alias("ret"))
 
 
 def reconcile_sources(ours: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:

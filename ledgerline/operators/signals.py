@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import clip, finite, ratio
 from ledgerline.operators.prices import dense
 
-BY_TICKER = Window.partitionBy("ticker")
-
 
 def momentum(monthly: DataFrame, back: int = 12, skip: int = 1) -> DataFrame:
     """(month, ticker, value): the return from ``back`` to ``skip`` months ago, on a grid without gaps."""
-    order = BY_TICKER.orderBy("month")
+    order = Window.partitionBy("ticker").orderBy("month")
     rows = dense(monthly.select("month", "ticker", "px_me")).withColumn("value", ratio(F.lag("px_me", skip).over(order), F.lag("px_me", back).over(order)) - 1)
     return rows.where("value is not null and px_me is not null").select("month", "ticker", "value")
 
@@ -25,7 +23,7 @@ def volatility(returns: DataFrame, month_ends: DataFrame, window: int = 252, sha
 
     Rows without a return are no part of a window; it needs ``share`` of its rows.
     """
-    frame = BY_TICKER.orderBy("date").rowsBetween(-(window - 1), 0)
+    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(window - 1), 0)
     rows = returns.where("ret is not null").withColumns({"__sd": F.stddev_samp("ret").over(frame), "__n": F.count("ret").over(frame)})
     rows = rows.join(F.broadcast(month_ends.select("month", F.col("t").alias("date"))), "date")
     return rows.where(F.col("__n") >= int(window * share)).select("month", "ticker", (-(252**0.5) * F.col("__sd")).alias("value")).where("value is not null")
@@ -33,7 +31,7 @@ def volatility(returns: DataFrame, month_ends: DataFrame, window: int = 252, sha
 
 def beta(returns: DataFrame, market: DataFrame, month_ends: DataFrame, window: int = 252, share: float = 0.8) -> DataFrame:
     """(month, ticker, value): minus the slope on the market's returns (date, mkt)."""
-    frame = BY_TICKER.orderBy("date").rowsBetween(-(window - 1), 0)
+    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(window - 1), 0)
     rows = returns.where("ret is not null").join(market, "date").withColumns({"__c": F.covar_samp("ret", "mkt").over(frame), "__v": F.var_samp("mkt").over(frame), "__n": F.count("*").over(frame)})
     rows = rows.join(F.broadcast(month_ends.select("month", F.col("t").alias("date"))), "date")
     return rows.where(F.col("__n") >= int(window * share)).select("month", "ticker", (-ratio("__c", "__v")).alias("value")).where("value is not null")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import month_after
 from ledgerline.functions.numbers import finite, ratio
+from ledgerline.sources.store import settled
 
 
 def assign_deciles(z: DataFrame, n: int) -> DataFrame:
@@ -51,11 +52,10 @@ def backtest(z: DataFrame, returns: DataFrame, n_deciles: int, cost: float, hold
     size = F.count("*").over(Window.partitionBy("month"))
     scored = z.where(finite("z")).withColumn("__n", size).where(F.col("__n") >= min_names).drop("__n")
     scored = scored.join(returns.where("ret_fwd is not null").select("month").distinct(), "month", "left_semi")
-    # read by several branches below: kept in memory or on executors' disks, computed again if lost
-    target = weights(assign_deciles(scored, n_deciles), caps).persist()
+    target = settled(weights(assign_deciles(scored, n_deciles), caps), "target")
     # one row a month: a bounded sort
     months = target.select("month").distinct().withColumn("j", (F.row_number().over(Window.orderBy("month")) - 1).cast("long"))
-    months = months.withColumn("block", F.floor(F.col("j") / holding)).persist()
+    months = settled(months.withColumn("block", F.floor(F.col("j") / holding)), "months")
     firsts = target.join(months.where(F.col("j") % holding == 0), "month").select("ticker", "decile", "w", "block")
     held = months.select("month", "j", "block").join(firsts, "block").join(returns.select("month", "ticker", F.col("ret_fwd").alias("ret")), ["month", "ticker"], "left")
     path = Window.partitionBy("decile", "ticker", "block").orderBy("j")
@@ -63,7 +63,7 @@ def backtest(z: DataFrame, returns: DataFrame, n_deciles: int, cost: float, hold
     leg = Window.partitionBy("j", "decile")
     held = held.withColumn("__g", F.col("w") * growth).withColumn("__t", F.sum("__g").over(leg)).withColumn("w_in", F.when(F.col("__t") > 0, F.col("__g") / F.col("__t")).otherwise(F.col("w")))
     held = held.withColumn("__h", F.col("w_in") * (1 + F.coalesce("ret", F.lit(0.0)))).withColumn("__u", F.sum("__h").over(leg)).withColumn("w_out", F.when(F.col("__u") > 0, F.col("__h") / F.col("__u")).otherwise(F.col("w_in")))
-    held = held.select("month", "j", "block", "decile", "ticker", "ret", "w_in", "w_out").persist()
+    held = settled(held.select("month", "j", "block", "decile", "ticker", "ret", "w_in", "w_out"), "held")
     priced = F.when(F.col("ret").isNotNull(), F.col("w_in"))
     earned = held.groupBy("month", "j", "block", "decile").agg(F.count("*").alias("n"), F.coalesce(ratio(F.sum(priced * F.col("ret")), F.sum(priced)), F.lit(0.0)).alias("ret_gross"))
     # weights at the end of a block meet those at the start of the next

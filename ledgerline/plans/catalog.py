@@ -17,6 +17,7 @@ from ledgerline.operators import audit, calendar, facts, intervals, portfolio, p
 from ledgerline.operators.asof import asof_backward, asof_forward, first_filed, known_by
 from ledgerline.plans.oracles import ORACLES
 from ledgerline.sources import market
+from ledgerline.sources.store import settled
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
@@ -38,8 +39,8 @@ def r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def kept(f: Callable[[Market], DataFrame]) -> cached_property:
-    """An input that a plan reads several times: computed once, in memory or on executors' disks, and again if one is lost."""
-    return cached_property(lambda self: f(self).persist())
+    """An input that a plan reads several times: written once for a query."""
+    return cached_property(lambda self: settled(f(self), f.__name__))
 
 
 class Market:

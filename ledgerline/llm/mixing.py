@@ -3,15 +3,20 @@
 Token weights are summed in the cells of the margins' categories. The cells are
 bounded by the targets, not by the data: a value without a target of its own
 falls under ``"*"``. Raking scales the cells until each margin has its target
-shares; a cell's calibrated probability is its raking factor over the largest
-one, so the expected sample has the target shares and is as large as it can be
-without repeating a document. A document's draw depends on its id alone.
+shares of the sample, whose size is a share of all tokens. No cell gives more
+tokens than it has: a category too scarce for its target gives all it has, and
+the others of its margin share what is missing in proportion. A cell's calibrated
+probability is its raked weight over its tokens. A document's draw depends on its
+id alone.
+
+Where the margins contradict each other once cells are full, the sample comes as
+near to them as ``ROUNDS`` rounds bring it, the last margin nearest.
 
 Edge cases: null category values fall under ``"*"``; without ``"*"`` in a margin
-such rows get probability 0; null or empty text weighs 0 tokens; categories that
-hold no tokens give up their target share to the others in proportion; repeated
-rows are drawn alike; a null id draws 0 and so stays wherever its cell has any
-probability; an empty table stays empty; other columns are carried along.
+such rows get probability 0; null or empty text weighs 0 tokens, and a cell
+without tokens has probability 0; repeated rows are drawn alike; a null id draws 0
+and so stays wherever its cell has any probability; an empty table stays empty;
+other columns are carried along.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import types as T
 
 OTHER = "*"
 ROUNDS = 50
+#: Tokens of the sample over all tokens.
+SIZE = 0.5
 Targets = dict[str, dict[str, float]]
 
 
@@ -49,20 +56,37 @@ def draw(id_: Column, seed: int) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13)), F.lit(0.0))
 
 
-def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """The cells scaled, margin by margin, to the shares of their total."""
-    out = cells.astype(float) / max(cells.sum(), 1)
+def attainable(shares: np.ndarray, tokens: np.ndarray, size: float) -> np.ndarray:
+    """Tokens that each category of a margin gives: ``size`` in the ratio of ``shares``, none more than it has.
+
+    With the scarcest first, the level that the others share follows from each
+    count of categories which give all they have; the highest of these is right.
+    """
+    open_ = (shares > 0) & (tokens > 0)
+    if not open_.any():
+        return np.zeros(len(shares))
+    s, t = shares[open_], tokens[open_]
+    order = np.argsort(t / s, kind="stable")
+    s, t = s[order], t[order]
+    left, room = size - (np.cumsum(t) - t), np.cumsum(s[::-1])[::-1]
+    return np.where(open_, np.minimum(tokens, shares * (left / room).max()), 0.0)
+
+
+def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int = ROUNDS, size: float = SIZE) -> np.ndarray:
+    """The tokens that each cell gives to a sample of ``size`` of all, margin by margin at its shares."""
+    cells = cells.astype(float)
+    out, total = cells * size, size * cells.sum()
+    rest = [tuple(a for a in range(cells.ndim) if a != axis) for axis in range(cells.ndim)]
+    wants = [attainable(want, cells.sum(axis=others), total) for want, others in zip(shares, rest, strict=True)]
     for _ in range(rounds):
-        for axis, want in enumerate(shares):
-            rest = tuple(a for a in range(out.ndim) if a != axis)
-            have = out.sum(axis=rest)
-            want = np.where(have > 0, want, 0)
-            factor = np.divide(want / max(want.sum(), 1e-300), have, out=np.zeros_like(have), where=have > 0)
-            out = out * factor.reshape([-1 if a == axis else 1 for a in range(out.ndim)])
+        for axis, (want, others) in enumerate(zip(wants, rest, strict=True)):
+            have = out.sum(axis=others)
+            factor = np.divide(want, have, out=np.zeros_like(have), where=have > 0)
+            out = np.minimum(cells, out * factor.reshape([-1 if a == axis else 1 for a in range(out.ndim)]))
     return out
 
 
-def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int = ROUNDS) -> DataFrame:
+def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int = ROUNDS, size: float = SIZE) -> DataFrame:
     """A row for each cell: its categories and ``probability``. At most the product of the targets' lengths."""
     names = list(targets)
     keys = [list(targets[m]) + ([] if OTHER in targets[m] else [OTHER]) for m in names]
@@ -71,16 +95,15 @@ def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int =
     cells = np.zeros([len(k) for k in keys])
     for r in sums:
         cells[tuple(k.index(r[m]) for m, k in zip(names, keys, strict=True))] = r["tokens"] or 0
-    raked = rake(cells, shares, rounds)
-    factor = np.divide(raked, cells, out=np.zeros_like(raked), where=cells > 0)
-    p = factor / factor.max() if factor.max() > 0 else factor
+    raked = rake(cells, shares, rounds, size)
+    p = np.divide(raked, cells, out=np.zeros_like(raked), where=cells > 0)
     rows = [(*(k[i] for k, i in zip(keys, at, strict=True)), float(p[at])) for at in np.ndindex(*p.shape)]
     return docs.sparkSession.createDataFrame(rows, T.StructType([*(T.StructField(f"__{m}", T.StringType()) for m in names), T.StructField("probability", T.DoubleType())]))
 
 
-def mix(docs: DataFrame, targets: Targets, tokens: str, seed: int = 1, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets, tokens: str, seed: int = 1, id_col: str = "doc_id", rounds: int = ROUNDS, size: float = SIZE) -> DataFrame:
     """``docs`` with ``probability`` and ``sampled``; margins are columns named by ``targets``."""
-    table = F.broadcast(probabilities(docs, targets, tokens, rounds))  # its size is that of the targets
+    table = F.broadcast(probabilities(docs, targets, tokens, rounds, size))  # its size is that of the targets
     keyed = docs
     for m in targets:
         keyed = keyed.withColumn(f"__{m}", category(F.col(m), targets[m]))

@@ -150,21 +150,30 @@ def _rake_sql(rounds: int) -> str:
     groups = [f"CASE WHEN {m} IN ({', '.join(repr(k) for k in t if k != '*')}) THEN {m} ELSE '*' END AS g_{m}" for m, t in TARGETS.items()]
     shares = [f"CASE g_{m} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " ELSE 0 END" for m, t in TARGETS.items()]
     keys = ", ".join(f"g_{m}" for m in names)
+    own = ", ".join(f"({share})::DOUBLE AS s_{m}" for m, share in zip(names, shares, strict=True))
+    kept = f"{keys}, cell, " + ", ".join(f"t_{m}" for m in names)
     out = [f"""WITH t AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS n_digits FROM documents),
 d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_symbols * 10 > n_tokens THEN 'markup' WHEN n_digits * 10 > n_tokens THEN 'figures' ELSE 'prose' END AS topic FROM t),
 g AS (SELECT *, {", ".join(groups)} FROM d),
 c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS cell FROM g GROUP BY ALL),
-r0 AS (SELECT *, cell AS w FROM c WHERE cell > 0)"""]
+s AS (SELECT *, {own} FROM c WHERE cell > 0),
+z AS (SELECT {mixing.SIZE} * sum(cell) AS size FROM c)"""]
+    for m in names:
+        out.append(f"""k_{m} AS (SELECT g_{m}, s_{m} AS share, sum(cell) AS tokens FROM s GROUP BY ALL),
+l_{m} AS (SELECT max((size - coalesce(before, 0)) / room) AS level FROM (SELECT size, sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  sum(share) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS room FROM k_{m}, z WHERE share > 0 WINDOW o AS (ORDER BY tokens / share, g_{m}))),
+t_{m} AS (SELECT g_{m}, coalesce(least(tokens, share * level), 0.0) AS t_{m} FROM k_{m}, l_{m})""")
+    out.append(f"r0 AS MATERIALIZED (SELECT s.*, {', '.join(f't_{m}' for m in names)}, cell * {mixing.SIZE} AS w FROM s " + " ".join(f"JOIN t_{m} USING (g_{m})" for m in names) + ")")
     step = 0
     for _ in range(rounds):
-        for m, share in zip(names, shares, strict=True):
-            present = f"(SELECT sum({share}) FROM (SELECT DISTINCT g_{m} FROM r0))"
-            out.append(f"r{step + 1} AS MATERIALIZED (SELECT {keys}, cell, w * ({share}) / {present} / sum(w) OVER (PARTITION BY g_{m}) AS w FROM r{step})")
+        for m in names:
+            total = f"sum(w) OVER (PARTITION BY g_{m})"
+            out.append(f"r{step + 1} AS MATERIALIZED (SELECT {kept}, CASE WHEN {total} > 0 THEN least(cell, w * t_{m} / {total}) ELSE 0.0 END AS w FROM r{step})")
             step += 1
     on = " AND ".join(f"g.g_{m} = f.g_{m}" for m in names)
     return ",\n".join(out) + f""",
-f AS (SELECT {keys}, (w / cell) / max(w / cell) OVER () AS p FROM r{step})
+f AS (SELECT {keys}, w / cell AS p FROM r{step})
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 0.0), 6) AS probability,
   ('0x' || substr(md5(doc_id::VARCHAR || ':1'), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(p, 0.0) AS sampled
 FROM g LEFT JOIN f ON {on}"""

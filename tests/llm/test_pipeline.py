@@ -72,7 +72,8 @@ def test_stages_in_turn(stages, documents):
     want = [d for d in want if d[0] in first]
     assert plain(stages[2]) == want
     mixed = plain(stages[3])
-    assert 0 < len(mixed) <= len(want) and set(mixed) <= set(want)
+    tokens = lambda some: sum(len((t or "").split()) for _, t, *_ in some)
+    assert set(mixed) <= set(want) and abs(tokens(mixed) / tokens(want) - mixing.SIZE) < 0.2
     check_pieces(rows(stages[4]), mixed)
     for s in stages[:4]:
         assert s.columns == P.COLUMNS
@@ -87,6 +88,29 @@ def test_mixture_has_the_target_shares(spark):
     assert abs(share - 0.3) < 0.02 and abs(langs["en"] / len(kept) - 0.4) < 0.02 and abs(langs["de"] / len(kept) - 0.3) < 0.02
 
 
+def test_scarce_category_gives_all_it_has(spark):
+    docs = [(i, "src0" if i % 2 else "src1", "markup" if i < 30 else "prose", 10) for i in range(10_000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, topic string, n long")
+    targets = {"source": {"src0": 0.3, "*": 0.7}, "topic": {"prose": 0.9, "markup": 0.1}}
+    kept = rows(mixing.mix(df, targets, "n").where("sampled").select("source", "topic"))
+    assert Counter(t for _, t in kept)["markup"] == 30 and abs(len(kept) / len(docs) - 0.5) < 0.02
+    assert abs(Counter(s for s, _ in kept)["src0"] / len(kept) - 0.3) < 0.02
+
+
+def test_attainable_weights_equal_a_search():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for size in (1.0, 30.0, 200.0, 1e6):
+        shares, tokens = rng.random(6) * [1, 1, 0, 1, 1, 1], rng.random(6) * [1, 100, 10, 0, 10, 50]
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.minimum(tokens, shares * middle).sum() < size else (low, middle)
+        assert np.allclose(mixing.attainable(shares, tokens, size), np.minimum(tokens * (shares > 0), shares * high))
+    assert not mixing.attainable(np.ones(3), np.zeros(3), 0.0).any()
+
+
 def test_run_equals_the_stages(spark, stages):
     assert sorted(rows(P.run(spark, SF))) == sorted(rows(stages[-1]))
 

@@ -218,3 +218,18 @@ def score_coverage(z: DataFrame, members: DataFrame) -> DataFrame:
     """(coverage): the median over months of members with a score over members."""
     rows = members.join(z.where(finite("z")).select("month", "ticker", F.lit(1).alias("__z")), ["month", "ticker"], "left")
     return rows.groupBy("month").agg((F.count("__z") / F.count("*")).alias("share")).agg(F.median("share").alias("coverage"))
+
+
+def block_correlations(ls: DataFrame, factors: DataFrame, factor: str, blocks: list[tuple[int, int]], ret: str = "ret_gross", least: int = 3) -> DataFrame:
+    """(block, n, corr) over all months and over blocks of years, both ends included, by the month of earning; null under ``least`` months."""
+    rows = to_month_earned(ls.select("month", F.col(ret).alias("__r"))).join(factors.select("month", F.col(factor).alias("__f")), "month").dropna(subset=["__r", "__f"])
+    ranges = {"all": F.lit(True), **{f"{a}-{b}": F.year("month").between(a, b) for a, b in blocks}}
+    within = F.explode(F.array_compact(F.array(*(F.when(held, F.lit(name)) for name, held in ranges.items()))))
+    return rows.withColumn("block", within).groupBy("block").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("__r", "__f")).alias("corr"))
+
+
+def coverage_split(ls: DataFrame, coverage: DataFrame, max_gap_pct: float = 15.0, value: str = "ret_net") -> DataFrame:
+    """(months, n, sharpe) of all months and of the months whose price gap is small."""
+    good = coverage.where(F.col("gap_pct") <= max_gap_pct).select("month", F.lit("covered").alias("__c"))
+    within = F.explode(F.array_compact(F.array(F.lit("all"), F.col("__c"))))
+    return ls.join(good, "month", "left").withColumn("months", within).groupBy("months").agg(F.count(value).alias("n"), sharpe(value).alias("sharpe"))

@@ -784,6 +784,16 @@ def rank_terciles(m: Market) -> DataFrame:
     return stats.terciles(m.z, "z").select("month", "ticker", "tercile")
 
 
+@query
+def fit_by_years(m: Market) -> DataFrame:
+    return r(stats.block_correlations(m.spread, m.factors, "mkt_rf", [(1995, 1996), (1997, 1998), (1999, 2001)]), "corr")
+
+
+@query
+def sharpe_by_coverage(m: Market) -> DataFrame:
+    return r(stats.coverage_split(m.spread, prices.coverage(m.members, m.monthly, CFG.start, CFG.end)[0]), "sharpe")
+
+
 @query
 def score_coverage(m: Market) -> DataFrame:
     return r(stats.score_coverage(m.z, m.panel), "coverage")

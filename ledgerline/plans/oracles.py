@@ -382,6 +382,10 @@ _BODIES: dict[str, str] = {
     "recessions": """SELECT min(month) AS first, max(month) AS last FROM (SELECT month, f, sum(turn) OVER (ORDER BY month) AS run FROM (SELECT month, f, (f <> coalesce(lag(f) OVER (ORDER BY month), -1))::INTEGER AS turn FROM (SELECT month, (mkt_rf > 0)::INTEGER AS f FROM factors))) WHERE f = 1 GROUP BY run""",
     "rank_terciles": "SELECT month, ticker, least(floor((rank() OVER (PARTITION BY month ORDER BY z) + (count(*) OVER (PARTITION BY month, z) - 1) / 2 - 0.5::DOUBLE) / count(*) OVER (PARTITION BY month) * 3)::INTEGER + 1, 3)::INTEGER AS tercile FROM z",
     "score_coverage": "SELECT round(median(s), 6) AS coverage FROM (SELECT month, count(z)::DOUBLE / count(*) AS s FROM panel LEFT JOIN z USING (month, ticker) GROUP BY 1)",
+    "fit_by_years": """SELECT block, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(ret_gross, mkt_rf), 6) END AS corr FROM ls l JOIN factors f ON f.month = last_day((l.month + INTERVAL 1 MONTH)::DATE)
+      JOIN (VALUES ('all', 0, 9999), ('1995-1996', 1995, 1996), ('1997-1998', 1997, 1998), ('1999-2001', 1999, 2001)) b(block, a, z) ON year(f.month) BETWEEN a AND z WHERE ret_gross IS NOT NULL AND mkt_rf IS NOT NULL GROUP BY 1""",
+    "sharpe_by_coverage": """SELECT months, count(ret_net) AS n, round(CASE WHEN stddev_samp(ret_net) > 0 THEN avg(ret_net) / stddev_samp(ret_net) * sqrt(12) END, 6) AS sharpe FROM
+      (SELECT 'all' AS months, ret_net FROM ls UNION ALL SELECT 'covered', ret_net FROM ls SEMI JOIN (SELECT month FROM coverage WHERE gap_pct <= 15) USING (month)) GROUP BY 1""",
     "near_values": "SELECT o_orderkey, abs(o_totalprice / 1000 / 200 - 1) <= 0.15 AS near, NOT (o_totalprice / 1000 BETWEEN 50 AND 300) AS outside FROM orders",
     "spec_rows": """SELECT "timestamp", factor, kind, sector_neutral, variant, spec_key, note FROM speclog""",
     "spec_counts": "SELECT coalesce(kind, 'all') AS kind, count(*) AS rows, count(DISTINCT spec_key) AS trials FROM speclog GROUP BY ROLLUP (kind)",

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "rebalance", "member_counts", "exclusion_log", "cik_eras", "reconcile_aliases", "override_starts", "adjudicated_starts", "membership_walk", "clean_log", "monthly_returns", "price_coverage", "removed_names", "price_levels", "preferred_tags",
     "facts_known", "trailing_year", "panel_long", "fundamental_signals", "share_counts", "float_checks", "tag_coverage", "amendments", "sic_sectors", "sector_agreement", "clean_names", "page_words", "filing_similarity", "text_signal",
-    "volatility", "sector_scores", "cap_weights", "long_short", "rank_terciles", "spec_counts", "spec_status", "build_differences", "missing_classes",
+    "volatility", "sector_scores", "cap_weights", "long_short", "rank_terciles", "spec_counts", "spec_status", "build_differences", "missing_classes", "fit_by_years", "sharpe_by_coverage",
 ]
 
 

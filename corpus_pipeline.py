@@ -37,11 +37,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: the one with the smallest id, and of rows that share it one."""
-    classes = ngram_join.similar_classes(docs.select("doc_id", "text"))
-    first = classes.where("component_id <=> doc_id").select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near-copies: the one with the smallest id, null ids last.
+
+    A row goes by its id, a digest of its text and its other columns, so that rows
+    which share an id, or have none, are each judged by their own text; of wholly
+    equal rows one stays. Texts without words are near-copies of nothing, and all stay.
+    """
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), *others)
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    classes = ngram_join.similar_classes(keyed, id_col="key")
+    first = classes.where("component_id <=> doc_id").groupBy(F.col("doc_id").alias("key")).agg(F.max("n_shingles").alias("n"))
+    kept = keyed.alias("d").join(first.alias("f"), F.col("d.key").eqNullSafe(F.col("f.key"))).select("d.*", "n")
+    own = F.when(F.col("n") == 0, F.monotonically_increasing_id())
+    return kept.withColumn("own", own).dropDuplicates(["key", "own"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

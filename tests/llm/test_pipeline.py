@@ -79,6 +79,22 @@ def test_stages_in_turn(stages, documents):
         assert s.columns == P.COLUMNS
 
 
+def test_near_copies_with_shared_and_null_ids(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    docs = [
+        (3, text("x"), "en", "s", 1), (5, text("a"), "en", "s", 1), (5, text("x") + " more", "en", "s", 1), (5, text("a"), "en", "s", 1), (5, text("a"), "de", "s", 1), (7, text("a"), "en", "s", 1),
+        (None, text("b"), "en", "s", 1), (None, text("c"), "en", "s", 1), (None, text("c") + " more", "en", "s", 1), (None, text("x"), "en", "s", 1),
+        (8, "\n", "en", "s", 1), (8, "\n", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = rows(P.drop_near_copies(spark, df, SF))
+    whole = [d for d in kept if d[1] and len(d[1]) > 1]
+    assert sorted(d[:3] for d in whole if d[0] is not None) == [(3, text("x"), "en"), (5, text("a"), "de")]
+    nulls = [d[1] for d in whole if d[0] is None]
+    assert len(nulls) == 2 and text("b") in nulls and set(nulls) & {text("c"), text("c") + " more"}
+    assert sorted(map(str, (d for d in kept if d not in whole))) == sorted(map(str, docs[-4:]))
+
+
 def test_mixture_has_the_target_shares(spark):
     docs = [(i, "a b c", f"src{i % 7 % 3}", ["en", "de", "fr", "es"][i % 4], "prose") for i in range(20_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, topic string").withColumn("n", mixing.word_count(mixing.F.col("text")))

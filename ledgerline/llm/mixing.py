@@ -2,7 +2,8 @@
 
 Token weights are summed in the cells of the margins' categories. The cells are
 bounded by the targets, not by the data: a value without a target of its own
-falls under ``"*"``. Raking scales the cells until each margin has its target
+falls under ``"*"``; a margin without ``"*"`` leaves such values the share they
+have of all tokens, and its targets divide the rest. Raking scales the cells until each margin has its target
 shares of the sample, whose size is a share of all tokens. No cell gives more
 tokens than it has: a category too scarce for its target gives all it has, and
 the others of its margin share what is missing in proportion. A cell's calibrated
@@ -12,8 +13,7 @@ id alone.
 Where the margins contradict each other once cells are full, the sample comes as
 near to them as ``ROUNDS`` rounds bring it, the last margin nearest.
 
-Edge cases: null category values fall under ``"*"``; without ``"*"`` in a margin
-such rows get probability 0; null or empty text weighs 0 tokens, and a cell
+Edge cases: null category values fall under ``"*"``; null or empty text weighs 0 tokens, and a cell
 without tokens has probability 0; repeated rows are drawn alike; a null id draws 0
 and so stays wherever its cell has any probability; an empty table stays empty;
 other columns are carried along.
@@ -86,15 +86,28 @@ def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int = ROUNDS, size
     return out
 
 
+def with_unnamed(shares: dict[str, float], keys: list[str], tokens: np.ndarray) -> np.ndarray:
+    """The shares of ``keys``, which have ``tokens``; values without a target keep their part of all tokens if there is no ``"*"``."""
+    out = np.array([shares.get(k, 0.0) for k in keys])
+    if OTHER not in shares:
+        at = keys.index(OTHER)
+        named = tokens.sum() - tokens[at]
+        if named > 0 and out.any():
+            out[at] = out.sum() * tokens[at] / named
+        else:
+            out[at] = 1.0
+    return out
+
+
 def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int = ROUNDS, size: float = SIZE) -> DataFrame:
     """A row for each cell: its categories and ``probability``. At most the product of the targets' lengths."""
     names = list(targets)
     keys = [list(targets[m]) + ([] if OTHER in targets[m] else [OTHER]) for m in names]
-    shares = [np.array([targets[m].get(k, 0.0) for k in ks]) for m, ks in zip(names, keys, strict=True)]
     sums = docs.groupBy(*(category(F.col(m), targets[m]).alias(m) for m in names)).agg(F.sum(tokens).alias("tokens")).collect()
     cells = np.zeros([len(k) for k in keys])
     for r in sums:
         cells[tuple(k.index(r[m]) for m, k in zip(names, keys, strict=True))] = r["tokens"] or 0
+    shares = [with_unnamed(targets[m], ks, cells.sum(axis=tuple(a for a in range(cells.ndim) if a != axis))) for axis, (m, ks) in enumerate(zip(names, keys, strict=True))]
     raked = rake(cells, shares, rounds, size)
     p = np.divide(raked, cells, out=np.zeros_like(raked), where=cells > 0)
     rows = [(*(k[i] for k, i in zip(keys, at, strict=True)), float(p[at])) for at in np.ndindex(*p.shape)]

@@ -113,6 +113,22 @@ def test_scarce_category_gives_all_it_has(spark):
     assert abs(Counter(s for s, _ in kept)["src0"] / len(kept) - 0.3) < 0.02
 
 
+def test_values_without_a_target_keep_their_share(spark):
+    langs = ["en", "de", "fr", "es", None, "it", "en", "en", "de", "en"]
+    docs = [(i, "a b c", f"src{i % 7 % 3}", langs[i % 10]) for i in range(20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    mixed = rows(P.mixing.mix(df.withColumn("n", mixing.word_count("text")).withColumn("topic", mixing.topic(mixing.F.col("text"))), P.TARGETS, "n").select("lang", "probability", "sampled"))
+    assert all(p > 0 for _, p, _ in mixed)
+    kept = Counter(x for x, _, sampled in mixed if sampled)
+    share = {x: n / sum(kept.values()) for x, n in kept.items()}
+    assert abs(share[None] - 0.1) < 0.02 and abs(share["it"] - 0.1) < 0.02
+    assert abs(share["en"] - 0.8 * 0.55) < 0.02 and abs(share["es"] - 0.8 * 0.13) < 0.02
+    staged = Counter(r[0] for r in rows(P.mix_sources(spark, df.withColumn("n_chars", mixing.F.lit(5)), SF).select("lang")))
+    assert staged[None] == kept[None] and staged["it"] == kept["it"]
+    alone = rows(mixing.mix(df.where("lang is null").withColumn("n", mixing.F.lit(3)), {"lang": {"en": 0.6, "de": 0.4}}, "n").select("probability"))
+    assert {p for (p,) in alone} == {0.5}
+
+
 def test_attainable_weights_equal_a_search():
     import numpy as np
 

@@ -122,8 +122,9 @@ def url_list(pages: DataFrame) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (_number(F.col("page_id").cast("string")) % 1000).cast("int")))
-    found = url_filter.filter_urls(captures, url_list(pages))
-    return found.select(F.col("id").alias("page_id"), "url", "day", "n_active", "category", "pattern", "kept")
+    found = url_filter.filter_urls(captures, url_list(pages)).alias("f")
+    same = F.col("c.page_id").eqNullSafe(F.col("f.id")) & F.col("c.url").eqNullSafe(F.col("f.url")) & F.col("c.day").eqNullSafe(F.col("f.day"))
+    return captures.alias("c").join(found, same).select("c.page_id", "c.url", "c.day", "n_active", "category", "pattern", "kept")  # a row for every capture
 
 
 QUERIES: dict[str, Query] = {

@@ -16,7 +16,8 @@ near to them as ``ROUNDS`` rounds bring it, the last margin nearest.
 Edge cases: null category values fall under ``"*"``; null or empty text weighs 0 tokens, and a cell
 without tokens has probability 0; repeated rows are drawn alike; a null id draws 0
 and so stays wherever its cell has any probability; an empty table stays empty;
-other columns are carried along.
+other columns are carried along, but columns of the input named ``probability`` or
+``sampled`` give way to the results.
 """
 
 from __future__ import annotations
@@ -111,14 +112,14 @@ def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int =
     raked = rake(cells, shares, rounds, size)
     p = np.divide(raked, cells, out=np.zeros_like(raked), where=cells > 0)
     rows = [(*(k[i] for k, i in zip(keys, at, strict=True)), float(p[at])) for at in np.ndindex(*p.shape)]
-    return docs.sparkSession.createDataFrame(rows, T.StructType([*(T.StructField(f"__{m}", T.StringType()) for m in names), T.StructField("probability", T.DoubleType())]))
+    return docs.sparkSession.createDataFrame(rows, T.StructType([*(T.StructField(m, T.StringType()) for m in names), T.StructField("probability", T.DoubleType())]))
 
 
 def mix(docs: DataFrame, targets: Targets, tokens: str, seed: int = 1, id_col: str = "doc_id", rounds: int = ROUNDS, size: float = SIZE) -> DataFrame:
     """``docs`` with ``probability`` and ``sampled``; margins are columns named by ``targets``."""
-    table = F.broadcast(probabilities(docs, targets, tokens, rounds, size))  # its size is that of the targets
-    keyed = docs
-    for m in targets:
-        keyed = keyed.withColumn(f"__{m}", category(F.col(m), targets[m]))
-    joined = keyed.join(table, [f"__{m}" for m in targets], "left")
-    return joined.withColumn("sampled", draw(F.col(id_col), seed) < F.col("probability")).drop(*(f"__{m}" for m in targets))
+    names = list(targets)
+    table = F.broadcast(probabilities(docs, targets, tokens, rounds, size).toDF(*(f"t{i}" for i in range(len(names))), "p"))  # its size is that of the targets
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(category(F.col(m), targets[m]).alias(f"g{i}") for i, m in enumerate(names)))
+    joined = keyed.join(table, [keyed[f"g{i}"] == table[f"t{i}"] for i in range(len(names))], "left")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("probability", "sampled")]
+    return joined.select(*own, F.col("p").alias("probability"), (draw(F.col(f"row.`{id_col}`"), seed) < F.col("p")).alias("sampled"))

@@ -122,9 +122,7 @@ def url_list(pages: DataFrame) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (_number(F.col("page_id").cast("string")) % 1000).cast("int")))
-    found = url_filter.filter_urls(captures, url_list(pages)).alias("f")
-    same = F.col("c.page_id").eqNullSafe(F.col("f.id")) & F.col("c.url").eqNullSafe(F.col("f.url")) & F.col("c.day").eqNullSafe(F.col("f.day"))
-    return captures.alias("c").join(found, same).select("c.page_id", "c.url", "c.day", "n_active", "category", "pattern", "kept")  # a row for every capture
+    return url_filter.filter_urls(captures, url_list(pages)).withColumnRenamed("id", "page_id")
 
 
 QUERIES: dict[str, Query] = {
@@ -149,7 +147,8 @@ def _rake_sql(rounds: int) -> str:
     """DuckDB SQL that rakes the cells as often as the operator does."""
     names = list(TARGETS)
     groups = [f"CASE WHEN {m} IN ({', '.join(repr(k) for k in t if k != '*')}) THEN {m} ELSE '*' END AS g_{m}" for m, t in TARGETS.items()]
-    shares = [f"CASE g_{m} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " ELSE 0 END" for m, t in TARGETS.items()]
+    unnamed = {m: f"coalesce({sum(t.values())} * sum(cell) FILTER (g_{m} = '*') OVER () / sum(cell) FILTER (g_{m} <> '*') OVER (), 1)" for m, t in TARGETS.items() if "*" not in t}
+    shares = [f"CASE g_{m} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + f" ELSE {unnamed.get(m, 0)} END" for m, t in TARGETS.items()]
     keys = ", ".join(f"g_{m}" for m in names)
     own = ", ".join(f"({share})::DOUBLE AS s_{m}" for m, share in zip(names, shares, strict=True))
     kept = f"{keys}, cell, " + ", ".join(f"t_{m}" for m in names)
@@ -183,7 +182,7 @@ FROM g LEFT JOIN f ON {on}"""
 ORACLES: dict[str, str] = {
     "op3_mixing": _rake_sql(mixing.ROUNDS),
     "op10_url_filters": r"""
-WITH p AS (SELECT DISTINCT page_id, url, (DATE '2020-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 1000)::INTEGER)::DATE AS day,
+WITH p AS (SELECT row_number() OVER () AS n, page_id, url, (DATE '2020-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 1000)::INTEGER)::DATE AS day,
   nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') AS host,
   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 2), '/'), lambda x: x <> '') AS steps FROM pages),
 h AS (SELECT host, ('0x' || substr(md5(host), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
@@ -193,14 +192,14 @@ e AS (
   UNION ALL SELECT host, k, k % 400 + 500, 3, true FROM h WHERE k % 6 = 0
   UNION ALL SELECT host || '/en', k, k % 300, 1, true FROM h WHERE k % 5 = 0),
 i AS (SELECT pattern, ['malware', 'spam', 'adult', 'parked'][(k % 4 + 1)::INTEGER] AS category, active,
-  (DATE '2020-01-01' + n::INTEGER)::DATE AS first_day, lead((DATE '2020-01-01' + n::INTEGER)::DATE) OVER (PARTITION BY pattern ORDER BY n, seq) AS end_day FROM e),
-labels_ AS (SELECT page_id, url, day, host, steps, string_split(host, '.') AS l FROM p),
+  (DATE '2020-01-01' + n::INTEGER)::DATE AS first_day, lead((DATE '2020-01-01' + n::INTEGER)::DATE) OVER (PARTITION BY pattern, k % 4 ORDER BY n, seq) AS end_day FROM e),
+labels_ AS (SELECT n, page_id, url, day, host, steps, string_split(host, '.') AS l FROM p),
 k AS (
-  SELECT page_id, url, day, host AS key FROM labels_
-  UNION SELECT page_id, url, day, array_to_string(l[j:], '.') FROM (SELECT *, unnest(range(2, len(l))) AS j FROM labels_)
-  UNION SELECT page_id, url, day, host || '/' || array_to_string(steps[1:j], '/') FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS j FROM labels_ WHERE host IS NOT NULL)),
-m AS (SELECT k.page_id, k.url, k.day, i.pattern, i.category, row_number() OVER (PARTITION BY k.page_id, k.url ORDER BY length(i.pattern) DESC NULLS LAST, i.pattern DESC) AS r,
-  count(i.pattern) OVER (PARTITION BY k.page_id, k.url) AS n_active
+  SELECT n, page_id, url, day, host AS key FROM labels_
+  UNION SELECT n, page_id, url, day, array_to_string(l[j:], '.') FROM (SELECT *, unnest(range(2, len(l))) AS j FROM labels_)
+  UNION SELECT n, page_id, url, day, host || '/' || array_to_string(steps[1:j], '/') FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS j FROM labels_ WHERE host IS NOT NULL)),
+m AS (SELECT k.page_id, k.url, k.day, i.pattern, i.category, row_number() OVER (PARTITION BY k.n ORDER BY length(i.pattern) DESC NULLS LAST, i.pattern DESC) AS r,
+  count(i.pattern) OVER (PARTITION BY k.n) AS n_active
   FROM k LEFT JOIN i ON k.key = i.pattern AND i.active AND k.day >= i.first_day AND (i.end_day IS NULL OR k.day < i.end_day))
 SELECT page_id, url, day, n_active, category, pattern, n_active = 0 AS kept FROM m WHERE r = 1""",
     "op2_line_dedup": rf"""

@@ -1,25 +1,34 @@
 """Line dedup without moving text: DataFrame functions only.
 
-Each line becomes two 64-bit hashes of its key with document and position. The
-hashes are range-partitioned with a secondary sort by document and position, and
-windows stream over the sorted runs to find first occurrences. A hash that a
-third of all documents share would make one run too long, so runs are cut by a
-salt of the document: a first round settles each (hash, salt) run, a second one
-the at most SALTS documents that are left of each hash. What goes back to the
-documents is a keep bitmap, compressed by leaving out its all-ones 64-bit words.
+Each line becomes two 64-bit hashes of its key with document and position. Each line becomes two 64-bit hashes of its key with document and position. The
+texts are split and hashed once, into a table without text; its rows are
+range-partitioned with a secondary sort by document and position, and windows
+stream over the sorted runs to find first occurrences. A hash that a third of all
+documents share would make one run too long, so runs are cut by a salt of the
+document: a first round settles each (hash, salt) run, a second one the at most
+one document of each salt that is left of a hash. There are as many salts as the
+square root of the lines, so neither round has a run that grows as the corpus
+does. What goes back to the documents is a keep bitmap, compressed by leaving out
+its all-ones 64-bit words.
 
 Edge cases: null or empty text is one empty line; keys under ``min_chars`` code
 points always stay; rows with a null id keep all lines and never cost another
 row a line; rows that share an id count as one document (each keeps the lines
 that the id holds first); repeated rows get equal bitmaps; an empty table gives
-an empty result; other columns are carried along untouched.
+an empty result; other columns are carried along untouched, but columns named
+``__n_lines`` or ``__n_dropped`` give way to the results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.store import written
+
+#: Least number of salts.
 SALTS = 64
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,16 +57,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.col(id_col).alias("doc_id"), _text_id(text).alias("text_id"), F.posexplode(_lines(text)).alias("pos", "line"))
         .select("doc_id", "text_id", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+        .select("doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    runs = lines.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
+    hashed = written(lines, "line-hashes")
+    salts = max(SALTS, math.isqrt(hashed.count()))
+    runs = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
     in_run = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
-    settled = runs.withColumn("first_doc", F.first("doc_id").over(in_run))
-    left = settled.where(F.col("doc_id") == F.col("first_doc")).select("doc_id", "text_id", "pos", "h1", "h2")
+    settled = written(runs.withColumn("lost", F.col("doc_id") != F.first("doc_id").over(in_run)).drop("salt"), "line-runs")
     of_hash = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos")
-    last = left.withColumn("first_doc", F.first("doc_id").over(of_hash))
-    lost = F.col("doc_id") != F.col("first_doc")
-    return settled.where(lost).select("doc_id", "text_id", "pos").unionByName(last.where(lost).select("doc_id", "text_id", "pos"))
+    last = settled.where("not lost").withColumn("lost", F.col("doc_id") != F.first("doc_id").over(of_hash))
+    return settled.where("lost").unionByName(last.where("lost")).select("doc_id", "text_id", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -89,7 +98,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     rest = F.array_join(F.filter(_lines(text), kept), "\n")
     on = (F.col(f"d.{id_col}") == F.col("b.doc_id")) & (_text_id(text) == F.col("b.text_id"))
-    cols = [F.when(word.isNull(), F.col(f"d.{c}")).otherwise(rest).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+    cols = [F.when(word.isNull(), F.col(f"d.{c}")).otherwise(rest).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
     return docs.alias("d").join(bitmaps.alias("b"), on, "left").select(
         *cols, F.size(_lines(text)).cast("long").alias("__n_lines"), F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("__n_dropped")
     )

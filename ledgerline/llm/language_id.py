@@ -5,34 +5,39 @@ Statistics are frozen after training: a symbol is coded in the longest context
 that has seen it, escapes (method C) lead to shorter contexts, symbols of the
 longer ones are excluded, and the last resort is uniform over the bytes left. The
 code length of a byte then depends on three bytes before it only, so all lengths
-are worked out once, for every context and symbol and all languages together,
-and a text's length is a sum of table entries. The shortest code wins.
+of a language are worked out once, for each of its contexts and symbols, and a
+text's length is a sum of table entries. The shortest code wins.
 
-At most ``MAX_DOCS`` documents a language are learned from, the first by hash of
-the id, and the tree keeps at most ``MAX_CELLS`` entries, the most frequent
-contexts first (both documented bounds). Whole texts are read, in learning and
-in prediction.
+A language's tree has all contexts of its sample; its table is built in a task of
+its own, written to the shared folder and memory-mapped by the workers, so nothing
+that grows with the number of languages passes the driver. At most ``MAX_DOCS``
+documents a language are learned from, the first by hash of the id (a documented
+bound on labelled rows). Whole texts are read, in learning and in prediction.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; empty
 tables give empty results; without any learned language all is ``und``; equal code
 lengths go to the first language in alphabetical order; repeated rows get equal
-results; null ids are carried along; other columns are never read.
+results; rows with a null id are predicted but not learned from; other columns are
+never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.store import mapped_file, new_dir, put, written
 from ledgerline.llm.textkernel import slices
 
 ORDER = 3
 MAX_DOCS = 400
-MAX_CELLS = 12_000_000
+#: First choice of a language's documents is made in so many parts.
+PARTS = 64
 START = 256  # stands before every text; context only
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -67,12 +72,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Code lengths in bits of every symbol after every context, for all languages."""
+class Tree:
+    """Code lengths in bits of every symbol after every context of one language.
+
+    ``classes`` numbers the bytes that the language has: 0 is a byte never seen,
+    the last one the start mark. A row of ``table`` is a context, its shorter ones
+    before it; ``node`` gives the row of the deepest context that ends in some classes.
+    """
+
+    def __init__(self, classes: np.ndarray, node: np.ndarray, table: np.ndarray):
+        self.classes, self.node, self.table = classes, node, table
+        self.size = int(classes[START]) + 1
 
-    def __init__(self, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_cells: int = MAX_CELLS):
-        self.langs = sorted(set(lang.tolist()))
-        which = np.searchsorted(self.langs, lang) if len(lang) else np.zeros(0, np.int64)
+    @staticmethod
+    def of(gram: np.ndarray, n: np.ndarray) -> Tree:
         parts = []
         rest = gram
         for _ in range(ORDER + 1):
@@ -80,81 +93,87 @@ class Coder:
             rest = rest // 257
         symbol, *back = parts  # back: nearest byte first
         seen = np.unique(symbol)
-        # class 0: a byte never seen; then the bytes seen; last the start mark
-        self.classes = np.zeros(257, np.int64)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.size = a = len(seen) + 2
-        self.classes[START] = a - 1
-        symbol, back = self.classes[symbol], [self.classes[b] for b in back]
-
+        classes = np.zeros(257, np.int64)
+        classes[seen] = np.arange(1, len(seen) + 1)
+        a = len(seen) + 2
+        classes[START] = a - 1
+        symbol, back = classes[symbol], [classes[b] for b in back]
         codes = [np.zeros(len(gram), np.int64)]
         for k in range(ORDER):
             codes.append(codes[-1] + back[k] * a**k)  # a context's code: its k nearest classes
-        room = max(1, max_cells // (a * max(1, len(self.langs))))
-        nodes: list[np.ndarray] = []
-        for code in codes:
-            found, inv = np.unique(code, return_inverse=True)
-            weight = np.bincount(inv, weights=n, minlength=len(found))
-            keep = np.sort(np.lexsort((found, -weight))[:room])
-            room = max(0, room - len(keep))
-            nodes.append(found[keep])
+        nodes = [np.unique(c) for c in codes]
         first = np.cumsum([0] + [len(x) for x in nodes])
-        self.table = np.zeros((max(1, first[-1]) * a, max(1, len(self.langs))), np.float32)
-        for own in range(len(self.langs)):
-            mine = which == own
-            self._lengths(own, nodes, first, [c[mine] for c in codes], symbol[mine], n[mine])
-        # the deepest kept context of every ORDER classes
-        self.node = np.zeros(a**ORDER, np.int32)
+        table = np.zeros((first[-1], a), np.float32)
+        for depth, all_ in enumerate(nodes):
+            for at in range(0, len(all_), 4096):
+                some = all_[at : at + 4096]
+                table[first[depth] + at :][: len(some)] = _lengths(some, depth, codes, symbol, n, a)
+        node = np.zeros(a**ORDER, np.int32)
         every = np.arange(a**ORDER)
         for k in range(1, ORDER + 1):
             short = np.full(a**k, -1, np.int64)
             short[nodes[k]] = first[k] + np.arange(len(nodes[k]))
             found = short[every % a**k]
-            self.node = np.where(found >= 0, found, self.node).astype(np.int32)
-
-    def _counts(self, want: np.ndarray, code: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Symbol counts of the wanted context codes."""
-        known, inv = np.unique(want, return_inverse=True)
-        at = np.searchsorted(known, code)
-        at[at == len(known)] = 0
-        hit = known[at] == code
-        flat = np.bincount(at[hit] * self.size + symbol[hit], weights=n[hit], minlength=len(known) * self.size)
-        return flat.reshape(len(known), self.size)[inv]
-
-    def _lengths(self, own: int, nodes: list[np.ndarray], first: np.ndarray, codes: list[np.ndarray], symbol: np.ndarray, n: np.ndarray) -> None:
-        for depth, all_ in enumerate(nodes):
-            for at in range(0, len(all_), 4096):
-                some = all_[at : at + 4096]
-                p = np.zeros((len(some), self.size))
-                escape = np.ones((len(some), 1))
-                out = np.zeros(p.shape, bool)
-                for k in range(depth, -1, -1):
-                    counts = self._counts(some % self.size**k, codes[k], symbol, n)
-                    left = np.where(out, 0, counts)
-                    total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-                    whole = np.maximum(total + kinds, 1)
-                    p = np.where(left > 0, escape * left / whole, p)
-                    escape = np.where(total > 0, escape * kinds / whole, escape)
-                    out |= counts > 0
-                rest = np.maximum(256 - out.sum(axis=1, keepdims=True), 1)
-                p = np.where(out, p, escape / rest)
-                cells = self.table[(first[depth] + at) * self.size :][: p.size]
-                cells[:, own] = -np.log2(p).ravel()
+            node = np.where(found >= 0, found, node).astype(np.int32)
+        return Tree(classes, node, table.ravel())
 
     def lengths(self, part) -> np.ndarray:
-        """Bits of each document of a slice in each language."""
-        out = np.zeros((part.n, len(self.langs)))
+        """Bits of each document of a slice."""
+        out = np.zeros(part.n)
         full = np.diff(part.offsets) > 0
-        if full.any() and self.langs:
+        if full.any():
             symbols = self.classes[:256].astype(np.int32)[part.data]
             code = np.zeros(len(symbols), np.int32)
             for c in _before(part, symbols, self.size - 1):
-                code = code * np.int32(self.size) + c
-            cells = self.node[code].astype(np.int64) * self.size + symbols
-            out[full] = np.add.reduceat(self.table[cells], part.offsets[:-1][full], axis=0, dtype=float)
+                code *= np.int32(self.size)
+                code += c
+            cells = self.node[code].astype(np.int64)
+            cells *= self.size
+            cells += symbols
+            out[full] = np.add.reduceat(self.table[cells], part.offsets[:-1][full], dtype=float)
         return out
 
 
+def _counts(want: np.ndarray, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Symbol counts of the wanted context codes."""
+    known, inv = np.unique(want, return_inverse=True)
+    at = np.searchsorted(known, code)
+    at[at == len(known)] = 0
+    hit = known[at] == code
+    flat = np.bincount(at[hit] * size + symbol[hit], weights=n[hit], minlength=len(known) * size)
+    return flat.reshape(len(known), size)[inv]
+
+
+def _lengths(some: np.ndarray, depth: int, codes: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Code lengths of every symbol in some contexts of one depth."""
+    p = np.zeros((len(some), size))
+    escape = np.ones((len(some), 1))
+    out = np.zeros(p.shape, bool)
+    for k in range(depth, -1, -1):
+        counts = _counts(some % size**k, codes[k], symbol, n, size)
+        left = np.where(out, 0, counts)
+        total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
+        whole = np.maximum(total + kinds, 1)
+        p = np.where(left > 0, escape * left / whole, p)
+        escape = np.where(total > 0, escape * kinds / whole, escape)
+        out |= counts > 0
+    rest = np.maximum(256 - out.sum(axis=1, keepdims=True), 1)
+    return -np.log2(np.where(out, p, escape / rest))
+
+
+@dataclass
+class Coder:
+    """The learned languages in alphabetical order, and where their trees are."""
+
+    uri: str
+    langs: list[str]
+
+    def trees(self) -> Iterator[Tree]:
+        for i in range(len(self.langs)):
+            kinds = (("classes", np.int64), ("node", np.int32), ("table", np.float32))
+            yield Tree(*(np.memmap(mapped_file(self.uri, f"{i}-{name}"), kind, "r") for name, kind in kinds))
+
+
 def _no_letter(part) -> np.ndarray:
     none = part.per_doc(_ASCII_LETTER[part.data]) == 0
     for i in np.flatnonzero(none & (part.per_doc(part.data >= 128) > 0)):
@@ -163,36 +182,54 @@ def _no_letter(part) -> np.ndarray:
     return none
 
 
+def _first_by_hash(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the distinct (doc_id, lang) of each language; each part of a language chooses its own first ones before all meet."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    dealt = ids.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
+    return dealt.select("doc_id", "lang")
+
+
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Coder:
-    """A coder from the documents for which ``learn`` holds and lang and text are not null."""
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).distinct()
-    chosen = ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
-    rows = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, ["doc_id", "lang"])
-    table = gram_counts(rows).toArrow()  # bounded by max_docs
-    lang = np.array(table["lang"].to_pylist(), object)
-    return Coder(lang, table["gram"].to_numpy(), table["n"].to_numpy())
+    """A coder from the documents for which ``learn`` holds and id, lang and text are not null."""
+    usable = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    named = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    chosen = _first_by_hash(named.select("doc_id", "lang").distinct(), max_docs)
+    grams = written(gram_counts(named.join(chosen, ["doc_id", "lang"])), "grams")
+    uri = new_dir(docs.sparkSession, "language-id")
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    number = {x: i for i, x in enumerate(langs)}
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        i = number[key[0].as_py()]
+        table = table.sort_by("gram")
+        tree = Tree.of(table["gram"].to_numpy(), table["n"].to_numpy())
+        for name in ("classes", "node", "table"):
+            put(uri, f"{i}-{name}", getattr(tree, name).tobytes())
+        return pa.table({"contexts": pa.array([len(tree.table) // tree.size], pa.int64())})
+
+    grams.groupBy("lang").applyInArrow(build, "contexts long").collect()
+    return Coder(uri, langs)
 
 
 def predict(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the language of the shortest code and its share of 2^-length."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(coder)  # at most max_cells entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        trees = list(coder.trees())
+        names_of = np.array([*coder.langs, "und"], object)
         for batch in batches:
             for part in slices(batch.column(1)):
                 und = _no_letter(part)
-                if own.langs:
-                    bits = own.lengths(part)
+                best, score = np.full(part.n, len(trees)), np.zeros(part.n)
+                if trees:
+                    bits = np.stack([t.lengths(part) for t in trees], axis=1)
                     best = bits.argmin(axis=1)
                     score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-                    names = np.array(own.langs, object)[best]
-                else:
-                    und[:], score, names = True, np.zeros(part.n), np.full(part.n, "und", object)
+                names = names_of[best]
                 names[und], score[und] = "und", 0.0
                 ids = batch.column(0).slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])

@@ -69,11 +69,10 @@ def test_kneser_ney_equals_brute_force(spark, documents, monkeypatch, hold):
 
 def test_kneser_ney_odd(spark, odd, empty):
     docs = [r[:2] for r in ODD]
-    want = brute_model(docs, lambda d: d % 3 == 0)
-    got = rows(kneser_ney.score(odd, kneser_ney.train(odd, F.col("doc_id") % 3 != 0)))
-    assert len(got) == len(docs)
-    for r in got:
-        assert r[1:3] == want[r[0]][1:3] and r[4] == pytest.approx(want[r[0]][5])
+    want = brute_model([(i, t) for i, (_, t) in enumerate(docs)], lambda i: docs[i][0] is None or docs[i][0] % 3 == 0)
+    got = sorted(rows(kneser_ney.score(odd, kneser_ney.train(odd, F.col("doc_id") % 3 != 0))), key=str)
+    for r, (_, w) in zip(got, sorted((((docs[i][0], *w[1:3]), w) for i, w in want.items()), key=str), strict=True):
+        assert r[1:3] == w[1:3] and r[4] == pytest.approx(w[5])
     nothing = rows(kneser_ney.score(odd, kneser_ney.train(empty, F.lit(True))))
     assert all(r[2] == 0 and r[3] == 0 and r[4] == 0 for r in nothing)
 
@@ -111,15 +110,58 @@ def slow_bits(coder_docs, lang, text):
     return bits
 
 
+def trees_of(spark, docs):
+    table = language_id.gram_counts(spark.createDataFrame(docs, "lang string, text string")).toPandas()
+    return {lang: language_id.Tree.of(t["gram"].to_numpy(), t["n"].to_numpy()) for lang, t in table.groupby("lang")}
+
+
 def test_code_lengths_are_exact(spark):
     docs = [("a", "abracadabra abra"), ("a", "cab"), ("b", "zebra zoo é"), ("b", "")]
-    table = language_id.gram_counts(spark.createDataFrame(docs, "lang string, text string")).toArrow()
-    coder = language_id.Coder(np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy(), table["n"].to_numpy())
+    trees = trees_of(spark, docs)
     texts = ["abra", "zebra abz", "", "éq日 cad", "oo"]
     (part,) = textkernel.slices(pa.array(texts))
-    got = coder.lengths(part)
-    for t, row in zip(texts, got):
-        assert row == pytest.approx([slow_bits(docs, "a", t), slow_bits(docs, "b", t)], abs=1e-3)
+    for lang in "ab":
+        assert trees[lang].lengths(part) == pytest.approx([slow_bits(docs, lang, t) for t in texts], abs=1e-3)
+
+
+def test_forty_languages_keep_all_their_contexts(spark):
+    dice = np.random.default_rng(1)
+    docs = []
+    for k in range(40):
+        letters = [chr(0x250 + 9 * k + i) for i in range(9)] + list("aeiou ")
+        docs += [(f"l{k:02d}", "".join(dice.choice(letters, 300))) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)] + [(None, "xyz", "l99")], "doc_id long, text string, lang string")
+    coder = language_id.train(df, F.lit(True))
+    assert coder.langs == sorted({lang for lang, _ in docs})
+    texts = [t[:80] for _, t in docs[::17]] + ["abc"]
+    (part,) = textkernel.slices(pa.array(texts))
+    got = [t.lengths(part) for t in coder.trees()]
+    for k in (0, 1, 20, 39):
+        assert got[k] == pytest.approx([slow_bits(docs, coder.langs[k], t) for t in texts], rel=1e-5)
+    found = {r[0]: r[1] for r in rows(language_id.predict(df, coder))}
+    assert all(found[i] == lang for i, (lang, _) in enumerate(docs))
+
+
+def test_choice_of_documents_is_the_least_hashes(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
+    got = {tuple(r) for r in rows(language_id._first_by_hash(ids, 40))}
+    hashes = sorted(rows(ids.select(F.xxhash64("doc_id"), "doc_id", "lang")))
+    assert got == {r[1:] for lang in "ab" for r in [r for r in hashes if r[2] == lang][:40]}
+
+
+def test_predictions_are_those_of_the_shortest_code(spark):
+    """The query against the slow coder, on its own sample."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    sample = [(r[1], r[2]) for r in rows(docs.select("doc_id", "lang", "text")) if not held(r[0])]
+    got = {r[0]: r for r in rows(op9_language_id(spark, SF))}
+    short = sorted((r for r in rows(docs.select("doc_id", "text")) if r[1]), key=lambda r: len(r[1]))[:6]
+    langs = sorted({x for x, _ in sample})
+    for d, text in short:
+        bits = [slow_bits(sample, lang, text) for lang in langs]
+        assert got[d][1] == held(d)
+        if any(c.isalpha() for c in text):
+            assert got[d][2] == langs[int(np.argmin(bits))] and got[d][3] == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), abs=1e-3)
 
 
 def test_language_of_held_out(spark):

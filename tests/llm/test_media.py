@@ -11,12 +11,14 @@ from tests.llm.webp_writer import Writer
 
 
 def test_round_trip(spark, odd):
-    got = {r[0]: r for r in rows(media.features(media.encode(odd)))}
+    got = rows(media.features(media.encode(odd)))
+    want = []
     for doc_id, text, *_ in ODD:
         raw = (text or "").encode()
         pay = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        assert got[doc_id][1:5] == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
-    assert got[4][5:] == got[5][5:]
+        want.append((doc_id, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:])))
+    assert sorted((r[:5] for r in got), key=str) == sorted(want, key=str)
+    assert len({r[1:] for r in got}) == len({r[1] or "" for r in ODD})  # equal texts, equal values
 
 
 def test_lanes_equal_the_whole_decoder():

@@ -36,8 +36,8 @@ from ledgerline.llm.textkernel import slices
 
 ORDER = 3
 MAX_DOCS = 400
-#: First choice of a language's documents is made in so many parts.
-PARTS = 64
+#: First bits of the hashes by which a language's documents are counted before they are ranked.
+BITS = 12
 START = 256  # stands before every text; context only
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -183,12 +183,17 @@ def _no_letter(part) -> np.ndarray:
 
 
 def _first_by_hash(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the distinct (doc_id, lang) of each language; each part of a language chooses its own first ones before all meet."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = ids.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)))
-    for by in (["lang", "part"], ["lang"]):
-        dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
-    return dealt.select("doc_id", "lang")
+    """At most ``most`` of the distinct (doc_id, lang) of each language, those of the least hashes.
+
+    Counts by the hashes' first bits tell how far the ranking has to look, so it
+    reads little more than ``most`` rows of a language, however many it has.
+    """
+    hashed = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("first_bits", F.call_function("shiftright", F.col("hash"), F.lit(64 - BITS)))
+    counts = hashed.groupBy("lang", "first_bits").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("lang").orderBy("first_bits").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = counts.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") < most).select("lang", "first_bits")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    return hashed.join(wanted, ["lang", "first_bits"]).withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang")
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Coder:

@@ -1,9 +1,9 @@
 """Media columns: byte payloads kept as lossless WebP files in a binary column, and features read off them.
 
 A payload is the UTF-8 text, padded with bytes 255 to a positive multiple of
-``BLOCK``; it becomes the green channel of an image whose rows are ``ROW`` bytes,
-or ``BLOCK`` bytes if it is too tall for that. Beyond the format's largest side it
-becomes several images, in order.
+``BLOCK``; it becomes a grey image whose rows are ``ROW`` bytes, or ``BLOCK`` bytes
+if it is too tall for that. Beyond ``MOST_ROWS`` of these it becomes several
+images, in order. Files are read back by the decoder of the whole format.
 
 Edge cases: null or empty text is one block of padding; equal texts give equal
 files; repeated rows and null ids are carried along; an empty table gives an empty
@@ -26,14 +26,16 @@ from ledgerline.llm.textkernel import slices
 
 BLOCK, ROW, PAD = 576, 24, 255
 #: Bytes of text that are coded side by side, unless one document alone is longer.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
+#: Rows of an image of wide rows: about a million samples, as far as back-references reach.
+MOST_ROWS = 1820
 
 
 def images(length: int) -> list[tuple[int, int]]:
     """(samples, row width) of the images of a payload."""
     if length <= ROW * webp.MAX_SIDE:
         return [(length, ROW)]
-    most = BLOCK * webp.MAX_SIDE
+    most = BLOCK * min(MOST_ROWS, webp.MAX_SIDE)
     return [(min(most, length - at), BLOCK) for at in range(0, length, most)]
 
 
@@ -70,8 +72,8 @@ def _groups(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def pixels(files: list[bytes]) -> list[np.ndarray]:
-    """The green samples of each file, flat."""
-    return [(p if p.ndim == 2 else p[..., 1]).ravel() for p in webp.decode_many(files)]
+    """The samples of each file, flat."""
+    return [webp.decode(f)[..., 1].ravel() for f in files]
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 ``decode`` reads any lossless file: prefix codes, back-references, colour cache,
 meta prefix codes, and the predictor, cross-colour, subtract-green and palette
-transforms. ``decode_many`` reads many files at once: those of the plain kind that
-``encode_many`` writes (one literal code on green, the other channels constant) are
-decoded in lanes, one symbol of every file a step; all others go to ``decode``.
+transforms. ``encode_many`` writes grey images of many payloads. Every file has
+back-references where a passage of ``LEAST_COPY`` samples or more comes again;
+grey is stored by the subtract-green transform, payloads of at most 16 values by a
+palette whose indices share bytes, and payloads whose residuals to the left or the
+upper neighbour have the lower entropy by the predictor transform.
 """
 
 from __future__ import annotations
@@ -18,8 +20,13 @@ import numpy as np
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Symbols of a channel, of backward lengths, and of distances.
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
-#: Longest code that the encoder writes and that lanes decode.
-LANE_BITS = 12
+#: Longest code that the encoder writes.
+LONGEST_CODE = 12
+#: Shortest and longest copy that the encoder writes.
+LEAST_COPY, MOST_COPY = 6, 4096
+#: Kinds of transform in the format.
+PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+LEFT, TOP = 1, 2  # predictors that the encoder chooses from
 MAX_SIDE = 1 << 14
 BLACK = np.array([0, 0, 0, 255], np.int32)  # red, green, blue, alpha
 CACHE_FACTOR = 0x1E35A7BD
@@ -35,71 +42,80 @@ NEAR = near_offsets()
 
 
 class Bits:
-    """Bits of a byte string, least significant first."""
+    """Bits of a byte string, least significant first; ``windows`` has the eight bytes from each byte on."""
 
     def __init__(self, data: bytes):
-        self.data, self.value, self.have, self.at = data, 0, 0, 0
-
-    def _fill(self, n: int) -> None:
-        while self.have < n:
-            chunk = self.data[self.at : self.at + 32]
-            self.at += 32
-            self.value |= int.from_bytes(chunk, "little") << self.have
-            self.have += 256
+        self.windows = np.ndarray((len(data) + 8,), "<u8", data + bytes(16), strides=(1,)).tolist()
+        self.position = 0
 
     def peek(self, n: int) -> int:
-        self._fill(n)
-        return self.value & ((1 << n) - 1)
-
-    def skip(self, n: int) -> None:
-        self.value >>= n
-        self.have -= n
+        return (self.windows[self.position >> 3] >> (self.position & 7)) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         out = self.peek(n)
-        self.skip(n)
+        self.position += n
         return out
 
-    @property
-    def position(self) -> int:
-        return self.at * 8 - self.have
+
+_TURNED = np.zeros(1 << 15, np.int64)  # 15 bits in the other order
+for _k in range(15):
+    _TURNED |= ((np.arange(1 << 15) >> _k) & 1) << (14 - _k)
+_ORDERS = [_TURNED[np.arange(1 << k)] >> (15 - k) for k in range(16)]
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Canonical code words of some lengths, bits reversed as they are written."""
-    codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, 16):
-        for s in np.flatnonzero(lengths == n).tolist():
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    """Canonical code words of the lengths in each row, bits reversed as they are written."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=-1, kind="stable")
+    own = np.take_along_axis(lengths, order, -1)
+    step = np.where(own > 0, 1 << (15 - own), 0)
+    codes = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(codes, order, np.where(own > 0, _TURNED[(np.cumsum(step, axis=-1) - step) & 0x7FFF], 0), -1)
     return codes
 
 
 class Prefix:
-    """One prefix code as a lookup table; a code of one symbol takes no bits."""
+    """One prefix code as a table of symbol << 4 | bits; a code of one symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        self.lengths, self.only = lengths, None
-        if len(used) == 1:
-            self.only = int(used[0])
-            self.bits, self.table = 0, [(self.only, 0)]
-            return
-        if not len(used) or sum(2.0 ** -int(n) for n in lengths[used]) != 1:
-            raise ValueError("broken prefix code")
-        self.bits = int(lengths.max())
-        self.table = [(0, 0)] * (1 << self.bits)
-        for s, code in zip(used.tolist(), canonical(lengths)[used].tolist(), strict=True):
-            n = int(lengths[s])
-            for high in range(1 << (self.bits - n)):
-                self.table[high << n | code] = (s, n)
+        self.only = int(used[0]) if len(used) == 1 else None
+        if self.only is not None:
+            self.bits, self.entries = 0, np.array([self.only << 4])
+        else:
+            own = lengths[used]
+            self.bits = int(own.max()) if len(used) else 0
+            by = np.argsort(own, kind="stable")
+            entries = np.repeat(used[by] << 4 | own[by], 1 << (self.bits - own[by]))
+            if len(entries) != 1 << self.bits or not len(used):
+                raise ValueError("broken prefix code")
+            self.entries = entries[_ORDERS[self.bits]]
+        self.table = self.entries.tolist()
+
+    def runs(self) -> list[int]:
+        """For each window of bits up to three literals that it begins with, in one number.
+
+        From below: four bits for how many bits they take, two for how many they are,
+        eight for each. A window that begins with another symbol has this symbol above
+        bit 32 instead.
+        """
+        one = self.entries
+        size, symbol = one & 15, one >> 4
+        literal = symbol < LITERALS
+        out, bits, n = symbol << 6, size.copy(), np.where(literal, 1, 0)
+        at = np.arange(len(one))
+        going = literal.copy()
+        for k in (1, 2):
+            following = (at >> bits) & (len(one) - 1)
+            going &= literal[following] & (bits + size[following] <= self.bits)
+            out += np.where(going, symbol[following] << (6 + 8 * k), 0)
+            bits += np.where(going, size[following], 0)
+            n += going
+        return np.where(literal, out | n << 4 | bits, symbol << 32 | size).tolist()
 
     def read(self, bits: Bits) -> int:
-        symbol, n = self.table[bits.peek(self.bits)] if self.bits else self.table[0]
-        bits.skip(n)
-        return symbol
+        found = self.table[bits.peek(self.bits)]
+        bits.position += found & 15
+        return found >> 4
 
 
 def read_prefix(bits: Bits, size: int) -> np.ndarray:
@@ -116,18 +132,31 @@ def read_prefix(bits: Bits, size: int) -> np.ndarray:
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    code, at, last = Prefix(own), 0, 8
-    while at < size and left:
+    code = Prefix(own)
+    table, mask, windows, p = code.table, (1 << code.bits) - 1, bits.windows, bits.position
+    out: list[int] = []
+    last = 8
+    while len(out) < size and left:
         left -= 1
-        s = code.read(bits)
+        v = windows[p >> 3] >> (p & 7)
+        found = table[v & mask]
+        v >>= found & 15
+        p += found & 15
+        s = found >> 4
         if s < 16:
-            lengths[at] = s
-            at += 1
+            out.append(s)
             last = s or last
+        elif s == 16:
+            out += [last] * (3 + (v & 3))
+            p += 2
+        elif s == 17:
+            out += [0] * (3 + (v & 7))
+            p += 3
         else:
-            repeat, value = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-            lengths[at : at + repeat] = value
-            at += repeat
+            out += [0] * (11 + (v & 127))
+            p += 7
+    bits.position = p
+    lengths[: len(out)] = out[:size]
     return lengths
 
 
@@ -139,14 +168,83 @@ def _value(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _argb(p: np.ndarray) -> int:
-    return int(p[3]) << 24 | int(p[0]) << 16 | int(p[1]) << 8 | int(p[2])
+def _copy_source(code: int, width: int) -> int:
+    """How many pixels back a distance code points."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+def _green_image(bits: Bits, green: Prefix, distance: Prefix, width: int, end: int) -> bytearray:
+    """The green channel of an image whose other channels are constant, without a cache."""
+    windows, p = bits.windows, bits.position
+    if green.only is not None:
+        return bytearray([green.only]) * end  # an image cannot begin with a copy
+    table, mask = green.runs(), (1 << green.bits) - 1
+    far, far_mask = distance.table, (1 << distance.bits) - 1
+    runs: list[int] = []  # literals, as the table has them
+    copies: list[tuple[int, int, int]] = []  # literals before it, how far back, how long
+    at = copied = 0
+    push = runs.append
+    while at < end:
+        found = table[(windows[p >> 3] >> (p & 7)) & mask]
+        p += found & 15
+        if found < 1 << 32:
+            push(found)
+            at += found >> 4 & 3
+            continue
+        s = (found >> 32) - LITERALS
+        v = windows[p >> 3] >> (p & 7)
+        length = s + 1
+        if s > 3:
+            extra = (s - 2) >> 1
+            length = ((2 + (s & 1)) << extra) + (v & ((1 << extra) - 1)) + 1
+            v >>= extra
+            p += extra
+        found = far[v & far_mask]
+        v >>= found & 15
+        p += found & 15
+        s = found >> 4
+        code = s + 1
+        if s > 3:
+            extra = (s - 2) >> 1
+            code = ((2 + (s & 1)) << extra) + (v & ((1 << extra) - 1)) + 1
+            p += extra
+        back = code - 120 if code > 120 else _copy_source(code, width)
+        if back > at or at + length > end:
+            raise ValueError("back-reference outside the image")
+        copies.append((at - copied, back, length))
+        copied += length
+        at += length
+    if at > end:  # the last window went on into what follows
+        last = runs.pop()
+        p -= last & 15
+        for k in range((last >> 4 & 3) - (at - end)):
+            found = green.table[(windows[p >> 3] >> (p & 7)) & mask]
+            p += found & 15
+            push(found >> 4 << 6 | 1 << 4)
+    bits.position = p
+    r = np.array(runs, np.int64)
+    three = np.stack([r >> 6, r >> 14, r >> 22], axis=1).astype(np.uint8)
+    literals = three[np.arange(3) < (r >> 4 & 3)[:, None]].tobytes()
+    out, at = bytearray(), 0
+    for to, back, length in copies:
+        if to > at:
+            out += literals[at:to]
+            at = to
+        if back >= length:
+            out += out[-back : length - back or None]
+        else:
+            out += (out[-back:] * (length // back + 1))[:length]
+    out += literals[at:]
+    return out
 
 
 def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Pixels (height, width, rgba) of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, block, shift = np.zeros((1, 1), np.int64), 1, 0
+    groups, shift = np.zeros((1, 1), np.int64), 0
     if main and bits.read(1):
         shift = bits.read(3) + 2
         block = 1 << shift
@@ -154,37 +252,41 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
         groups = meta[..., 0].astype(np.int64) << 8 | meta[..., 1]
     sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
     codes = [[Prefix(read_prefix(bits, n)) for n in sizes] for _ in range(int(groups.max()) + 1)]
-    out = np.zeros((width * height, 4), np.uint8)
-    cache = np.zeros((1 << cache_bits, 4), np.uint8)
-    cached = 0  # pixels before this one are in the cache
-    at, end = 0, width * height
+    end = width * height
     single = codes[0] if len(codes) == 1 else None
+    if single and not cache_bits and all(c.only is not None for c in single[1:4]):
+        out = np.empty((end, 4), np.uint8)
+        out[:, 1] = np.frombuffer(_green_image(bits, single[0], single[4], width, end), np.uint8)
+        for channel, code in zip((0, 2, 3), single[1:4], strict=True):
+            out[:, channel] = code.only
+        return out.reshape(height, width, 4)
+    groups = groups.tolist()
+    pixels: list[int] = []  # alpha, red, green, blue in one number
+    cache = [0] * (1 << cache_bits)
+    cached = 0  # pixels before this one are in the cache
+    at = 0
     while at < end:
-        green, red, blue, alpha, distance = single or codes[groups[at // width >> shift, at % width >> shift]]
+        green, red, blue, alpha, distance = single or codes[groups[at // width >> shift][at % width >> shift]]
         s = green.read(bits)
         if s < LITERALS:
-            out[at] = (red.read(bits), s, blue.read(bits), alpha.read(bits))
+            r, b = red.read(bits), blue.read(bits)
+            pixels.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
             at += 1
         elif s < LITERALS + LENGTHS:
             length = _value(bits, s - LITERALS)
-            code = _value(bits, distance.read(bits))
-            if code > len(NEAR):
-                back = code - len(NEAR)
-            else:
-                x, y = NEAR[code - 1]
-                back = max(1, x + y * width)
+            back = _copy_source(_value(bits, distance.read(bits)), width)
             if back > at or at + length > end:
                 raise ValueError("back-reference outside the image")
-            for k in range(length):
-                out[at + k] = out[at + k - back]
+            pixels += (pixels[at - back :] * (length // back + 1))[:length] if back < length else pixels[at - back : at - back + length]
             at += length
         else:
-            while cached < at:
-                cache[(CACHE_FACTOR * _argb(out[cached]) & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
-            out[at] = cache[s - LITERALS - LENGTHS]
+            for p in pixels[cached:at]:
+                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+            cached = at
+            pixels.append(cache[s - LITERALS - LENGTHS])
             at += 1
-    return out.reshape(height, width, 4)
+    packed = np.array(pixels, np.uint32)
+    return np.stack([packed >> 16, packed >> 8, packed, packed >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
 
 
 def _predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
@@ -226,15 +328,22 @@ def inverse_predictor(image: np.ndarray, modes: np.ndarray, size_bits: int) -> n
     """Pixels from residuals; ``modes`` holds the predictor of each block in its green channel."""
     height, width = image.shape[:2]
     out = image.astype(np.int32)
-    for y in range(height):
-        for x in range(width):
-            if y == 0:
-                p = out[0, x - 1] if x else BLACK
-            elif x == 0:
-                p = out[y - 1, 0]
-            else:
-                corner = out[y - 1, x + 1] if x + 1 < width else out[y, 0]
-                p = _predict(int(modes[y >> size_bits, x >> size_bits, 1]) & 15, out[y, x - 1], out[y - 1, x], corner, out[y - 1, x - 1])
+    modes = modes[..., 1] & 15
+    out[0, 0] += BLACK
+    if (modes == modes.flat[0]).all() and modes.flat[0] in (LEFT, TOP):
+        # the first row goes by the left neighbour and the first column by the upper one, whatever the mode
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        if modes.flat[0] == LEFT:
+            return (np.cumsum(out, axis=1) & 255).astype(np.uint8)
+        out[0] = np.cumsum(out[0], axis=0)
+        out[:, 1:] = np.cumsum(out[:, 1:], axis=0)
+        return (out & 255).astype(np.uint8)
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    for y in range(1, height):
+        out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
+        for x in range(1, width):
+            corner = out[y - 1, x + 1] if x + 1 < width else out[y, 0]
+            p = _predict(int(modes[y >> size_bits, x >> size_bits]), out[y, x - 1], out[y - 1, x], corner, out[y - 1, x - 1])
             out[y, x] = (out[y, x] + p) & 255
     return out.astype(np.uint8)
 
@@ -296,32 +405,34 @@ def _header(data: bytes) -> tuple[Bits, int, int, bool]:
     return bits, width, height, alpha
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width, rgba) of a lossless WebP file."""
+def decode(data: bytes, seen: set[int] | None = None) -> np.ndarray:
+    """The pixels (height, width, rgba) of a lossless WebP file; ``seen`` gets the kinds of its transforms."""
     bits, width, height, alpha = _header(data)
     steps, now = [], width
     while bits.read(1):
         kind = bits.read(2)
         if any(kind == k for k, *_ in steps):
             raise ValueError("transform used twice")
-        if kind in (0, 1):
+        if kind in (PREDICTOR, CROSS_COLOUR):
             size_bits = bits.read(3) + 2
             block = 1 << size_bits
             steps.append((kind, _entropy_image(bits, -(-now // block), -(-height // block), False), size_bits))
-        elif kind == 3:
+        elif kind == PALETTE:
             table = _entropy_image(bits, bits.read(8) + 1, 1, False)[0]
             table = np.cumsum(table.astype(np.int64), axis=0).astype(np.uint8)
-            steps.append((3, table, now))
+            steps.append((PALETTE, table, now))
             now = -(-now // (1 << _bundle_bits(len(table))))
         else:
-            steps.append((2, None, 0))
+            steps.append((SUBTRACT_GREEN, None, 0))
+    if seen is not None:
+        seen.update(k for k, *_ in steps)
     image = _entropy_image(bits, now, height, True)
     for kind, extra, n in reversed(steps):
-        if kind == 0:
+        if kind == PREDICTOR:
             image = inverse_predictor(image, extra, n)
-        elif kind == 1:
+        elif kind == CROSS_COLOUR:
             image = inverse_cross_colour(image, extra, n)
-        elif kind == 2:
+        elif kind == SUBTRACT_GREEN:
             image = image.copy()
             image[..., 0] += image[..., 1]
             image[..., 2] += image[..., 1]
@@ -332,7 +443,7 @@ def decode(data: bytes) -> np.ndarray:
     return image
 
 
-def code_lengths(counts: np.ndarray, limit: int = LANE_BITS) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int = LONGEST_CODE) -> np.ndarray:
     """Huffman code lengths of at most ``limit`` bits; a single symbol gets length 1."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
@@ -409,114 +520,224 @@ def _riff(chunk: bytes) -> bytes:
 _ONE_BLACK, _ONE_OPAQUE = (_write_prefix(np.eye(LITERALS, dtype=np.int64)[k])[0] for k in (0, 255))
 
 
-def encode_many(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) -> list[bytes]:
-    """Files of grey-in-green images; image i is ``samples[bounds[i]:bounds[i+1]]`` in rows of ``widths[i]``."""
-    n = len(bounds) - 1
-    size = np.diff(bounds)
+def _residuals(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the predictors by the left and by the upper neighbour leave of grey samples."""
+    left, top = samples.copy(), samples.copy()
+    left[1:] -= samples[:-1]
+    for w in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == w)
+        rows = np.diff(bounds)[mine] // w
+        first = np.repeat(bounds[:-1][mine] - w * (np.cumsum(rows) - rows), rows) + w * np.arange(rows.sum())  # where rows begin
+        if len(mine) == len(widths):
+            top[w:] -= samples[:-w]
+        else:
+            at = (first[:, None] + np.arange(w)).ravel()
+            top[at] -= samples[np.maximum(at - w, 0)]
+        left[first] = samples[first] - samples[np.maximum(first - w, 0)]
+        head = (bounds[:-1][mine][:, None] + np.arange(w)).ravel()
+        top[head] = samples[head] - samples[np.maximum(head - 1, 0)]
+        for plane in (left, top):
+            plane[bounds[:-1][mine]] = samples[bounds[:-1][mine]]
+    return left, top
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of the samples counted in each row."""
+    total = counts.sum(axis=1, keepdims=True)
+    share = np.where(counts > 0, counts / np.maximum(total, 1), 1.0)
+    return -(counts * np.log2(share)).sum(axis=1)
+
+
+def find_copies(data: bytes) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of passages that come again, from left to right, each from where it stood last."""
+    flat = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = len(flat) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    key = flat[:n].copy()
+    for k in range(1, 5):
+        key |= flat[k : n + k] << np.uint64(8 * k)
+    key = np.sort(key << np.uint64(24) | np.arange(n, dtype=np.uint64))
+    place = (key & np.uint64(0xFFFFFF)).astype(np.int64)
+    key >>= np.uint64(24)
+    again = np.flatnonzero(key[1:] == key[:-1])
+    found, before = place[again + 1], place[again]
+    by = np.argsort(found)
+    found, before = found[by], before[by]
+    same = flat[found + 5] == flat[before + 5]
+    out, end, size = [], 0, len(data)
+    for i, j in zip(found[same].tolist(), before[same].tolist(), strict=True):
+        if i < end:
+            continue
+        length, most = LEAST_COPY, min(MOST_COPY, size - i)
+        while length + 16 <= most and data[i + length : i + length + 16] == data[j + length : j + length + 16]:
+            length += 16
+        while length < most and data[i + length] == data[j + length]:
+            length += 1
+        out.append((i, length, i - j))
+        end = i + length
+    return out
+
+
+def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distance codes, how many extra bits each has, and these."""
+    v = value - 1
+    top = np.frexp(np.maximum(v, 1).astype(float))[1] - 1  # place of the highest bit
+    extra = np.where(v < 4, 0, top - 1)
+    symbol = np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1))
+    return symbol, extra, v & ((1 << extra) - 1)
+
+
+def _near_codes(width: int) -> np.ndarray:
+    """The least short code of each small distance; 0 if there is none."""
+    out = np.zeros(9 + 8 * width + 8, np.int64)
+    for code in range(len(NEAR), 0, -1):
+        out[_copy_source(code, width)] = code
+    return out
+
+
+class _Writer:
+    """Bits of a file's head as one integer."""
+
+    def __init__(self):
+        self.value, self.bits = 0, 0
+
+    def put(self, value: int, bits: int) -> None:
+        self.value |= value << self.bits
+        self.bits += bits
+
+    def code(self, lengths: np.ndarray) -> None:
+        self.put(*_write_prefix(lengths))
+
+    def small_image(self, pixels: np.ndarray) -> None:
+        """An image (n, rgba) without cache, references and meta codes."""
+        self.put(0, 1)
+        channels = [pixels[:, c].astype(np.int64) for c in (1, 0, 2, 3)]
+        codes = []
+        for c, size in zip(channels, (LITERALS + LENGTHS, LITERALS, LITERALS, LITERALS), strict=True):
+            lengths = code_lengths(np.bincount(c, minlength=size))
+            self.code(lengths)
+            codes.append((canonical(lengths), np.zeros_like(lengths) if (lengths > 0).sum() == 1 else lengths))
+        self.code(np.eye(DISTANCES, dtype=np.int64)[0])
+        for pixel in zip(*(c.tolist() for c in channels), strict=True):
+            for s, (words, lengths) in zip(pixel, codes, strict=True):
+                self.put(int(words[s]) if lengths[s] else 0, int(lengths[s]))
+
+
+def _plans(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) -> tuple[list[bytes], list[int | np.ndarray | None]]:
+    """What each image codes: its plane, and the predictor or the palette (or None) that leads back to the samples."""
+    n, size = len(bounds) - 1, np.diff(bounds)
     image = np.repeat(np.arange(n), size)
-    cell = image * LITERALS + samples
-    counts = np.bincount(cell, minlength=n * LITERALS).reshape(n, LITERALS)
-    lengths = np.zeros((n, LITERALS), np.int64)
-    codes = np.zeros((n, LITERALS), np.int64)
+    count = lambda plane: np.bincount(image * LITERALS + plane, minlength=n * LITERALS).reshape(n, LITERALS)
+    counts = count(samples)
+    planes = [samples, *_residuals(samples, bounds, widths)]
+    costs = [_entropy(counts), *(_entropy(count(p)) + 200 for p in planes[1:])]
+    best = np.argmin(costs, axis=0)
+    values = (counts > 0).sum(axis=1)
+    out: list[bytes] = []
+    how: list[int | np.ndarray | None] = []
+    for i in range(n):
+        own = slice(bounds[i], bounds[i + 1])
+        if 1 < values[i] <= 16:
+            palette = np.flatnonzero(counts[i])
+            bits = _bundle_bits(len(palette))
+            index = np.searchsorted(palette, samples[own]).reshape(-1, widths[i])
+            index = np.pad(index, ((0, 0), (0, -int(widths[i]) % (1 << bits)))).reshape(len(index), -1, 1 << bits)
+            out.append((index << np.arange(1 << bits) * (8 >> bits)).sum(axis=2).astype(np.uint8).tobytes())
+            how.append(palette)
+        else:
+            out.append(planes[best[i]][own].tobytes())
+            how.append((None, LEFT, TOP)[best[i]])
+    return out, how
+
+
+def encode_many(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) -> list[bytes]:
+    """Files of grey images; image i is ``samples[bounds[i]:bounds[i+1]]`` in rows of ``widths[i]``."""
+    n, height = len(bounds) - 1, np.diff(bounds) // widths
+    planes, how = _plans(samples, bounds, widths)
+    coded = np.array([len(p) for p in planes], np.int64)
+    first = np.cumsum(coded) - coded
+    flat = np.frombuffer(b"".join(planes), np.uint8).astype(np.int64)
+    copies = [find_copies(p) for p in planes]
+    each = np.array([len(c) for c in copies], np.int64)
+    start, length, distance = np.array([c for own in copies for c in own], np.int64).reshape(-1, 3).T
+    of_copy = np.repeat(np.arange(n), each)
+    rows = np.array([p // h for p, h in zip(coded.tolist(), height.tolist(), strict=True)], np.int64)  # pixels in a coded row
+    code = distance + len(NEAR)
+    for w in np.unique(rows).tolist():
+        near = _near_codes(w)
+        own = np.flatnonzero((rows[of_copy] == w) & (distance < len(near)))
+        code[own] = np.where(near[distance[own]] > 0, near[distance[own]], code[own])
+    length_symbol, length_bits, length_extra = _prefixed(length)
+    far_symbol, far_bits, far_extra = _prefixed(code)
+
+    inside = np.zeros(len(flat) + 1, np.int32)
+    begin = first[of_copy] + start
+    np.add.at(inside, begin, 1)
+    np.subtract.at(inside, begin + length, 1)
+    literal = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    of_literal = np.repeat(np.arange(n), coded)[literal]
+    green = LITERALS + LENGTHS
+    counts = np.bincount(np.concatenate([of_literal * green + flat[literal], of_copy * green + LITERALS + length_symbol]), minlength=n * green).reshape(n, green)
+    far_counts = np.bincount(of_copy * DISTANCES + far_symbol, minlength=n * DISTANCES).reshape(n, DISTANCES)
+
+    lengths, far_lengths = np.zeros((n, green), np.int64), np.zeros((n, DISTANCES), np.int64)
     heads = []
     for i in range(n):
+        head = _Writer()
+        head.put(0x2F | (int(widths[i]) - 1) << 8 | (int(height[i]) - 1) << 22, 40)
+        if isinstance(how[i], np.ndarray):
+            grey = np.diff(how[i], prepend=0)
+            head.put(1 | PALETTE << 1 | (len(grey) - 1) << 3, 11)
+            head.small_image(np.stack([grey, grey, grey, np.eye(len(grey), dtype=np.int64)[0] * 255], axis=1))
+        else:
+            if how[i]:
+                head.put(1 | PREDICTOR << 1 | 7 << 3, 6)  # blocks of the largest side
+                blocks = (-(-int(widths[i]) >> 9) or 1) * (-(-int(height[i]) >> 9) or 1)
+                head.small_image(np.tile([0, how[i], 0, 255], (blocks, 1)))
+            head.put(1 | SUBTRACT_GREEN << 1, 3)
+        head.put(0, 3)  # no other transform, no colour cache, one group of codes
         lengths[i] = code_lengths(counts[i])
-        full = np.concatenate([lengths[i], np.zeros(LENGTHS, np.int64)])
-        codes[i] = canonical(lengths[i])
-        value, bits = 0x2F | (int(widths[i]) - 1) << 8 | (int(size[i] // widths[i]) - 1) << 22, 40
-        bits += 3  # no transform, no colour cache, one group of codes
-        own, k = _write_prefix(full)
-        value |= own << bits
-        bits += k
-        for one in (_ONE_BLACK, _ONE_BLACK, _ONE_OPAQUE, _ONE_BLACK):
-            value |= one << bits
-            bits += 11
-        heads.append((value, bits))
-        if (lengths[i] > 0).sum() == 1:
-            lengths[i] = 0  # the only symbol takes no bits
-    each = lengths.ravel()[cell]
-    before = np.cumsum(each) - each
-    total = np.bincount(image, weights=each, minlength=n).astype(np.int64)
-    head_bits = np.array([b for _, b in heads], np.int64)
-    room = (head_bits + total + 7) // 8 + 3
+        far_lengths[i] = code_lengths(far_counts[i]) if each[i] else np.eye(DISTANCES, dtype=np.int64)[0]
+        head.code(lengths[i])
+        alpha = _ONE_BLACK if how[i] is not None and not isinstance(how[i], np.ndarray) else _ONE_OPAQUE  # residuals of alpha are 0
+        for one in (_ONE_BLACK, _ONE_BLACK, alpha):
+            head.put(one, 11)
+        head.code(far_lengths[i])
+        for table in (lengths, far_lengths):
+            if (table[i] > 0).sum() == 1:
+                table[i] = 0  # the only symbol takes no bits
+        heads.append(head)
+
+    words, far_words = canonical(lengths), canonical(far_lengths)  # no bits, no word
+    # the bits of all tokens in order; a copy has two parts, its length and its distance
+    cell = of_literal * green + flat[literal]
+    near_cell, far_cell = of_copy * green + LITERALS + length_symbol, of_copy * DISTANCES + far_symbol
+    far_size = far_lengths.ravel()[far_cell]
+    order = np.argsort(np.concatenate([2 * literal, 2 * begin, 2 * begin + 1]), kind="stable")
+    bits = np.concatenate([lengths.ravel()[cell], lengths.ravel()[near_cell] + length_bits, far_size + far_bits])[order]
+    value = np.concatenate([
+        words.ravel()[cell], words.ravel()[near_cell] | length_extra << lengths.ravel()[near_cell],
+        far_words.ravel()[far_cell] | far_extra << far_size,
+    ])[order]
+    owner = np.concatenate([of_literal, of_copy, of_copy])[order]
+    total = np.bincount(owner, weights=bits, minlength=n).astype(np.int64)
+    head_bits = np.array([h.bits for h in heads], np.int64)
+    room = (head_bits + total + 7) // 8 + 6
     base = np.cumsum(room) - room
-    at = before - before[np.minimum(bounds[:-1], max(0, len(before) - 1))].repeat(size) + (base * 8 + head_bits).repeat(size)
-    value = codes.ravel()[cell] << (at & 7)
-    flat = np.zeros(int(room.sum()), np.int64)
-    for k in range(3):
-        flat += np.bincount((at >> 3) + k, weights=value >> (8 * k) & 255, minlength=len(flat))[: len(flat)].astype(np.int64)
-    flat = flat.astype(np.uint8)
-    out = []
-    for i, (head, bits) in enumerate(heads):
-        own = bytearray(flat[base[i] : base[i] + (bits + int(total[i]) + 7) // 8].tobytes())
-        h = head.to_bytes((bits + 7) // 8, "little")
+    before = np.cumsum(bits) - bits
+    at = before + (base * 8 + head_bits - (np.cumsum(total) - total))[owner]
+    value <<= at & 7
+    out = np.zeros(int(room.sum()), np.int64)
+    for k in range(5):
+        some = np.flatnonzero(value >> (8 * k)) if k else slice(None)
+        out += np.bincount((at[some] >> 3) + k, weights=value[some] >> (8 * k) & 255, minlength=len(out)).astype(np.int64)
+    done = out.astype(np.uint8)
+    files = []
+    for i, head in enumerate(heads):
+        own = bytearray(done[base[i] : base[i] + (head.bits + int(total[i]) + 7) // 8].tobytes())
+        h = head.value.to_bytes((head.bits + 7) // 8, "little")
         own[: len(h) - 1] = h[:-1]
         own[len(h) - 1] |= h[-1]
-        out.append(_riff(bytes(own)))
-    return out
-
-
-def _plain(data: bytes) -> tuple[np.ndarray, int, int, int] | None:
-    """Green code lengths, first data bit and sides of a file that lanes can decode."""
-    bits, width, height, alpha = _header(data)
-    if bits.read(3) or alpha:
-        return None
-    green = read_prefix(bits, LITERALS + LENGTHS)
-    rest = [read_prefix(bits, n) for n in (LITERALS, LITERALS, LITERALS)]
-    read_prefix(bits, DISTANCES)
-    if green[LITERALS:].any() or green.max() > LANE_BITS or any((r > 0).sum() != 1 for r in rest) or rest[0][0] != 1 or rest[1][0] != 1:
-        return None
-    return green[:LITERALS], bits.position, width, height
-
-
-def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """The pixels (height, width, rgba), or only green (height, width) for files of the encoder's plain kind."""
-    out: list[np.ndarray] = [np.zeros(0)] * len(files)
-    lanes = []
-    for i, data in enumerate(files):
-        plain = _plain(data)
-        if plain is None:
-            out[i] = decode(data)
-        elif (plain[0] > 0).sum() == 1:
-            out[i] = np.full((plain[3], plain[2]), plain[0].argmax(), np.uint8)
-        else:
-            lanes.append((i, *plain))
-    if not lanes:
-        return out
-    lanes.sort(key=lambda x: -x[3] * x[4])
-    table = np.zeros((len(lanes), 1 << LANE_BITS), np.uint16)  # symbol << 4 | bits
-    chunks, starts, at = [], [], 0
-    for k, (i, lengths, first, _, _) in enumerate(lanes):
-        used = np.flatnonzero(lengths)
-        own = lengths[used]
-        codes = canonical(lengths)[used]
-        for s, n, code in zip(used.tolist(), own.tolist(), codes.tolist(), strict=True):
-            table[k, code :: 1 << n] = s << 4 | n
-        chunk = _payload(files[i])
-        chunks.append(chunk)
-        starts.append(at * 8 + first)
-        at += len(chunk)
-    flat = np.frombuffer(b"".join(chunks) + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    window = flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16
-    del flat
-    table = table.ravel()
-    size = np.array([w * h for _, _, _, w, h in lanes], np.int64)
-    place = np.cumsum(size) - size
-    pixels = np.zeros(int(size.sum()), np.uint8)
-    bit = np.array(starts, np.int64)
-    base = np.arange(len(lanes), dtype=np.int64) << LANE_BITS
-    mask = np.uint32((1 << LANE_BITS) - 1)
-    live = len(lanes)
-    ends = size[::-1]
-    for step in range(int(size[0])):
-        if size[live - 1] <= step:
-            live = len(lanes) - int(np.searchsorted(ends, step, "right"))
-            bit, base, place = bit[:live], base[:live], place[:live]
-        key = window[bit >> 3] >> (bit & 7).astype(np.uint32) & mask
-        found = table[base + key]
-        pixels[place + step] = found >> 4
-        bit += found & 15
-    first = np.cumsum(size) - size
-    for k, (i, _, _, w, h) in enumerate(lanes):
-        out[i] = pixels[first[k] : first[k] + size[k]].reshape(h, w)
-    return out
+        files.append(_riff(bytes(own)))
+    return files

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from ledgerline.llm import media, webp
-from tests.llm.conftest import ODD, rows
+from ledgerline.llm.queries import op6_media_columns
+from tests.llm.conftest import ODD, SF, rows
 from tests.llm.webp_writer import Writer
 
 
@@ -21,15 +23,57 @@ def test_round_trip(spark, odd):
     assert len({r[1:] for r in got}) == len({r[1] or "" for r in ODD})  # equal texts, equal values
 
 
-def test_lanes_equal_the_whole_decoder():
+def payload(text):
+    raw = (text or "").encode()
+    return raw, raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+
+
+def test_query_reads_back_every_document(spark, documents):
+    """All fields of the query from the texts alone; the files go through transforms and back-references."""
+    got = {r[0]: r for r in rows(op6_media_columns(spark, SF))}
+    stored = {r[0]: r[2] for r in rows(media.encode(spark.read.parquet(f"{SF}/documents.parquet")))}
+    kinds, copies, size = Counter(), 0, 0
+    for doc_id, text, *_ in documents:
+        raw, pay = payload(text)
+        files = stored[doc_id]
+        held = b"".join(files)
+        assert got[doc_id][1:7] == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]), len(held), hashlib.sha256(held).hexdigest())
+        for f in files:
+            seen = set()
+            assert (webp.decode(f, seen)[..., 1].tobytes()) in pay
+            kinds.update(seen)
+        copies += len(webp.find_copies(pay)) > 0
+        size += len(held)
+        counts = Counter(pay)
+        top = min(counts, key=lambda k: (-counts[k], k))
+        assert got[doc_id][7] == f"{len(files)}:{len(counts)}:{top}:{1000 * sum(pay) // len(pay)}"
+    assert kinds[webp.SUBTRACT_GREEN] and copies == len(documents) and size < 0.6 * sum(len(payload(t)[0]) for _, t, *_ in documents)
+
+
+def test_encoder_chooses_transforms():
     dice = np.random.default_rng(2)
-    sizes = [576, 576 * 3, 576 * 10, 576]
-    samples = np.concatenate([dice.integers(0, 256, 576), dice.geometric(0.02, 576 * 3) % 256, dice.integers(97, 100, 576 * 10), np.full(576, 7)]).astype(np.uint8)
-    files = webp.encode_many(samples, np.cumsum([0, *sizes]), np.full(4, 24))
-    for file, flat, own in zip(files, webp.decode_many(files), np.split(samples, np.cumsum(sizes)[:-1])):
-        assert (flat.ravel() == own).all()
-        full = webp.decode(file)
-        assert (full[..., 1].ravel() == own).all() and (full[..., 3] == 255).all() and not full[..., 0].any()
+    walk = lambda n: np.cumsum(dice.integers(-2, 3, n)) % 256
+    own = [dice.integers(0, 256, 576), dice.geometric(0.02, 1728) % 256, dice.integers(97, 100, 5760), np.full(576, 7), np.arange(576) % 256, walk(48_000), np.tile(np.frombuffer(b"hello world, again ", np.uint8), 31)[:576],
+           (walk(24)[None] + walk(48)[:, None]).ravel() % 256, np.arange(576 * 20) // 5 % 13, dice.integers(0, 2, 576), np.repeat(dice.integers(0, 256, 24), 24 * 24)]
+    own = [np.asarray(x, np.uint8) for x in own]
+    for widths in (np.full(len(own), 24), np.array([576 if len(x) % 576 == 0 and i % 2 else 24 for i, x in enumerate(own)])):
+        files = webp.encode_many(np.concatenate(own), np.cumsum([0, *map(len, own)]), widths)
+        kinds = []
+        for file, samples, w in zip(files, own, widths):
+            seen = set()
+            full = webp.decode(file, seen)
+            kinds.append(seen)
+            assert full.shape[1] == w and (full[..., :3].reshape(-1, 3) == samples[:, None]).all() and (full[..., 3] == 255).all()
+        assert kinds[0] == {webp.SUBTRACT_GREEN} and kinds[2] == {webp.PALETTE} and webp.PREDICTOR in kinds[5] and len(files[6]) < 200
+
+
+def test_long_copies_and_distances():
+    dice = np.random.default_rng(4)
+    block = dice.integers(0, 256, 30_000).astype(np.uint8)
+    samples = np.concatenate([block, block, block[::-1], block, np.full(24 * 700, 255, np.uint8)])
+    (file,) = webp.encode_many(samples, np.array([0, len(samples)]), np.array([24]))
+    assert (webp.decode(file)[..., 1].ravel() == samples).all() and len(file) < 2.2 * len(block)
+    assert all(n <= webp.MOST_COPY for _, n, _ in webp.find_copies(samples.tobytes()))
 
 
 def test_tall_payloads_are_cut(monkeypatch):
@@ -42,7 +86,7 @@ def test_tall_payloads_are_cut(monkeypatch):
 def test_length_limit():
     counts = np.array([1, 1] + [int(1.6**k) for k in range(1, 40)])
     lengths = webp.code_lengths(counts)
-    assert lengths.max() <= webp.LANE_BITS and sum(2.0 ** -int(n) for n in lengths) == 1
+    assert lengths.max() <= webp.LONGEST_CODE and sum(2.0 ** -int(n) for n in lengths) == 1
 
 
 def test_near_offsets():

@@ -26,6 +26,7 @@ class Config:
     min_sector_names: int = 5
     nw_lags: int = 4
     text_measure: str = "cosine"
+    float_band: tuple[float, float] = (0.02, 0.5)
 
     def __post_init__(self):
         if self.start >= self.end:
@@ -39,6 +40,8 @@ class Config:
         for name in ("lag_days", "n_deciles", "min_names", "holding_months"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
+        if not 0 <= self.float_band[0] < self.float_band[1]:
+            raise ValueError("float_band must be ordered ratios")
         if self.cost_bps < 0:
             raise ValueError("cost_bps must not be negative")
 
@@ -62,6 +65,6 @@ def load(path: str | Path) -> Config:
     unknown = set(given) - {f.name for f in fields(Config)}
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    if "winsor" in given:
-        given["winsor"] = tuple(given["winsor"])
+    for name in {"winsor", "float_band"} & set(given):
+        given[name] = tuple(given[name])
     return Config(**given)

@@ -85,3 +85,11 @@ def superseding_commit(log: DataFrame, commits: DataFrame) -> DataFrame:
     rows = log.withColumns({"__when": F.to_timestamp("timestamp"), "__one": one})
     out = asof_forward(rows, commits.withColumn("__one", one), ["__one"], "__when", "when", ["when", "sha", "subject"])
     return out.drop("__when", "__one")
+
+
+def lines(log: DataFrame) -> DataFrame:
+    """(status, line) of classified rows with the commit after them: when, which run, its note and what followed."""
+    no_sector = F.when(F.contains(F.coalesce("note", F.lit("")), F.lit("no-sector")), ", no-sector").otherwise("")
+    run = [F.col("timestamp"), F.lit(" `"), F.col("factor"), F.lit("` ("), F.col("signal"), F.lit(", "), F.col("weighting"), F.lit(", hold "), F.col("holding_months"), no_sector, F.lit(") net Sharpe ")]
+    after = F.coalesce(F.concat(F.col("sha"), F.lit(' "'), F.col("subject"), F.lit('"')), F.lit("no commit after it yet"))
+    return log.select("status", F.concat(*run, F.coalesce("sharpe_net", F.lit("n/a")), F.lit(', "'), F.col("note"), F.lit('" → '), after).alias("line"))

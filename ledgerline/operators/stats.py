@@ -22,10 +22,10 @@ def _joined(z: DataFrame, returns: DataFrame, ret: str) -> DataFrame:
     return rows.where(finite("z") & finite("__r"))
 
 
-def ic_series(z: DataFrame, returns: DataFrame, ret: str = "ret_fwd", least: int = 10) -> DataFrame:
-    """(month, ic, n): the rank correlation of scores and returns, ties at their mean rank."""
-    rows = _joined(z, returns, ret).withColumns({"__a": average_rank("z", "month"), "__b": average_rank("__r", "month")})
-    return rows.groupBy("month").agg(F.corr("__a", "__b").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+def ic_series(z: DataFrame, returns: DataFrame, ret: str = "ret_fwd", least: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, month, ic, n): the rank correlation of scores and returns, ties at their mean rank."""
+    rows = _joined(z, returns, ret).withColumns({"__a": average_rank("z", *keys, "month"), "__b": average_rank("__r", *keys, "month")})
+    return rows.groupBy(*keys, "month").agg(F.corr("__a", "__b").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def mean_t(series: DataFrame, value: str) -> DataFrame:
@@ -95,9 +95,9 @@ def newey_west(series: DataFrame, value: str, lags: int, keys: list[str] | None
     return rows.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), (total / n / n).alias("variance"))
 
 
-def slopes(z: DataFrame, returns: DataFrame, ret: str = "ret_fwd", least: int = 10) -> DataFrame:
-    """(month, slope, n) of returns on scores."""
-    return _joined(z, returns, ret).groupBy("month").agg(F.regr_slope("__r", "z").alias("slope"), F.count("*").alias("n")).where(F.col("n") >= least)
+def slopes(z: DataFrame, returns: DataFrame, ret: str = "ret_fwd", least: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, month, slope, n) of returns on scores."""
+    return _joined(z, returns, ret).groupBy(*keys, "month").agg(F.regr_slope("__r", "z").alias("slope"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def fama_macbeth(z: DataFrame, returns: DataFrame, lags: int, ret: str = "ret_fwd", least: int = 10) -> DataFrame:
@@ -106,6 +106,25 @@ def fama_macbeth(z: DataFrame, returns: DataFrame, lags: int, ret: str = "ret_fw
     return nw.select("n", F.col("mean").alias("premium"), F.sqrt("variance").alias("se"), ratio("mean", F.sqrt("variance")).alias("t"))
 
 
+def rolling_mean(series: DataFrame, value: str, window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``series`` with ``rolling``, the mean of the last ``window`` rows; null until there are as many."""
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("month").rowsBetween(1 - window, 0)  # a row a month
+    return series.withColumn("rolling", F.when(F.count(value).over(order) == window, F.avg(value).over(order)))
+
+
+def cumulative_log(series: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``series`` with ``log_return``, the running sum of log(1 + value)."""
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn("log_return", F.sum(F.log1p(value)).over(order))
+
+
+def concentration(weighted: DataFrame, top: int = 5) -> DataFrame:
+    """(decile, max_w, top_w): the mean over months of the largest weight and of the sum of the ``top`` largest."""
+    rank = F.row_number().over(Window.partitionBy("month", "decile").orderBy(F.col("w").desc(), "ticker"))
+    month = weighted.withColumn("__r", rank).groupBy("month", "decile").agg(F.max("w").alias("m"), F.sum(F.when(F.col("__r") <= top, F.col("w"))).alias("t"))
+    return month.groupBy("decile").agg(F.avg("m").alias("max_w"), F.avg("t").alias("top_w"))
+
+
 def sharpe(value: Column | str, periods: int = YEAR) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     return F.when(F.stddev_samp(v) > 0, F.avg(v) / F.stddev_samp(v) * math.sqrt(periods))

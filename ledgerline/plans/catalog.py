@@ -164,7 +164,7 @@ class Market:
     @kept
     def float_check(self) -> DataFrame:
         floats, covers = market.floats(self.spark, self.sf_dir), market.covers(self.spark, self.sf_dir)
-        return facts.public_float_check(floats, self.ciks, self.caps, self.raw_prices, self.splits, covers, 0.02, 0.5, CFG.start, CFG.end)
+        return facts.public_float_check(floats, self.ciks, self.caps, self.raw_prices, self.splits, covers, *CFG.float_band, CFG.start, CFG.end)
 
     @cached_property
     def doc_index(self) -> DataFrame:
@@ -189,7 +189,7 @@ class Market:
     @cached_property
     def spec_log(self) -> DataFrame:
         """Orders seen as logged runs."""
-        o = self.table("orders").where("o_orderkey % 20 = 0")
+        o = self.table("orders")
         text = lambda c: F.col(c).cast("string")
         note = F.when(F.col("o_orderkey") % 3 == 0, "sensitivity terminal").when(F.col("o_orderkey") % 3 == 1, "base no-sector").otherwise("base")
         rows = o.select(
@@ -887,3 +887,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, sector-neutral, in ranked portfolios: the monthly long-short spread."""
     return QUERIES["long_short"](spark, sf_dir)
 
+
+
+from ledgerline.plans import reports  # noqa: E402, F401  registers its queries

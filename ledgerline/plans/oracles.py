@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
       (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, period ORDER BY filed, adsh) AS r FROM docidx) WHERE r = 1) WINDOW w AS (PARTITION BY cik ORDER BY period))
       WHERE prev_adsh IS NOT NULL AND prev_period >= (period - INTERVAL 18 MONTH)::DATE""",
     "specs": """SELECT strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(o_orderkey::VARCHAR, 12, '0') AS "timestamp", 'f' || (o_custkey % 5) AS factor, 's' || (o_custkey % 2) AS signal, 'ew' AS weighting, '1' AS holding_months, '10' AS n_deciles,
-      CASE o_orderkey % 3 WHEN 0 THEN 'sensitivity terminal' WHEN 1 THEN 'base no-sector' ELSE 'base' END AS note, o_totalprice AS sharpe FROM orders WHERE o_orderkey % 20 = 0""",
+      CASE o_orderkey % 3 WHEN 0 THEN 'sensitivity terminal' WHEN 1 THEN 'base no-sector' ELSE 'base' END AS note, o_totalprice AS sharpe FROM orders""",
     "speclog": f"""SELECT *, substr(sha256(array_to_string([{", ".join({"factor": "factor", "signal": "signal", "weighting": "weighting", "holding_months": "holding_months", "n_deciles": "n_deciles", "sector_neutral": "sector_neutral", "variant": "variant"}.get(k, "''") for k in KEY_FIELDS)}], chr(31))), 1, 12) AS spec_key
       FROM (SELECT *, CASE WHEN note LIKE 'sensitivity%' THEN 'diagnostic' ELSE 'candidate' END AS kind, CASE WHEN note LIKE '%no-sector%' THEN '0' ELSE '1' END AS sector_neutral, CASE WHEN note LIKE 'sensitivity terminal%' THEN 'terminal' ELSE '' END AS variant FROM specs)""",
     "coverage": """SELECT month, count(*) AS members, count(priced) AS priced, count(fwd) AS fwd, round(100.0::DOUBLE * (count(*) - count(priced)) / count(*), 2) AS gap_pct
@@ -165,12 +165,17 @@ def _backtest(weights: str, k: int) -> str:
           ON a.block = b.block AND a.decile = b.decile AND a.ticker = b.ticker GROUP BY 1, 2) t JOIN (SELECT j // {k} AS block, month FROM bm_{weights} WHERE j % {k} = 0) f USING (block)) USING (month, decile)"""
 
 
+def _simulation(w: str, k: int, rets: str = "rets") -> None:
+    """Views of the portfolios with weights ``w`` held for k months."""
+    VIEWS[f"bm_{w}"] = f"SELECT month, row_number() OVER (ORDER BY month) - 1 AS j FROM (SELECT DISTINCT month FROM {w})"
+    VIEWS[f"bh_{w}{k}"] = f"""SELECT *, CASE WHEN u > 0 THEN h / u ELSE w_in END AS w_out FROM (SELECT *, sum(h) OVER (PARTITION BY j, decile) AS u FROM (SELECT *, w_in * (1 + coalesce(ret, 0)) AS h FROM (SELECT *, CASE WHEN t > 0 THEN g / t ELSE w END AS w_in FROM (
+      SELECT *, sum(g) OVER (PARTITION BY j, decile) AS t FROM (SELECT m.month, m.j, f.decile, f.ticker, f.w, ret, f.w * coalesce(product(1 + coalesce(ret, 0)) OVER (PARTITION BY f.decile, f.ticker, m.j // {k} ORDER BY m.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS g
+      FROM bm_{w} m JOIN (SELECT j // {k} AS block, ticker, decile, w FROM {w} JOIN bm_{w} USING (month) WHERE j % {k} = 0) f ON f.block = m.j // {k} LEFT JOIN {rets} r ON r.month = m.month AND r.ticker = f.ticker)))))"""
+    VIEWS[f"bt_{w}{k}"] = _backtest(w, k)
+
+
 for _w, _k in (("ew", 1), ("ew", 3), ("cw", 1)):
-    VIEWS[f"bm_{_w}"] = f"SELECT month, row_number() OVER (ORDER BY month) - 1 AS j FROM (SELECT DISTINCT month FROM {_w})"
-    VIEWS[f"bh_{_w}{_k}"] = f"""SELECT *, CASE WHEN u > 0 THEN h / u ELSE w_in END AS w_out FROM (SELECT *, sum(h) OVER (PARTITION BY j, decile) AS u FROM (SELECT *, w_in * (1 + coalesce(ret, 0)) AS h FROM (SELECT *, CASE WHEN t > 0 THEN g / t ELSE w END AS w_in FROM (
-      SELECT *, sum(g) OVER (PARTITION BY j, decile) AS t FROM (SELECT m.month, m.j, f.decile, f.ticker, f.w, ret, f.w * coalesce(product(1 + coalesce(ret, 0)) OVER (PARTITION BY f.decile, f.ticker, m.j // {_k} ORDER BY m.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS g
-      FROM bm_{_w} m JOIN (SELECT j // {_k} AS block, ticker, decile, w FROM {_w} JOIN bm_{_w} USING (month) WHERE j % {_k} = 0) f ON f.block = m.j // {_k} LEFT JOIN rets r ON r.month = m.month AND r.ticker = f.ticker)))))"""
-    VIEWS[f"bt_{_w}{_k}"] = _backtest(_w, _k)
+    _simulation(_w, _k)
 VIEWS["bt"] = "SELECT * FROM bt_ew1"
 del VIEWS["dec"]
 

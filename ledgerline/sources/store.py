@@ -24,6 +24,15 @@ def _base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """The URI of a table or file that a query is about to write; removed at exit when it is a local mount."""
+    uri = f"{_base(spark)}/tables-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        atexit.register(shutil.rmtree, unquote(parts.path), ignore_errors=True)
+    return uri
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back.
 
@@ -31,9 +40,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     plan above stays small (self-joins rewrite all that is below them), and a lost
     executor takes nothing with it.
     """
-    uri = f"{_base(df.sparkSession)}/tables-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    uri = new_table(df.sparkSession, name)
     df.write.parquet(uri)
-    parts = urlparse(uri)
-    if parts.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, unquote(parts.path), ignore_errors=True)
     return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -27,6 +27,8 @@ from ledgerline.llm.textkernel import slices
 BLOCK, ROW, PAD = 576, 24, 255
 #: Bytes of text that are coded side by side, unless one document alone is longer.
 GROUP_BYTES = 3 << 20
+#: Bytes of files that are read back side by side.
+READ_BYTES = 6 << 20
 #: Rows of an image of wide rows: about a million samples, as far as back-references reach.
 MOST_ROWS = 1820
 
@@ -73,7 +75,7 @@ def _groups(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def pixels(files: list[bytes]) -> list[np.ndarray]:
     """The samples of each file, flat."""
-    return [webp.decode(f)[..., 1].ravel() for f in files]
+    return [p[..., 1].ravel() for p in webp.decode_many(files)]
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stored = batch.column(2).to_pylist()
-            for a, b in _groups(np.array([sum(map(len, x)) for x in stored], np.int64), GROUP_BYTES // 2):
+            for a, b in _groups(np.array([sum(map(len, x)) for x in stored], np.int64), READ_BYTES):
                 own = stored[a:b]
                 flat = pixels([f for x in own for f in x])
                 rows, at = [], 0

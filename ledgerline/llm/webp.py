@@ -11,6 +11,7 @@ upper neighbour have the lower entropy by the predictor transform.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -23,9 +24,11 @@ LITERALS, LENGTHS, DISTANCES = 256, 24, 40
 #: Longest code that the encoder writes.
 LONGEST_CODE = 12
 #: Shortest and longest copy that the encoder writes.
-LEAST_COPY, MOST_COPY = 6, 4096
+LEAST_COPY, MOST_COPY = 8, 4096
 #: Kinds of transform in the format.
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Lanes below which files are read one by one, and literals between the turns of copies.
+FEW_LANES, COPY_TURN = 64, 4
 LEFT, TOP = 1, 2  # predictors that the encoder chooses from
 MAX_SIDE = 1 << 14
 BLACK = np.array([0, 0, 0, 255], np.int32)  # red, green, blue, alpha
@@ -42,14 +45,30 @@ NEAR = near_offsets()
 
 
 class Bits:
-    """Bits of a byte string, least significant first; ``windows`` has the eight bytes from each byte on."""
+    """Bits of a byte string, least significant first; ``windows`` has the eight bytes from each byte on, first those of the head."""
+
+    HEAD = 1024
 
     def __init__(self, data: bytes):
-        self.windows = np.ndarray((len(data) + 8,), "<u8", data + bytes(16), strides=(1,)).tolist()
-        self.position = 0
+        self.data, self.position = data, 0
+        self.windows = self._windows(data[: self.HEAD + 8])[: self.HEAD]
+
+    @staticmethod
+    def _windows(data: bytes) -> list[int]:
+        return np.ndarray((len(data) + 8,), "<u8", data + bytes(16), strides=(1,)).tolist()
+
+    def reach(self, ahead: int) -> list[int]:
+        """The windows, for at least ``ahead`` bytes more if there are as many."""
+        if (self.position >> 3) + ahead >= len(self.windows) < len(self.data) + 8:
+            self.windows = self._windows(self.data)
+        return self.windows
 
     def peek(self, n: int) -> int:
-        return (self.windows[self.position >> 3] >> (self.position & 7)) & ((1 << n) - 1)
+        try:
+            window = self.windows[self.position >> 3]
+        except IndexError:
+            window = self.reach(8)[self.position >> 3]
+        return (window >> (self.position & 7)) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         out = self.peek(n)
@@ -89,7 +108,20 @@ class Prefix:
             if len(entries) != 1 << self.bits or not len(used):
                 raise ValueError("broken prefix code")
             self.entries = entries[_ORDERS[self.bits]]
-        self.table = self.entries.tolist()
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
+
+    @staticmethod
+    @functools.lru_cache(4096)
+    def single(symbol: int) -> Prefix:
+        return Prefix(np.arange(symbol + 1) == symbol)
+
+    @staticmethod
+    @functools.lru_cache(4096)
+    def small(lengths: tuple[int, ...]) -> Prefix:
+        return Prefix(np.array(lengths, np.int64))
 
     def runs(self) -> list[int]:
         """For each window of bits up to three literals that it begins with, in one number.
@@ -118,22 +150,27 @@ class Prefix:
         return found >> 4
 
 
-def read_prefix(bits: Bits, size: int) -> np.ndarray:
-    """Code lengths of one prefix code."""
-    lengths = np.zeros(size, np.int64)
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return lengths
-    own = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
+def read_prefix(bits: Bits, size: int) -> Prefix:
+    """One prefix code over ``size`` symbols."""
+    head = bits.peek(19)
+    if head & 1:  # one symbol or two, the first of one bit or eight
+        wide = 8 if head & 4 else 1
+        first = head >> 3 & ((1 << wide) - 1)
+        bits.position += 3 + wide
+        second = bits.read(8) if head & 2 else first
+        return Prefix.single(first) if second == first else Prefix.small(tuple(int(k in (first, second)) for k in range(max(first, second) + 1)))
+    n = 4 + (head >> 1 & 15)
+    bits.position += 5
+    v = bits.peek(57)
+    bits.position += 3 * n
+    own = [0] * 19
+    for s in LENGTH_ORDER[:n]:
+        own[s] = v & 7
+        v >>= 3
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    code = Prefix(own)
-    table, mask, windows, p = code.table, (1 << code.bits) - 1, bits.windows, bits.position
+    code = Prefix.small(tuple(own))
+    windows = bits.reach(2 * size)
+    table, mask, p = code.table, (1 << code.bits) - 1, bits.position
     out: list[int] = []
     last = 8
     while len(out) < size and left:
@@ -156,8 +193,7 @@ def read_prefix(bits: Bits, size: int) -> np.ndarray:
             out += [0] * (11 + (v & 127))
             p += 7
     bits.position = p
-    lengths[: len(out)] = out[:size]
-    return lengths
+    return Prefix(np.array(out[:size], np.int64))
 
 
 def _value(bits: Bits, prefix: int) -> int:
@@ -178,7 +214,7 @@ def _copy_source(code: int, width: int) -> int:
 
 def _green_image(bits: Bits, green: Prefix, distance: Prefix, width: int, end: int) -> bytearray:
     """The green channel of an image whose other channels are constant, without a cache."""
-    windows, p = bits.windows, bits.position
+    windows, p = bits.reach(len(bits.data)), bits.position
     if green.only is not None:
         return bytearray([green.only]) * end  # an image cannot begin with a copy
     table, mask = green.runs(), (1 << green.bits) - 1
@@ -241,26 +277,45 @@ def _green_image(bits: Bits, green: Prefix, distance: Prefix, width: int, end: i
     return out
 
 
+class _Codes:
+    """What stands before the pixels of an entropy-coded image: cache size, and the groups of prefix codes of its blocks."""
+
+    def __init__(self, bits: Bits, width: int, height: int, main: bool):
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        self.groups, self.shift = np.zeros((1, 1), np.int64), 0
+        if main and bits.read(1):
+            self.shift = bits.read(3) + 2
+            block = 1 << self.shift
+            meta = _entropy_image(bits, -(-width // block), -(-height // block), False)
+            self.groups = meta[..., 0].astype(np.int64) << 8 | meta[..., 1]
+        sizes = (LITERALS + LENGTHS + (1 << self.cache_bits if self.cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
+        self.codes = [[read_prefix(bits, n) for n in sizes] for _ in range(int(self.groups.max()) + 1)]
+
+    @property
+    def one_channel(self) -> bool:
+        """Only green varies, in one group of codes and without a cache."""
+        return len(self.codes) == 1 and not self.cache_bits and all(c.only is not None for c in self.codes[0][1:4])
+
+    def of_green(self, green: np.ndarray, width: int, height: int) -> np.ndarray:
+        out = np.empty((width * height, 4), np.uint8)
+        out[:, 1] = green
+        for channel, code in zip((0, 2, 3), self.codes[0][1:4], strict=True):
+            out[:, channel] = code.only
+        return out.reshape(height, width, 4)
+
+
 def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Pixels (height, width, rgba) of an entropy-coded image."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, shift = np.zeros((1, 1), np.int64), 0
-    if main and bits.read(1):
-        shift = bits.read(3) + 2
-        block = 1 << shift
-        meta = _entropy_image(bits, -(-width // block), -(-height // block), False)
-        groups = meta[..., 0].astype(np.int64) << 8 | meta[..., 1]
-    sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
-    codes = [[Prefix(read_prefix(bits, n)) for n in sizes] for _ in range(int(groups.max()) + 1)]
+    return _pixels(bits, _Codes(bits, width, height, main), width, height)
+
+
+def _pixels(bits: Bits, own: _Codes, width: int, height: int) -> np.ndarray:
     end = width * height
+    if own.one_channel:
+        green, _, _, _, distance = own.codes[0]
+        return own.of_green(np.frombuffer(_green_image(bits, green, distance, width, end), np.uint8), width, height)
+    cache_bits, shift, codes, groups = own.cache_bits, own.shift, own.codes, own.groups.tolist()
     single = codes[0] if len(codes) == 1 else None
-    if single and not cache_bits and all(c.only is not None for c in single[1:4]):
-        out = np.empty((end, 4), np.uint8)
-        out[:, 1] = np.frombuffer(_green_image(bits, single[0], single[4], width, end), np.uint8)
-        for channel, code in zip((0, 2, 3), single[1:4], strict=True):
-            out[:, channel] = code.only
-        return out.reshape(height, width, 4)
-    groups = groups.tolist()
     pixels: list[int] = []  # alpha, red, green, blue in one number
     cache = [0] * (1 << cache_bits)
     cached = 0  # pixels before this one are in the cache
@@ -405,42 +460,153 @@ def _header(data: bytes) -> tuple[Bits, int, int, bool]:
     return bits, width, height, alpha
 
 
+class _File:
+    """A file up to its pixels: transforms and codes."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.width, self.height, self.alpha = _header(data)
+        bits = self.bits
+        self.steps, now = [], self.width
+        while bits.read(1):
+            kind = bits.read(2)
+            if any(kind == k for k, *_ in self.steps):
+                raise ValueError("transform used twice")
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                size_bits = bits.read(3) + 2
+                block = 1 << size_bits
+                self.steps.append((kind, _entropy_image(bits, -(-now // block), -(-self.height // block), False), size_bits))
+            elif kind == PALETTE:
+                table = _entropy_image(bits, bits.read(8) + 1, 1, False)[0]
+                table = np.cumsum(table.astype(np.int64), axis=0).astype(np.uint8)
+                self.steps.append((PALETTE, table, now))
+                now = -(-now // (1 << _bundle_bits(len(table))))
+            else:
+                self.steps.append((SUBTRACT_GREEN, None, 0))
+        self.coded_width = now
+        self.codes = _Codes(bits, now, self.height, True)
+
+    def finished(self, image: np.ndarray) -> np.ndarray:
+        """The transforms undone, the last one first."""
+        for kind, extra, n in reversed(self.steps):
+            if kind == PREDICTOR:
+                image = inverse_predictor(image, extra, n)
+            elif kind == CROSS_COLOUR:
+                image = inverse_cross_colour(image, extra, n)
+            elif kind == SUBTRACT_GREEN:
+                image = image.copy()
+                image[..., 0] += image[..., 1]
+                image[..., 2] += image[..., 1]
+            else:
+                image = inverse_palette(image, extra, n)
+        if not self.alpha:
+            image[..., 3] = 255
+        return image
+
+
 def decode(data: bytes, seen: set[int] | None = None) -> np.ndarray:
     """The pixels (height, width, rgba) of a lossless WebP file; ``seen`` gets the kinds of its transforms."""
-    bits, width, height, alpha = _header(data)
-    steps, now = [], width
-    while bits.read(1):
-        kind = bits.read(2)
-        if any(kind == k for k, *_ in steps):
-            raise ValueError("transform used twice")
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            size_bits = bits.read(3) + 2
-            block = 1 << size_bits
-            steps.append((kind, _entropy_image(bits, -(-now // block), -(-height // block), False), size_bits))
-        elif kind == PALETTE:
-            table = _entropy_image(bits, bits.read(8) + 1, 1, False)[0]
-            table = np.cumsum(table.astype(np.int64), axis=0).astype(np.uint8)
-            steps.append((PALETTE, table, now))
-            now = -(-now // (1 << _bundle_bits(len(table))))
-        else:
-            steps.append((SUBTRACT_GREEN, None, 0))
+    file = _File(data)
     if seen is not None:
-        seen.update(k for k, *_ in steps)
-    image = _entropy_image(bits, now, height, True)
-    for kind, extra, n in reversed(steps):
-        if kind == PREDICTOR:
-            image = inverse_predictor(image, extra, n)
-        elif kind == CROSS_COLOUR:
-            image = inverse_cross_colour(image, extra, n)
-        elif kind == SUBTRACT_GREEN:
-            image = image.copy()
-            image[..., 0] += image[..., 1]
-            image[..., 2] += image[..., 1]
-        else:
-            image = inverse_palette(image, extra, n)
-    if not alpha:
-        image[..., 3] = 255
-    return image
+        seen.update(k for k, *_ in file.steps)
+    return file.finished(_pixels(file.bits, file.codes, file.coded_width, file.height))
+
+
+def decode_many(data: list[bytes]) -> list[np.ndarray]:
+    """``decode`` of many files. The symbols of those of which only green varies are read in lanes, one of each file a step."""
+    files = [_File(d) for d in data]
+    lanes = [i for i, f in enumerate(files) if f.codes.one_channel and f.codes.codes[0][0].only is None]
+    green = dict(zip(lanes, _green_lanes([_payload(data[i]) for i in lanes], [files[i] for i in lanes]), strict=True))
+    out = []
+    for i, f in enumerate(files):
+        found = green.get(i)
+        image = _pixels(f.bits, f.codes, f.coded_width, f.height) if found is None else f.codes.of_green(found, f.coded_width, f.height)
+        out.append(f.finished(image))
+    return out
+
+
+#: Extra bits and least value of each prefix symbol of lengths and distances.
+_EXTRA = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(DISTANCES)], np.int64)
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(DISTANCES)], np.int64)
+
+
+def _green_lanes(chunks: list[bytes], files: list[_File]) -> list[np.ndarray | None]:
+    """The green channel of each file; None for the few longest ones, which go on alone."""
+    out: list[np.ndarray | None] = [None] * len(files)
+    if len(files) < FEW_LANES:
+        return out
+    flat = np.frombuffer(b"".join(chunks) + bytes(1024), np.uint8).astype(np.uint64)
+    window = flat[: len(flat) - 7].copy()
+    for k in range(1, 8):
+        window |= flat[k : len(flat) - 7 + k] << np.uint64(8 * k)
+    del flat
+    sizes = np.array([len(c) for c in chunks], np.int64)
+    codes = [f.codes.codes[0] for f in files]
+    table, far = (np.concatenate([c[k].entries.astype(np.uint16) for c in codes]) for k in (0, 4))
+    starts = [np.cumsum([0] + [len(c[k].entries) for c in codes])[:-1] for k in (0, 4)]
+    masks = [np.array([(1 << c[k].bits) - 1 for c in codes], np.uint64) for k in (0, 4)]
+    lane = np.arange(len(files), dtype=np.int32)
+    bit = (np.cumsum(sizes) - sizes) * 8 + np.array([f.bits.position for f in files], np.int64)
+    end = np.array([f.coded_width * f.height for f in files], np.int64)
+    at = np.zeros(len(files), np.int64)
+    base, mask, ends = starts[0], masks[0], end
+    copy_from = np.uint16(LITERALS << 4)
+    start = np.cumsum(end + 1) - (end + 1)  # a place more for what lanes read beyond their end
+    pixels, home = np.zeros(int((end + 1).sum()), np.uint8), start
+    copies = []
+    step = 0
+    while len(lane) >= FEW_LANES:
+        for _ in range(COPY_TURN):  # a lane that meets a copy waits for its turn
+            v = window[bit >> 3] >> (bit & 7).astype(np.uint64)
+            found = table[base + (v & mask).astype(np.int64)]
+            literal = found < copy_from
+            pixels[home + np.minimum(at, ends)] = found >> 4
+            bit += (found & 15) * literal
+            at += literal
+        step += 1
+        v = window[bit >> 3] >> (bit & 7).astype(np.uint64)
+        found = table[base + (v & mask).astype(np.int64)]
+        c = np.flatnonzero(found >= copy_from)
+        if len(c):
+            found = found[c].astype(np.int64)
+            v = v[c] >> (found & 15).astype(np.uint64)
+            own, which, took = bit[c], lane[c], found & 15
+            s = (found >> 4) - LITERALS
+            extra = _EXTRA[s]
+            length = _LEAST[s] + (v & ((1 << extra) - 1).astype(np.uint64)).astype(np.int64)
+            v >>= extra.astype(np.uint64)
+            found = far[starts[1][which] + (v & masks[1][which]).astype(np.int64)].astype(np.int64)
+            v >>= (found & 15).astype(np.uint64)
+            s = found >> 4
+            more = _EXTRA[s]
+            copies.append((which, length, _LEAST[s] + (v & ((1 << more) - 1).astype(np.uint64)).astype(np.int64), at[c]))
+            bit[c] = own + took + extra + (found & 15) + more
+            at[c] += length
+        if step % 4 == 0:
+            live = at < ends
+            if not live.all():
+                lane, bit, at, base, mask, ends, home = (x[live] for x in (lane, bit, at, base, mask, ends, home))
+    which, length, code, place = (np.concatenate(x) for x in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((place, which))
+    which, length, code, place = which[order], length[order], code[order], place[order]
+    kept = place < end[which]
+    which, length, code, place = which[kept], length[kept], code[kept], place[kept]
+    width = np.array([f.coded_width for f in files], np.int64)
+    near = np.array(NEAR, np.int64)
+    short = near[np.minimum(code, len(NEAR)) - 1]
+    back = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, short[:, 0] + short[:, 1] * width[which]))
+    if (back > place).any() or (place + length > end[which]).any():
+        raise ValueError("back-reference outside the image")
+    bounds = np.searchsorted(which, np.arange(len(files) + 1)).tolist()
+    place, length, back = place.tolist(), length.tolist(), back.tolist()
+    whole = np.ones(len(files), bool)
+    whole[lane] = False
+    for i in np.flatnonzero(whole).tolist():
+        own = bytearray(pixels[start[i] : start[i] + end[i]].tobytes())
+        for k in range(bounds[i], bounds[i + 1]):
+            p, n, b = place[k], length[k], back[k]
+            own[p : p + n] = own[p - b : p - b + n] if b >= n else (own[p - b : p] * (n // b + 1))[:n]
+        out[i] = np.frombuffer(own, np.uint8)
+    return out
 
 
 def code_lengths(counts: np.ndarray, limit: int = LONGEST_CODE) -> np.ndarray:
@@ -548,35 +714,54 @@ def _entropy(counts: np.ndarray) -> np.ndarray:
     return -(counts * np.log2(share)).sum(axis=1)
 
 
-def find_copies(data: bytes) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of passages that come again, from left to right, each from where it stood last."""
-    flat = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(flat) - LEAST_COPY + 1
-    if n < 2:
-        return []
-    key = flat[:n].copy()
-    for k in range(1, 5):
-        key |= flat[k : n + k] << np.uint64(8 * k)
-    key = np.sort(key << np.uint64(24) | np.arange(n, dtype=np.uint64))
-    place = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-    key >>= np.uint64(24)
-    again = np.flatnonzero(key[1:] == key[:-1])
-    found, before = place[again + 1], place[again]
-    by = np.argsort(found)
-    found, before = found[by], before[by]
-    same = flat[found + 5] == flat[before + 5]
-    out, end, size = [], 0, len(data)
-    for i, j in zip(found[same].tolist(), before[same].tolist(), strict=True):
+def find_copies(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of passages that come again within their part of ``flat``, each from where it stood last.
+
+    Parts have the given sizes. From left to right, the first passage that begins
+    after the last one's end is taken.
+    """
+    none = np.zeros(0, np.int64)
+    first = np.cumsum(sizes) - sizes
+    ends = np.repeat(first + sizes, sizes)
+    wide = np.concatenate([flat, np.zeros(8, np.uint8)]).astype(np.uint64)
+    window = wide[: len(flat)].copy()  # eight bytes from each place on
+    for k in range(1, 8):
+        window |= wide[k : len(flat) + k] << np.uint64(8 * k)
+    valid = np.flatnonzero(np.arange(len(flat)) + LEAST_COPY <= ends)
+    part = np.repeat(np.arange(len(sizes)), sizes)[valid]
+    key = (window[valid] << np.uint64(24)) | (valid - first[part]).astype(np.uint64)  # five bytes and the place
+    at = 0
+    for n in np.bincount(part, minlength=len(sizes)).tolist():
+        key[at : at + n].sort()
+        at += n
+    again = np.flatnonzero((key[1:] >> np.uint64(24) == key[:-1] >> np.uint64(24)) & (part[1:] == part[:-1]))
+    place = first[part] + (key & np.uint64(0xFFFFFF)).astype(np.int64)
+    source = np.full(len(flat), -1, np.int64)
+    source[place[again + 1]] = place[again]
+    found = np.flatnonzero(source >= 0)
+    found = found[window[found] == window[source[found]]]
+    if not len(found):
+        return none, none, none
+    distance = found - source[found]
+    place, stop = found + LEAST_COPY, ends[found]
+    gap = window[np.minimum(place, len(flat) - 1)] ^ window[place - distance]
+    same = np.bitwise_count((gap & (~gap + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes among the next eight
+    least = np.minimum(LEAST_COPY + same, stop - found)
+    data = flat.tobytes()
+    starts, lengths, back, end = [], [], [], 0
+    for i, n, d, to in zip(found.tolist(), least.tolist(), distance.tolist(), stop.tolist(), strict=True):
         if i < end:
             continue
-        length, most = LEAST_COPY, min(MOST_COPY, size - i)
-        while length + 16 <= most and data[i + length : i + length + 16] == data[j + length : j + length + 16]:
-            length += 16
-        while length < most and data[i + length] == data[j + length]:
-            length += 1
-        out.append((i, length, i - j))
-        end = i + length
-    return out
+        end = i + n
+        if n == LEAST_COPY + 8:
+            to = min(to, i + MOST_COPY)
+            for step in (256, 32, 8, 1):
+                while end + step <= to and data[end : end + step] == data[end - d : end - d + step]:
+                    end += step
+        starts.append(i)
+        lengths.append(end - i)
+        back.append(d)
+    return np.array(starts, np.int64), np.array(lengths, np.int64), np.array(back, np.int64)
 
 
 def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -658,10 +843,9 @@ def encode_many(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) ->
     coded = np.array([len(p) for p in planes], np.int64)
     first = np.cumsum(coded) - coded
     flat = np.frombuffer(b"".join(planes), np.uint8).astype(np.int64)
-    copies = [find_copies(p) for p in planes]
-    each = np.array([len(c) for c in copies], np.int64)
-    start, length, distance = np.array([c for own in copies for c in own], np.int64).reshape(-1, 3).T
-    of_copy = np.repeat(np.arange(n), each)
+    begin, length, distance = find_copies(flat.astype(np.uint8), coded)
+    of_copy = np.repeat(np.arange(n), coded)[begin]
+    each = np.bincount(of_copy, minlength=n)
     rows = np.array([p // h for p, h in zip(coded.tolist(), height.tolist(), strict=True)], np.int64)  # pixels in a coded row
     code = distance + len(NEAR)
     for w in np.unique(rows).tolist():
@@ -672,9 +856,8 @@ def encode_many(samples: np.ndarray, bounds: np.ndarray, widths: np.ndarray) ->
     far_symbol, far_bits, far_extra = _prefixed(code)
 
     inside = np.zeros(len(flat) + 1, np.int32)
-    begin = first[of_copy] + start
-    np.add.at(inside, begin, 1)
-    np.subtract.at(inside, begin + length, 1)
+    inside[begin] += 1  # copies do not overlap
+    inside[begin + length] -= 1
     literal = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
     of_literal = np.repeat(np.arange(n), coded)[literal]
     green = LITERALS + LENGTHS

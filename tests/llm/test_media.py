@@ -42,7 +42,7 @@ def test_query_reads_back_every_document(spark, documents):
             seen = set()
             assert (webp.decode(f, seen)[..., 1].tobytes()) in pay
             kinds.update(seen)
-        copies += len(webp.find_copies(pay)) > 0
+        copies += len(webp.find_copies(np.frombuffer(pay, np.uint8), np.array([len(pay)]))[0]) > 0
         size += len(held)
         counts = Counter(pay)
         top = min(counts, key=lambda k: (-counts[k], k))
@@ -73,7 +73,9 @@ def test_long_copies_and_distances():
     samples = np.concatenate([block, block, block[::-1], block, np.full(24 * 700, 255, np.uint8)])
     (file,) = webp.encode_many(samples, np.array([0, len(samples)]), np.array([24]))
     assert (webp.decode(file)[..., 1].ravel() == samples).all() and len(file) < 2.2 * len(block)
-    assert all(n <= webp.MOST_COPY for _, n, _ in webp.find_copies(samples.tobytes()))
+    start, length, distance = webp.find_copies(samples, np.array([len(samples)]))
+    assert length.max() == webp.MOST_COPY and (np.diff(start) >= length[:-1]).all()
+    assert all((samples[i : i + n] == samples[i - d : i - d + n]).all() or d < n for i, n, d in zip(start, length, distance))
 
 
 def test_tall_payloads_are_cut(monkeypatch):
@@ -109,3 +111,17 @@ def test_transforms_references_and_cache(seed):
             for meta in (False, True):
                 data = Writer(dice).image(image, kinds, cache, meta)
                 assert (webp.decode(data) == image).all(), (kinds, cache, meta)
+
+
+def test_many_files_equal_each_alone(monkeypatch):
+    """Lanes, their few long files and files of other kinds give what the decoder gives of each file."""
+    dice = np.random.default_rng(7)
+    own = [np.repeat(dice.integers(0, 256, 48), dice.integers(1, 30, 48))[: 24 * 20] for _ in range(90)] + [dice.integers(0, 40, 24 * int(n)) for n in dice.integers(1, 200, 60)]
+    own = [np.resize(x, 24 * max(1, len(x) // 24)).astype(np.uint8) for x in own] + [np.full(24, 9, np.uint8)]
+    files = webp.encode_many(np.concatenate(own), np.cumsum([0, *map(len, own)]), np.full(len(own), 24))
+    files.append(Writer(random.Random(3)).image(dice.integers(0, 5, (6, 7, 4)).astype(np.uint8), (0, 1, 2), 4, True))
+    alone = [webp.decode(f) for f in files]
+    assert all((a[..., 1].ravel() == x).all() for a, x in zip(alone, own))
+    for few in (1, 16, 64, 1000):
+        monkeypatch.setattr(webp, "FEW_LANES", few)
+        assert all(a.shape == b.shape and (a == b).all() for a, b in zip(webp.decode_many(files), alone, strict=True))

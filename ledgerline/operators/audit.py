@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.names import normalise_name
+from ledgerline.operators.sectors import audit_class
+
+# Annual and quarterly forms of domestic and of foreign filers.
+DOMESTIC = ("10-K", "10-Q", "10-KT", "10-QT", "10-K/A", "10-Q/A")
+FOREIGN = ("20-F", "40-F", "20-F/A", "40-F/A")
+CLASSES = ("map_wrong", "foreign_filer", "no_xbrl", "other")
+
 STAMPS = ("as_of", "tag_map_hash", "fetched_at")
 
 
@@ -23,8 +31,6 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float =
     kinds = dict(a.dtypes)
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        from pyspark.sql import Window
-
         order = Window.partitionBy(*keys).orderBy(*(rest or keys))
         return df.select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in rest), F.row_number().over(order).alias("__i"), F.lit(True).alias(f"__{side}"))
 
@@ -69,3 +75,45 @@ def coverage_figures(coverage: DataFrame, max_gap_pct: float = 15.0) -> DataFram
 def last_of_year(rows: DataFrame, value: str) -> DataFrame:
     """(year, month, value) of the last month of each year."""
     return rows.groupBy(F.year("month").alias("year")).agg(F.max("month").alias("month"), F.max_by(value, "month").alias(value))
+
+
+def filers_in_window(filings: DataFrame, months: DataFrame, window: int = 18) -> DataFrame:
+    """(month, cik, name, n_domestic, n_foreign): who filed in the months up to each audit month, under the latest name."""
+    # the audit months are a short list, and a filing is in the window of a few of them
+    near = filings.join(F.broadcast(months), (F.col("filed") > F.add_months("month", -window)) & (F.col("filed") <= F.col("month")))
+    return near.groupBy("month", "cik").agg(F.max_by("name", F.struct("filed", "name")).alias("name"), F.count_if(F.col("form").isin(*DOMESTIC)).alias("n_domestic"), F.count_if(F.col("form").isin(*FOREIGN)).alias("n_foreign"))
+
+
+def audit_members(members: DataFrame, panel: DataFrame, concept: str, assigned: DataFrame, filings: DataFrame, months: DataFrame, window: int = 18) -> DataFrame:
+    """(month, ticker, security, assigned_cik, assigned_domestic, best_cik, best_run, class): members without a value at the audit months, and why.
+
+    ``members`` is (month, ticker, security), ``assigned`` is (ticker, cik). The best
+    filer shares the longest run of first words with the member's name; of ties the
+    one with more filings, then the least cik. They meet on the first word.
+    """
+    filers = filers_in_window(filings, months, window).withColumn("wb", F.split(normalise_name("name"), " "))
+    lacking = members.join(months, "month", "left_semi").join(panel.where(F.col(concept).isNotNull()).select("month", "ticker"), ["month", "ticker"], "left_anti")
+    rows = lacking.join(assigned.select("ticker", F.col("cik").alias("assigned_cik")), "ticker", "left").join(filers.select("month", F.col("cik").alias("assigned_cik"), F.col("n_domestic").alias("assigned_domestic")), ["month", "assigned_cik"], "left")
+    words = F.split(normalise_name("security"), " ")
+    a = lacking.select("month", "ticker", words.alias("wa")).withColumn("w", F.col("wa")[0]).where("w <> ''")
+    pairs = a.join(filers.withColumn("w", F.col("wb")[0]), ["month", "w"])
+    same = F.transform(F.arrays_zip("wa", "wb"), lambda p: F.coalesce(p["wa"] == p["wb"], F.lit(False)))
+    run = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
+    rank = F.struct(run.alias("run"), (F.col("n_domestic") + F.col("n_foreign")).alias("n"), (-F.col("cik")).alias("c"), "n_domestic", "n_foreign")
+    best = pairs.groupBy("month", "ticker").agg(F.max(rank).alias("b"))
+    rows = rows.join(best, ["month", "ticker"], "left")
+    files, b = F.coalesce("assigned_domestic", F.lit(0)), F.col("b")
+    kind = F.when(files > 0, "other").otherwise(audit_class(b.isNotNull(), (b["n_foreign"] > 0) & (b["n_domestic"] == 0), (b["n_domestic"] > 0) & (b["run"] >= 1)))
+    return rows.select("month", "ticker", "security", "assigned_cik", files.alias("assigned_domestic"), (-b["c"]).alias("best_cik"), b["run"].alias("best_run"), kind.alias("class"))
+
+
+def audit_summary(rows: DataFrame, months: DataFrame) -> DataFrame:
+    """(month, class, n) for every audit month and class."""
+    grid = months.withColumn("class", F.explode(F.array(*map(F.lit, CLASSES))))
+    return grid.join(rows.groupBy("month", "class").agg(F.count("*").alias("n")), ["month", "class"], "left").select("month", "class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sole(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
+    return rows.withColumn("__r", last).where("__r = 1").drop("__r")

@@ -889,4 +889,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from ledgerline.plans import reports  # noqa: E402, F401  registers its queries
+from ledgerline.plans import loaders, reports  # noqa: E402, F401  they register their queries

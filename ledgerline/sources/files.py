@@ -50,13 +50,16 @@ def tag_map_hash(content: bytes, version: str) -> str:
     return hashlib.sha256(content + version.encode()).hexdigest()[:16]
 
 
-def vendor_prices(spark: SparkSession, paths: list[str] | str, adjusted: str = "Adj Close") -> DataFrame:
-    """(ticker, date, close, adj_close, volume) of one CSV a ticker, named by it; prices that are not positive are dropped."""
+def vendor_prices(spark: SparkSession, paths: list[str] | str, adjusted: str = "Adj Close", name: str = r"([^/]*)\.csv$") -> DataFrame:
+    """(ticker, date, close, adj_close, volume) of one CSV a ticker; prices that are not positive are dropped.
+
+    ``name`` finds the ticker in a file's path: it is the file's name, or a folder's.
+    """
     raw = spark.read.option("header", True).csv(paths)
     plain = {re.sub("[^a-z]", "", c.lower()): c for c in raw.columns}
     number = lambda c: F.col(f"`{plain[c]}`").try_cast("double")
     rows = raw.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("ticker"), F.col(f"`{plain['date']}`").try_cast("date").alias("date"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("ticker"), F.col(f"`{plain['date']}`").try_cast("date").alias("date"),
         number("close").alias("close"), number(re.sub("[^a-z]", "", adjusted.lower())).alias("adj_close"), number("volume").alias("volume"),
     )
     return rows.where("adj_close > 0 and date is not null")
@@ -166,8 +169,8 @@ def delistings(spark: SparkSession, path: str, universe: DataFrame) -> DataFrame
 
 def snapshots(rows: DataFrame) -> DataFrame:
     """(date, ticker) from (date, tickers): comma lists, without date suffixes, dashes as dots."""
-    one = F.explode(F.split("tickers", ","))
-    return rows.select(F.col("date").try_cast("date").alias("date"), F.replace(F.regexp_replace(F.trim(one), r"-\d{6}$", ""), F.lit("-"), F.lit(".")).alias("ticker")).where("ticker <> ''").distinct()
+    each = rows.select(F.col("date").try_cast("date").alias("date"), F.explode(F.split("tickers", ",")).alias("one"))
+    return each.select("date", F.replace(F.regexp_replace(F.trim("one"), r"-\d{6}$", ""), F.lit("-"), F.lit(".")).alias("ticker")).where("ticker <> ''").distinct()
 
 
 class _Cells(HTMLParser):

@@ -32,6 +32,32 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
     return both.where("__side = 1").select("__row.*", *(F.col(f"__v.{p}").alias(p) for p in payload))
 
 
+def _by_year(left: DataFrame, right: DataFrame, left_on: str, right_on: str, back: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides under ``__year``; a year of the left side also gets the right row that is carried into it from the nearest other year."""
+    left = left.withColumn("__year", F.year(left_on))
+    right = right.where(F.col(right_on).isNotNull()).withColumn("__year", F.year(right_on))
+    pick = F.max_by if back else F.min_by
+    row = F.struct(*right.columns)
+    yearly = right.groupBy("__year").agg(pick(row, right_on).alias("__row"), (F.max if back else F.min)(right_on).alias("__t"))
+    wanted = left.select(F.col("__year").alias("__to")).distinct()
+    near = F.col("__year") < F.col("__to") if back else F.col("__year") > F.col("__to")
+    # both are lists of years
+    carried = wanted.join(F.broadcast(yearly), near).groupBy("__to").agg(pick("__row", "__t").alias("__row")).select("__row.*", "__to").drop("__year").withColumnRenamed("__to", "__year")
+    return left, right.unionByName(carried)
+
+
+def asof_backward_all(left: DataFrame, right: DataFrame, left_on: str, right_on: str, payload: list[str]) -> DataFrame:
+    """``asof_backward`` without a key: years are told apart, so no task gets all rows."""
+    a, b = _by_year(left, right, left_on, right_on, True)
+    return asof_backward(a, b, ["__year"], left_on, right_on, payload).drop("__year")
+
+
+def asof_forward_all(left: DataFrame, right: DataFrame, left_on: str, right_on: str, payload: list[str]) -> DataFrame:
+    """``asof_forward`` without a key: years are told apart, so no task gets all rows."""
+    a, b = _by_year(left, right, left_on, right_on, False)
+    return asof_forward(a, b, ["__year"], left_on, right_on, payload).drop("__year")
+
+
 def first_filed(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The earliest filing of every fact; of one day, by filing, tag if there is one, then the larger value."""
     keys = keys or ["cik", "concept", "ddate", "qtrs"]

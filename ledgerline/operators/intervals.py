@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import months_between
-from ledgerline.operators.asof import asof_backward
+from ledgerline.operators.asof import asof_backward_all
 from ledgerline.operators.calendar import month_ends
 
 
@@ -79,9 +79,7 @@ def era_at(eras: DataFrame, start: date, end: date, key: str = "ticker", value:
 
 def snapshot_at(snapshots: DataFrame, days: DataFrame) -> DataFrame:
     """``days`` (date) with the tickers of the latest snapshot (date, tickers) at or before each."""
-    one = F.lit(1).alias("__one")
-    left, right = days.select("date", one), snapshots.select(F.col("date").alias("taken"), "tickers", one)
-    return asof_backward(left, right, ["__one"], "date", "taken", ["taken", "tickers"]).drop("__one")
+    return asof_backward_all(days.select("date"), snapshots.select(F.col("date").alias("taken"), "tickers"), "date", "taken", ["taken", "tickers"])
 
 
 def compare(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +125,8 @@ def adjudicate(intervals: DataFrame, snapshots: DataFrame) -> DataFrame:
     """
     days = snapshots.select("date").distinct()
     doubtful = F.col("start_source") == "unverified:date_added"
-    probes = intervals.where(doubtful).select("ticker", "start", F.date_sub("start", 1).alias("date"), F.lit(1).alias("__one"))
-    before = asof_backward(probes, days.select(F.col("date").alias("taken"), F.lit(1).alias("__one")), ["__one"], "date", "taken", ["taken"])
+    probes = intervals.where(doubtful).select("ticker", "start", F.date_sub("start", 1).alias("date"))
+    before = asof_backward_all(probes, days.select(F.col("date").alias("taken")), "date", "taken", ["taken"])
     seen = snapshots.select(F.col("date").alias("taken"), "ticker", F.lit(True).alias("__seen"))
     first = snapshots.groupBy("ticker").agg(F.min("date").alias("first_seen"))
     start_of_all = snapshots.agg(F.min("date").alias("__first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.names import KEY_FIELDS, sector_neutral_of, spec_key, spec_kind, variant_of
-from ledgerline.operators.asof import asof_forward
+from ledgerline.operators.asof import asof_forward_all
 
 # The columns of the log, in order.
 COLUMNS = ("timestamp", "factor", "signal", "weighting", "cost_bps", "lag_days", "rebalance", "holding_months", "winsor_lo", "winsor_hi", "n_deciles", "start", "end", "sharpe_gross", "sharpe_net", "note", "config_hash", "git_commit", "kind", "sector_neutral", "variant", "spec_key")
@@ -81,10 +81,8 @@ def classify(log: DataFrame, reported: list[str], key: tuple[str, ...] = ("facto
 
 def superseding_commit(log: DataFrame, commits: DataFrame) -> DataFrame:
     """``log`` with the first commit (when, sha, subject) strictly after each row."""
-    one = F.lit(1)
-    rows = log.withColumns({"__when": F.to_timestamp("timestamp"), "__one": one})
-    out = asof_forward(rows, commits.withColumn("__one", one), ["__one"], "__when", "when", ["when", "sha", "subject"])
-    return out.drop("__when", "__one")
+    rows = log.withColumn("__when", F.to_timestamp("timestamp"))
+    return asof_forward_all(rows, commits, "__when", "when", ["when", "sha", "subject"]).drop("__when")
 
 
 def lines(log: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ledgerline.functions import names, words
 from ledgerline.functions.dates import month_after, month_on_or_before, parse_date
 from ledgerline.functions.numbers import average_rank, near, outside
 from ledgerline.operators import audit, calendar, facts, intervals, portfolio, prices, sectors, shares, signals, speclog, stats, textsim, universe
-from ledgerline.operators.asof import asof_backward, asof_forward, first_filed, known_by
+from ledgerline.operators.asof import asof_backward, asof_forward_all, first_filed, known_by
 from ledgerline.plans.oracles import ORACLES
 from ledgerline.sources import market
 from ledgerline.sources.store import settled
@@ -842,8 +842,8 @@ def spec_status(m: Market) -> DataFrame:
 
 @query
 def next_change(m: Market) -> DataFrame:
-    starts = m.members.select("start").distinct().select(F.col("start").alias("when"), F.lit(1).alias("one"))
-    return asof_forward(m.members.select("ticker", F.col("end").alias("at"), F.lit(1).alias("one")).where("at is not null"), starts, ["one"], "at", "when", ["when"]).drop("one")
+    starts = m.members.select(F.col("start").alias("when")).distinct()
+    return asof_forward_all(m.members.select("ticker", F.col("end").alias("at")).where("at is not null"), starts, "at", "when", ["when"])
 
 
 @query

@@ -516,5 +516,15 @@ VIEWS["annual1"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c
 from ledgerline.plans.oracles import _SIC  # noqa: E402
 
 VIEWS["latestsic"] = f"SELECT ticker, CASE WHEN sic IS NOT NULL THEN {_SIC} END AS sector FROM (SELECT ticker, cik, row_number() OVER (PARTITION BY ticker ORDER BY \"end\" DESC NULLS FIRST, \"start\" DESC NULLS LAST, cik) AS r FROM ciks) e LEFT JOIN (SELECT DISTINCT cik, cik * 37 % 9000 + 100 AS sic FROM filings) f USING (cik) WHERE r = 1"
+_NAME = "CASE WHEN k % 4 = 0 THEN 'Big ' || security || ' & Co. Inc' WHEN k % 4 = 1 THEN 'Alpha Beta ' || k ELSE security END"
+_FILER = "CASE WHEN k % 4 = 0 THEN 'BIG ' || upper(security) || ' AND CO' WHEN k % 8 = 2 THEN replace(security, '#', ' ') ELSE 'Other ' || security END"
+_START = "CASE WHEN len(string_split(name, ' ')) >= 2 THEN array_to_string(string_split(name, ' ')[1:2], ' ') END"
+VIEWS["fnames"] = f"SELECT DISTINCT k + 5000 AS cik, {_normal(_FILER)} AS name FROM members"
+for _own, _by in (("whole", "name"), ("tight", "replace(name, ' ', '')"), ("begin_", f"coalesce({_START}, '')")):
+    VIEWS[f"{_own}_only"] = f"SELECT {_by} AS key, min(cik) AS cik FROM fnames WHERE {_by} <> '' GROUP BY 1 HAVING count(DISTINCT cik) = 1"
+BODIES["cik_matches"] = f"""SELECT ticker, security, coalesce(c1, c2, c3, c4, c5) AS cik, CASE WHEN c1 IS NOT NULL THEN 'ticker_list' WHEN c2 IS NOT NULL THEN 'constituents' WHEN c3 IS NOT NULL THEN 'name' WHEN c4 IS NOT NULL THEN 'squashed_name' WHEN c5 IS NOT NULL THEN 'two_words' ELSE 'unmatched' END AS method FROM (
+  SELECT m.ticker, m.security, CASE WHEN k % 9 = 0 AND "end" IS NULL THEN k + 5000 END AS c1, CASE WHEN k % 2 = 0 AND "end" IS NULL THEN k + 7000 END AS c2, a.cik AS c3, b.cik AS c4, c.cik AS c5
+  FROM (SELECT *, {_normal('security')} AS name FROM (SELECT ticker, k, "end", {_NAME} AS security FROM members)) m
+  LEFT JOIN whole_only a ON a.key = m.name LEFT JOIN tight_only b ON b.key = replace(m.name, ' ', '') LEFT JOIN begin__only c ON c.key = {_START.replace('name', 'm.name')})"""
 ORACLES.update({name: _sql(body) for name, body in BODIES.items()})
 ORACLES["latest_caps"] = _resolved(False, "SELECT ticker, month, cap, round(n_basis, 6) AS n_basis, shares_source FROM (SELECT ticker, max(month) AS month, arg_max(cap, month) AS cap FROM (SELECT m.month, m.ticker, round(px_me * v, 6) AS cap FROM monthly m JOIN (SELECT ticker, last_day(date) AS month, sum(volume) AS v FROM daily GROUP BY 1, 2) USING (month, ticker)) GROUP BY 1) JOIN resolved USING (month, ticker) WHERE ticker IN (SELECT ticker FROM members WHERE \"end\" IS NULL)")

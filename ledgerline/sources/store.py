@@ -14,10 +14,12 @@ _RUN = uuid.uuid4().hex[:12]
 
 
 def _base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder for the life of the process."""
+    """``spark.checkpoint.dir``; where it is unset and the session is local, a temporary folder for the life of the process."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         sc.setCheckpointDir(base)
         atexit.register(shutil.rmtree, urlparse(base).path, ignore_errors=True)
@@ -25,12 +27,20 @@ def _base(spark: SparkSession) -> str:
 
 
 def new_table(spark: SparkSession, name: str) -> str:
-    """The URI of a table or file that a query is about to write; removed at exit when it is a local mount."""
+    """The URI of a table or file that a query is about to write; removed at exit."""
     uri = f"{_base(spark)}/tables-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    atexit.register(_remove, spark, uri)
+    return uri
+
+
+def _remove(spark: SparkSession, uri: str) -> None:
+    """Removes a folder: a mounted one by path, another by the store's own interface while the session lives."""
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, unquote(parts.path), ignore_errors=True)
-    return uri
+        shutil.rmtree(unquote(parts.path), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

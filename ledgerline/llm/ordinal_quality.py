@@ -52,7 +52,7 @@ def features(part) -> tuple[np.ndarray, np.ndarray]:
         more = letter & (ends - starts > k)
         runs.append((starts[more], starts[more] + k, docs[more]))
     docs = np.concatenate([r[2] for r in runs])
-    hashes = np.concatenate([part.hashes(s, e, lower=True) + U(i) * U(0x9E3779B97F4A7C15) for i, (s, e, _) in enumerate(runs)])
+    hashes = np.concatenate([part.hashes(s, e, lower=True) + U(i * 0x9E3779B97F4A7C15 % (1 << 64)) for i, (s, e, _) in enumerate(runs)])
     hashes = (hashes >> U(64 - BITS)).astype(np.int64)
     letters = part.per_doc(((part.data | 32) >= 97) & ((part.data | 32) <= 122))
     capitals = part.per_doc((part.data >= 65) & (part.data <= 90))

@@ -17,12 +17,14 @@ _RUN = uuid.uuid4().hex[:12]
 def shared_dir(spark: SparkSession) -> str:
     """Root of this run's intermediate files, below ``spark.checkpoint.dir``.
 
-    The setting comes from the session. Where it is unset (tests, a laptop) a
-    temporary folder takes its place for the life of the process.
+    The setting comes from the session. Where it is unset and the session is local
+    (tests, a laptop) a temporary folder takes its place for the life of the process.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         sc.setCheckpointDir(base)
         atexit.register(shutil.rmtree, local_path(base), ignore_errors=True)
@@ -30,15 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI for ``name``; made on first write, removed at exit when it is a local mount."""
+    """A fresh folder URI for ``name``; made on first write, removed at exit."""
     uri = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     path = local_path(uri)
     if path:
         os.makedirs(path, exist_ok=True)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    atexit.register(_remove, spark, uri)
     return uri
 
 
+def _remove(spark: SparkSession, uri: str) -> None:
+    """Removes a folder: a mounted one by path, another by the store's own interface while the session lives."""
+    path = local_path(uri)
+    if path:
+        shutil.rmtree(path, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or plain path; None for any other store."""
     parts = urlparse(uri)
@@ -49,10 +61,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     uri = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    atexit.register(_remove, spark, uri)
     df.write.parquet(uri)
-    path = local_path(uri)
-    if path:
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
     return spark.read.schema(df.schema).parquet(uri)
 
 

@@ -203,3 +203,56 @@ def test_ordinal_odd(spark, odd, empty):
     one = spark.createDataFrame([(4, 2), (4, 2), (9, 0), (None, 1), (8, None)], "doc_id long, grade int")
     assert len(rows(ordinal_quality.score(odd, ordinal_quality.train(odd, one, 3)))) == len(ODD)
     assert rows(op5_ordinal_quality(spark, SF))
+
+
+def log_likelihood(score, grades, thresholds):
+    """Row by row: the probability of each grade is a difference of two logistic curves."""
+    total = 0.0
+    for x, y in zip(score, grades, strict=True):
+        curve = lambda j: 1.0 if j < 0 else 0.0 if j == len(thresholds) else 1 / (1 + math.exp(thresholds[j] - x))
+        total += math.log(curve(y - 1) - curve(y))
+    return total
+
+
+def test_ordinal_slopes_are_those_of_the_likelihood():
+    dice = np.random.default_rng(3)
+    model = ordinal_quality.Model(4)
+    model.thresholds = np.array([-1.1, 0.2, 0.9])
+    score, grades = dice.normal(0, 1, 40), dice.integers(0, 4, 40)
+    pull, below, above = ordinal_quality._pull(score, grades, model)
+    h = 1e-6
+    for i in range(40):
+        up, down = ([score[i] + d] for d in (h, -h))
+        assert pull[i] == pytest.approx((log_likelihood(up, grades[i : i + 1], model.thresholds) - log_likelihood(down, grades[i : i + 1], model.thresholds)) / (2 * h), abs=1e-5)
+    for j in range(3):
+        moved = [model.thresholds + d * (np.arange(3) == j) for d in (h, -h)]
+        slope = (log_likelihood(score, grades, moved[0]) - log_likelihood(score, grades, moved[1])) / (2 * h)
+        assert slope == pytest.approx(above[grades == j].sum() - below[grades == j + 1].sum(), abs=1e-4)
+
+
+def test_ordinal_fit_is_repeatable_and_gains_likelihood():
+    dice = np.random.default_rng(5)
+    grades = dice.integers(0, 3, 600)
+    rows = [np.unique(np.concatenate([dice.integers(100, 400, 8), [g] * 1, [10 + g // 2]])) for g in grades]
+    flat, bounds = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    models = [ordinal_quality.fit(flat, bounds, grades, 3) for _ in range(2)]
+    assert (models[0].weights == models[1].weights).all() and (models[0].thresholds == models[1].thresholds).all()
+    assert (np.diff(models[0].thresholds) > 0).all()
+    score = [models[0].weights[r].sum() for r in rows]
+    share = np.cumsum(np.bincount(grades))[:2] / 600
+    plain = log_likelihood(np.zeros(600), grades, np.log(share / (1 - share)))
+    assert log_likelihood(score, grades, models[0].thresholds) > plain / 4
+
+
+def test_ordinal_tails_are_a_plain_sum_of_weights(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ratings = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    model = ordinal_quality.train(docs, ratings, 3)
+    model.weights[:] = np.random.default_rng(1).normal(0, 0.05, len(model.weights))
+    got = {r[0]: r for r in rows(ordinal_quality.score(docs, model))}
+    for d, text in rows(docs.limit(25)):
+        (part,) = textkernel.slices(pa.array([text]))
+        found, _ = ordinal_quality.features(part)
+        total = sum(float(model.weights[k]) for k in set(found.tolist()))
+        tails = [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+        assert got[d][2] == pytest.approx(tails) and got[d][1] == pytest.approx(sum(tails))

@@ -6,7 +6,7 @@ from datetime import date
 from io import BytesIO
 from zipfile import ZipFile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names
@@ -29,7 +29,11 @@ tags = ["Tag1", "Tag2"]
 kind = "flow"
 tags = ["Tag2", "Tag0"]
 """
-K = F.substring("ticker", 2, 20).cast("long")
+
+
+def _k() -> Column:
+    """The number in a ticker."""
+    return F.substring("ticker", 2, 20).cast("long")
 
 
 def _csv(m: Market, df: DataFrame, name: str, **options) -> str:
@@ -48,7 +52,7 @@ def _days(c: str):
 @query
 def vendor_files(m: Market) -> DataFrame:
     uri = new_table(m.spark, "vendor")
-    rows = m.daily.where(K % 4 == 0).select("ticker", F.col("date").alias("Date"), F.col("close").alias("Close"), F.when(F.dayofmonth("date") != 21, F.col("adj_close")).alias("Adj Close"), F.col("volume").alias("Volume"))
+    rows = m.daily.where(_k() % 4 == 0).select("ticker", F.col("date").alias("Date"), F.col("close").alias("Close"), F.when(F.dayofmonth("date") != 21, F.col("adj_close")).alias("Adj Close"), F.col("volume").alias("Volume"))
     rows.write.partitionBy("ticker").option("header", True).csv(uri)
     return files.vendor_prices(m.spark, uri, name=r"/ticker=([^/]*)/")
 
@@ -104,7 +108,7 @@ def api_share_rows(m: Market) -> DataFrame:
 @query
 def ticker_lists(m: Market) -> DataFrame:
     record = F.struct(F.col("k").alias("cik_str"), F.concat("ticker", F.lit("-B")).alias("ticker"))
-    docs = m.members.withColumn("k", K).groupBy((F.col("k") % 7).alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("string"), record)))).alias("json"))
+    docs = m.members.withColumn("k", _k()).groupBy((F.col("k") % 7).alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("string"), record)))).alias("json"))
     return files.ticker_list(settled(docs, "tickers"))
 
 
@@ -126,7 +130,7 @@ def _table(rows: DataFrame, cells: list, group: str) -> DataFrame:
 
 
 def _members(m: Market) -> DataFrame:
-    return m.members.withColumn("k", K).withColumn("g", F.col("k") % 5)
+    return m.members.withColumn("k", _k()).withColumn("g", F.col("k") % 5)
 
 
 @query
@@ -163,7 +167,7 @@ def dotted_file(m: Market) -> DataFrame:
 
 @query
 def delisting_file(m: Market) -> DataFrame:
-    rows = m.members.where("end is not null").select(F.concat(F.lit("T-"), K.cast("string")).alias("ticker"), "end", K.alias("k"))
+    rows = m.members.where("end is not null").select(F.concat(F.lit("T-"), _k().cast("string")).alias("ticker"), "end", _k().alias("k"))
     out = rows.select("ticker", F.date_add("end", 3).alias("delisting_date"), F.lit("merged, for cash").alias("reason"))
     wanted = rows.where("k % 2 = 0").select(F.concat(F.lit("T."), F.col("k").cast("string")).alias("ticker"))
     return files.delistings(m.spark, _csv(m, out, "delistings"), wanted)
@@ -212,7 +216,7 @@ def float_overrides(m: Market) -> DataFrame:
 
 @query
 def sector_overrides(m: Market) -> DataFrame:
-    found = tables.overrides(m.spark, _csv(m, m.sectors.where(K % 3 == 0).select("ticker", "sector"), "sectors"), "ticker string, sector string")
+    found = tables.overrides(m.spark, _csv(m, m.sectors.where(_k() % 3 == 0).select("ticker", "sector"), "sectors"), "ticker string, sector string")
     missing = tables.overrides(m.spark, new_table(m.spark, "nothing"), "ticker string, sector string")
     return found.unionByName(missing)
 
@@ -228,7 +232,7 @@ def identity_windows(m: Market) -> DataFrame:
 def exclusion_list(m: Market) -> DataFrame:
     """Windows of both checks, written as CSV and loaded again."""
     floats = intervals.float_windows(m.float_check).withColumn("reason", F.lit("float"))
-    identity = m.members.where(K % 6 == 0).select("ticker", "start", F.coalesce("end", F.lit(CFG.end)).alias("end"), F.lit("name, differs").alias("reason"))
+    identity = m.members.where(_k() % 6 == 0).select("ticker", "start", F.coalesce("end", F.lit(CFG.end)).alias("end"), F.lit("name, differs").alias("reason"))
     return tables.optional_csv(m.spark, _csv(m, tables.exclusions(m.spark, (floats, "float"), (identity, "identity"), (None, "none")), "exclusions"), tables.EXCLUSIONS)
 
 
@@ -347,7 +351,7 @@ def _audit(m: Market) -> tuple[DataFrame, DataFrame]:
     months = m.panel.where("month(month) = 12").select("month").distinct()
     filed = m.filings.where("cik <= 200").select("cik", F.concat(F.when(F.col("cik") % 3 == 0, "Nobody ").otherwise("Supplier "), F.lpad(F.col("cik").cast("string"), 9, "0")).alias("name"), F.when(F.col("cik") % 5 == 0, "20-F").otherwise(F.col("form")).alias("form"), "filed")
     named = m.panel.join(m.members.select("ticker", F.replace("security", F.lit("#"), F.lit(" ")).alias("security")), "ticker")
-    assigned = m.members.where(K % 4 != 0).select("ticker", K.alias("cik"))
+    assigned = m.members.where(_k() % 4 != 0).select("ticker", _k().alias("cik"))
     return audit.audit_members(named, m.wide, "c1", assigned, filed, months), months
 
 
@@ -408,14 +412,14 @@ def built_universe(m: Market) -> DataFrame:
     tree = jobs.Tree(m.spark, new_table(m.spark, "build"))
     walked = m.members.select("ticker", "start", "end").withColumn("start_source", F.lit("changes"))
     seen = m.panel.where(F.month("month") % 6 == 0).select(F.col("month").alias("date"), "ticker")
-    pins = m.members.where(K % 4 == 0).select("ticker", F.date_sub("start", 30).alias("start"), "end")
+    pins = m.members.where(_k() % 4 == 0).select("ticker", F.date_sub("start", 30).alias("start"), "end")
     jobs.universe(tree, walked, seen, pins, m.panel, CFG)
     return tree.read("membership")
 
 
 @query
 def universe_ciks(m: Market) -> DataFrame:
-    return jobs.ciks_of(m.ciks, m.members.where(K % 3 == 0))
+    return jobs.ciks_of(m.ciks, m.members.where(_k() % 3 == 0))
 
 
 @query

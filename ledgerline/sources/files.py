@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from html.parser import HTMLParser
-from io import BytesIO
+from io import BytesIO, TextIOWrapper
 from pathlib import Path
 
 import pandas as pd
@@ -80,19 +80,41 @@ def tab_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("quote", "").option("mode", "DROPMALFORMED").schema(schema).csv(path)
 
 
-def zip_members(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(path, content): the text of a member of every zip file, opened on the executors."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def zip_lines(spark: SparkSession, path: str, member: str, batch_lines: int = 20_000) -> DataFrame:
+    """(path, member, n, line): the lines of the members that a pattern names, of every zip file.
+
+    A member is unpacked as its lines are read, so a task holds a zip file and a
+    batch of lines, however long the member is.
+    """
+    held = spark.read.format("binaryFile").load(path).select("path", "content")
+    columns = ["path", "member", "n", "line"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for p, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(BytesIO(content)) as z:
-                    rows += [(p, z.read(n).decode("latin-1")) for n in sorted(z.namelist()) if re.search(member, n)][:1]
-            yield pd.DataFrame(rows, columns=["path", "content"])
+                    for name in sorted(x for x in z.namelist() if re.search(member, x)):
+                        with z.open(name) as raw:
+                            rows = []
+                            for n, line in enumerate(TextIOWrapper(raw, "latin-1", newline="\n")):
+                                rows.append((p, name, n, line.rstrip("\r\n")))
+                                if len(rows) == batch_lines:
+                                    yield pd.DataFrame(rows, columns=columns)
+                                    rows = []
+                            yield pd.DataFrame(rows, columns=columns)
+
+    return held.mapInPandas(run, "path string, member string, n long, line string")
 
-    return files.mapInPandas(run, "path string, content string")
+
+def tab_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of tab-separated lines without quoting, and (path, malformed): how many lines of another width each file has.
+
+    The first line of a member is its header.
+    """
+    names = [x.split()[0] for x in schema.split(",")]
+    parts = lines.where("n > 0").withColumn("cells", F.split("line", "\t", -1)).withColumn("whole", F.size("cells") == len(names))
+    rows = parts.where("whole").select(*(F.nullif(F.col("cells")[i], F.lit("")).alias(name) for i, name in enumerate(names)))
+    return rows, parts.groupBy("path").agg(F.count_if(~F.col("whole")).alias("malformed"))
 
 
 def filing_index(sub: DataFrame) -> DataFrame:

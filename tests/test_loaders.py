@@ -8,7 +8,7 @@ import pytest
 from ledgerline.operators import markdown, runs, stats
 from ledgerline.plans import jobs
 from ledgerline.plans.loaders import TOML, workbook
-from ledgerline.sources import tables
+from ledgerline.sources import files, tables
 
 
 def test_missing_and_wrong_overrides(spark, tmp_path):
@@ -103,3 +103,20 @@ def test_report_texts(spark):
     with pytest.raises(KeyError):
         markdown.fill("<!--cov:z--><!--/cov-->", {})
     assert markdown.report("T", {"A": "x", "B": ""}) == "# T\n\n## A\n\nx\n"
+
+
+def test_zip_members_line_by_line(spark, tmp_path):
+    import zipfile
+
+    head = "adsh\tcik\tname\tsic\tform\tperiod\tfy\tfp\tfiled\taccepted\tinstance"
+    row = "a{0}\t{0}\tThe \"N\"\t\t10-K\t20200131\t2020\tFY\t20200301\t2020-03-01 10:00:00.0\ti.xml"
+    for q, n in (("q1", 50), ("q2", 3)):
+        with zipfile.ZipFile(tmp_path / f"{q}.zip", "w") as z:
+            z.writestr("sub.txt", "\r\n".join([head, *(row.format(f"{i}") for i in range(n)), "short\tline"]) + "\r\n")
+            z.writestr("num.txt", "x\n")
+    lines = files.zip_lines(spark, f"file://{tmp_path}/*.zip", r"^sub\.txt$", batch_lines=7)
+    assert lines.count() == 57
+    rows, malformed = files.tab_lines(lines, files.SUB)
+    assert rows.columns == [x.split()[0] for x in files.SUB.split(",")] and rows.count() == 53
+    assert rows.where("sic is null and name = 'The \"N\"'").count() == 53 and sorted(r[1] for r in malformed.collect()) == [1, 1]
+    assert files.filing_index(rows).count() == 50

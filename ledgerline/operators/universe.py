@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.store import settled
+
 UNKNOWN_START = date(1900, 1, 1)
 
 
@@ -25,8 +26,9 @@ def _renames(unmatched: DataFrame, current: DataFrame, reliable_from: date, days
     Additions are taken newest first, and a member goes to the first that it alone
     fits. Chains of dates that lie within reach of each other are settled apart.
     """
-    near = F.abs(F.datediff("date", "date_added")) <= days
-    pairs = unmatched.where(F.col("date") >= F.lit(reliable_from)).join(F.broadcast(current.select(F.col("ticker").alias("new_ticker"), "date_added")), near)
+    # a member stands under each day within reach, so they meet on equal days
+    reach = F.explode(F.sequence(F.date_sub("date_added", days), F.date_add("date_added", days)))
+    pairs = unmatched.where(F.col("date") >= F.lit(reliable_from)).join(current.select(F.col("ticker").alias("new_ticker"), reach.alias("date")), "date")
     by_date = Window.orderBy("date")  # over candidate pairs alone
     gap = (F.datediff("date", F.lag("date").over(by_date)) > 4 * days).cast("int")
     chains = pairs.withColumn("__gap", F.coalesce(gap, F.lit(0))).withColumn("chain", F.sum("__gap").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
@@ -56,7 +58,7 @@ def build_membership(constituents: DataFrame, changes: DataFrame, reliable_from:
     today = constituents.select("ticker", F.lit(None).cast("date").alias("date"), F.lit(None).cast("long").alias("row"), F.lit("current").alias("kind"), "security", "date_added")
     events = _events(changes).withColumn("date_added", F.lit(None).cast("date")).unionByName(today)
     order = Window.partitionBy("ticker").orderBy(F.col("date").desc_nulls_first(), F.when(F.col("kind") == "removed", 1).otherwise(0), "row")
-    seen = events.withColumns({"before": F.lag("kind").over(order), "next_kind": F.lead("kind").over(order), "next_date": F.lead("date").over(order), "next_row": F.lead("row").over(order)})
+    seen = settled(events.withColumns({"before": F.lag("kind").over(order), "next_kind": F.lead("kind").over(order), "next_date": F.lead("date").over(order), "next_row": F.lead("row").over(order)}), "events")
     open_before = F.coalesce(F.col("before").isin("removed", "current"), F.lit(False))
 
     opened = seen.where("kind in ('removed', 'current')").withColumns({
@@ -69,7 +71,7 @@ def build_membership(constituents: DataFrame, changes: DataFrame, reliable_from:
     )
     unmatched = seen.where((F.col("kind") == "added") & ~open_before).select("ticker", "date", "row", "security")
     leftover = opened.where("next_kind is null")
-    renames = _renames(unmatched, leftover.where("end is null and date_added is not null").select("ticker", "date_added"), reliable_from, rename_days)
+    renames = settled(_renames(unmatched, leftover.where("end is null and date_added is not null").select("ticker", "date_added"), reliable_from, rename_days), "renames")
     r = renames.select(F.col("new_ticker").alias("ticker"), "old_ticker", F.col("date").alias("r_date"), F.col("row").alias("r_row"), F.lit(None).cast("date").alias("end"))
     # only current members are renamed: their end is null, and so the join is on the ticker of open rows
     rest = leftover.join(r.drop("end"), (leftover.ticker == r.ticker) & leftover.end.isNull(), "left").drop(r.ticker)

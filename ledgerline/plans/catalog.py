@@ -615,7 +615,7 @@ def filing_similarity(m: Market) -> DataFrame:
 
 @query
 def text_signal(m: Market) -> DataFrame:
-    months = calendar.month_ends(m.spark, CFG.start, CFG.end).join(F.broadcast(m.doc_index.select("cik").distinct()))
+    months = m.doc_index.select("cik").distinct().join(F.broadcast(calendar.month_ends(m.spark, CFG.start, CFG.end)))  # a row a month
     return textsim.signal(months.withColumn("ticker", F.col("cik")), m.scored, "cosine", 1, 18)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import kneser_ney, language_id, line_dedup, media, mixing, ngram_join, ordinal_quality, packing, quality_rules, url_filter
+from ledgerline.llm import exact_dedup, kneser_ney, language_id, line_dedup, media, mixing, ngram_join, oracles, ordinal_quality, packing, quality_rules, spelling, turn_repair, url_filter
 from ledgerline.llm.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures, url_list(pages)).withColumnRenamed("id", "page_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = turn_repair.repair(turn_repair.damage(_table(spark, sf_dir, "conversations")))
+    return convs.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join("repaired", "\n").cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -136,6 +150,9 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -180,6 +197,9 @@ FROM g LEFT JOIN f ON {on}"""
 
 
 ORACLES: dict[str, str] = {
+    "op11_exact_dedup": oracles.EXACT_DEDUP,
+    "op12_conversation_repair": oracles.TURN_REPAIR,
+    "op13_spelling_variants": oracles.SPELLING,
     "op3_mixing": _rake_sql(mixing.ROUNDS),
     "op10_url_filters": r"""
 WITH p AS (SELECT row_number() OVER () AS n, page_id, url, (DATE '2020-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 1000)::INTEGER)::DATE AS day,

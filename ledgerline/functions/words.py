@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import col
+from ledgerline.functions.references import unescape
 
 # Words that do not count.
 STOPWORDS = """a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does
@@ -13,8 +14,7 @@ doing down during each few for from further had has have having he her here hers
 might more most must my myself no nor not of off on once only or other our ours ourselves out over own same shall she should so some such than that the
 their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will
 with would you your yours yourself yourselves""".split()
-# The named character references that text carries, as they are replaced in turn.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
+# Blocks that hold no prose, what looks like markup, and the form of a word.
 BLOCKS = ("script", "style", "ix:header", "head")
 WORD = "([a-z][a-z'-]*[a-z]|[a-z])"
 
@@ -27,14 +27,8 @@ def without_markup(text: Column | str) -> Column:
     return F.when(looks, bare).otherwise(t)
 
 
-def unescape(text: Column) -> Column:
-    for name, plain in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    return F.replace(text, F.lit(" "), F.lit(" "))
-
-
 def to_words(text: Column | str) -> Column:
     """Lower-case alphabetic words in order, stop words gone."""
-    words = F.regexp_extract_all(F.lower(unescape(without_markup(text))), F.lit(WORD), F.lit(1))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    plain = F.replace(unescape(without_markup(text)), F.lit("\u00a0"), F.lit(" "))
+    words = F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(1))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from functools import cached_property
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config
-from ledgerline.functions import names, words
+from ledgerline.functions import names, references, words
 from ledgerline.functions.dates import month_after, month_on_or_before, parse_date
 from ledgerline.functions.numbers import average_rank, near, outside
 from ledgerline.operators import audit, calendar, facts, intervals, portfolio, prices, sectors, shares, signals, speclog, stats, textsim, universe
@@ -180,7 +181,7 @@ class Market:
 
     @kept
     def scored(self) -> DataFrame:
-        return r(textsim.score(textsim.neighbours(self.doc_index), self.word_counts, 20), "cosine", "jaccard", digits=9)
+        return r(textsim.score(textsim.neighbours(self.doc_index), self.table("documents"), 20, "doc_id"), "cosine", "jaccard", digits=9)
 
     @cached_property
     def walk(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -598,6 +599,15 @@ def page_words(m: Market) -> DataFrame:
     return m.table("pages").select("page_id", F.explode(words.to_words("html")).alias("word")).groupBy("page_id", "word").agg(F.count("*").alias("n"))
 
 
+@query
+def unescaped_pages(m: Market) -> DataFrame:
+    """Each page without character references, and ten references of its own: by name, by a name cut short, by number."""
+    name = F.get(F.array(*map(F.lit, sorted(html5))), (F.col("k") % len(html5)).cast("int"))
+    rows = m.table("pages").select("page_id", "html", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).withColumn("k", F.coalesce("page_id", F.lit(0)) * 10 + F.col("i"))
+    text = F.concat(F.lit("a&"), name, F.lit("b&"), F.rtrim(name, F.lit(";")), F.lit("cd &#"), (F.col("k") % 50_000 + 161).cast("string"), F.lit(";"))
+    return rows.select("page_id", "i", references.unescape(text).alias("plain"), F.when(F.col("i") == 0, F.md5(references.unescape(F.col("html")).cast("binary"))).alias("digest"))
+
+
 @query
 def document_words(m: Market) -> DataFrame:
     return m.word_counts
@@ -621,8 +631,7 @@ def text_signal(m: Market) -> DataFrame:
 
 @query
 def text_coverage(m: Market) -> DataFrame:
-    lengths = m.word_counts.groupBy("doc").agg(F.sum("n").alias("length"))
-    return textsim.coverage(m.doc_index, lengths, m.scored, 20)
+    return textsim.coverage(m.doc_index, textsim.lengths(m.table("documents"), "doc_id"), m.scored, 20)
 
 
 # --- signals ---

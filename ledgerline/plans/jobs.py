@@ -88,11 +88,10 @@ def sector_table(tree: Tree, filings: DataFrame, ciks: DataFrame, theirs: DataFr
     return out
 
 
-def text_table(tree: Tree, index: DataFrame, counts: DataFrame, min_words: int) -> DataFrame:
-    """Similarity of each filing with the one before it, and how many could be compared."""
-    scored = tree.save("text_similarity", textsim.score(textsim.neighbours(index), counts, min_words))
-    lengths = counts.groupBy("doc").agg(F.sum("n").alias("length"))
-    tree.save("text_coverage", textsim.coverage(index, lengths, scored, min_words))
+def text_table(tree: Tree, index: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """Similarity of each filing with the one before it, and how many of the documents (doc, text) could be compared."""
+    scored = tree.save("text_similarity", textsim.score(textsim.neighbours(index), docs, min_words))
+    tree.save("text_coverage", textsim.coverage(index, textsim.lengths(docs), scored, min_words))
     return scored
 
 

@@ -402,7 +402,7 @@ def built_benchmarks(m: Market) -> DataFrame:
 @query
 def built_text(m: Market) -> DataFrame:
     tree = jobs.Tree(m.spark, new_table(m.spark, "build"))
-    jobs.text_table(tree, m.doc_index, m.word_counts, 20)
+    jobs.text_table(tree, m.doc_index, m.table("documents").withColumnRenamed("doc_id", "doc"), 20)
     return tree.read("text_coverage")
 
 

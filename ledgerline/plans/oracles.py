@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ledgerline.functions.names import KEY_FIELDS, NAME_STOP, SIC_RANGES, SUFFIXES
-from ledgerline.functions.words import BLOCKS, ENTITIES, STOPWORDS
+from ledgerline.functions.references import BARE, PIECES
+from ledgerline.functions.words import BLOCKS, STOPWORDS
 
 #: Views that the queries share: name -> SQL over the tables and other views.
 VIEWS: dict[str, str] = {
@@ -180,6 +183,15 @@ VIEWS["bt"] = "SELECT * FROM bt_ew1"
 del VIEWS["dec"]
 
 
+def unescape(text: str) -> str:
+    """Named character references by one map of all names, numbers by a case of their own; not for the odd numbers that stand for no character."""
+    table = ", ".join(f"'&{name}': '{plain.replace(chr(39), chr(39) * 2)}'" for name, plain in html5.items())
+    number = "CASE WHEN p[3] IN ('x', 'X') THEN ('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1))::INTEGER ELSE regexp_extract(p, '^&#([0-9]+)', 1)::INTEGER END"
+    begun = ", ".join(f"names[substr(p, 1, {k + 1})] || substr(p, {k + 2})" for k in BARE)
+    one = f"CASE WHEN p[1] <> '&' OR p = '&' THEN p WHEN p[2] = '#' THEN chr({number}) ELSE coalesce(names[p], {begun}, p) END".replace("names", f"MAP {{{table}}}")
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '{PIECES}'), lambda p: {one}), '')"
+
+
 def _markup(text: str) -> str:
     """Markup off, as the word functions do it; without back-references each block has its own pattern."""
     out = f"coalesce({text}, '')"
@@ -188,9 +200,7 @@ def _markup(text: str) -> str:
     bare = f"regexp_replace(regexp_replace({bare}, '(?is)({blocks})', ' ', 'g'), '<[^>]+>', ' ', 'g')"
     looks = f"(regexp_matches(substr({out}, 1, 20000), '(?i)<\\s*(html|body|div|p|table|font)\\b') OR contains(substr({out}, 1, 2000), '<'))"
     out = f"CASE WHEN {looks} THEN {bare} ELSE {out} END"
-    for name, plain in ENTITIES:
-        out = f"replace({out}, '{name}', '{plain.replace(chr(39), chr(39) * 2)}')"
-    return f"replace({out}, chr(160), ' ')"
+    return f"replace({unescape(out)}, chr(160), ' ')"
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -342,6 +352,8 @@ _BODIES: dict[str, str] = {
     "parsed_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN ts::DATE END AS d FROM events",
     "json_numbers": "SELECT event_id, (props->>'k')::BIGINT AS k FROM events",
     "page_words": f"SELECT page_id, word, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower({_markup('html')}), '([a-z][a-z''-]*[a-z]|[a-z])')) AS word FROM pages) WHERE word NOT IN ({_STOP}) GROUP BY 1, 2",
+    "unescaped_pages": f"""SELECT page_id, i, {unescape('t')} AS plain, CASE WHEN i = 0 THEN md5({unescape('html')}) END AS digest FROM
+      (SELECT *, 'a&' || names[k % len(names) + 1] || 'b&' || rtrim(names[k % len(names) + 1], ';') || 'cd &#' || (k % 50000 + 161) || ';' AS t FROM (SELECT *, page_id * 10 + i AS k FROM (SELECT page_id, html, unnest(range(10)) AS i FROM pages)), (SELECT [{", ".join(f"'{n}'" for n in sorted(html5))}] AS names))""",
     "document_words": "SELECT * FROM words",
     "filing_pairs": "SELECT * FROM pairs",
     "filing_similarity": "SELECT cik, adsh, period, filed, prev_adsh, prev_period, cosine, jaccard, length_a, length_b FROM sims",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config, load
-from ledgerline.functions import names, words
+from ledgerline.functions import names, references, words
 from ledgerline.functions.dates import month_on_or_before, parse_date
 from ledgerline.operators import audit, facts, intervals, portfolio, prices, shares, signals, speclog, stats, textsim, universe
 from ledgerline.operators.asof import asof_backward, asof_forward, assert_point_in_time, first_filed, known_by
@@ -242,10 +242,24 @@ def test_names_and_words(spark):
 
 
 def test_similarity(spark):
-    counts = spark.createDataFrame([("a", "apple", 2), ("a", "bank", 1), ("b", "apple", 1), ("b", "bank", 2)], "doc string, word string, n long")
-    pairs = spark.createDataFrame([("a", "b"), ("a", "none")], "a string, b string")
-    got = {r["b"]: (round(r["cosine"], 6), round(r["jaccard"], 6)) for r in textsim.similarities(pairs, counts).collect()}
-    assert got == {"b": (0.8, 1.0), "none": (0.0, 0.0)}
+    docs = spark.createDataFrame([("a", "apple Bank apple"), ("b", "bank, the bank; apple"), ("c", ""), ("d", None), ("e", "pear"), ("unpaired", "apple")], "doc string, text string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "none"), ("b", "c"), ("d", "a"), ("a", "e"), ("b", "b")], "a string, b string")
+    vectors = textsim.term_vectors(docs, pairs)
+    assert {r["doc"]: (r["sq"], r["words"], r["length"]) for r in vectors.collect()} == {"a": (5, 2, 3), "b": (5, 2, 3), "c": (0, 0, 0), "d": (0, 0, 0), "e": (1, 1, 1)}
+    got = {(r["a"], r["b"]): (round(r["cosine"], 6), round(r["jaccard"], 6)) for r in textsim.similarities(pairs, vectors).collect()}
+    assert got == {("a", "b"): (0.8, 1.0), ("a", "none"): (0.0, 0.0), ("b", "c"): (0.0, 0.0), ("d", "a"): (0.0, 0.0), ("a", "e"): (0.0, 0.0), ("b", "b"): (1.0, 1.0)}
+
+
+def test_character_references_equal_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    rng = random.Random(4)
+    texts = [f"a &{n} b&{n}c &{n[:-1]}d" for n in html5] + [f"&#{n};&#{n}x&#x{n:x};&#X{n:X}g" for n in [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**12, 16**20]]
+    texts += ["", "no references", "&", "&&", "& amp;", "&#;", "&#x;", "&#xg;", "&amp;lt;", "&notit;", "&notin;", "&NotEqualTilde;", "&unknownname;", "&" + "a" * 40 + ";", "&#0000065;", "&#x" + "0" * 30 + "41;", "é&eacute;\n&\tamp;"]
+    texts += ["".join(rng.choice(["&", "#", ";", "x", "amp", "lt", "1", "3", "9", "not", "in", " ", "é"]) for _ in range(30)) for _ in range(500)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", references.unescape(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [html.unescape(t) for t in texts]
 
 
 def test_normalise_small_sector(spark):

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import month_after
+from ledgerline.functions.normal import cdf, inverse_cdf
 from ledgerline.functions.numbers import average_rank, finite, ratio
 from ledgerline.operators.prices import dense
+from ledgerline.operators.regression import least_squares
 
 YEAR = 12
 
@@ -140,70 +140,36 @@ def performance(series: DataFrame, keys: list[str], value: str = "ret_net", orde
     )
 
 
-def deflated_sharpe(sr: float, variance: float, trials: int, months: int, skew: float, kurtosis: float) -> tuple[float, float]:
-    """(threshold, probability): the best Sharpe that so many trials give by chance, and that of beating it."""
-    normal, gamma = NormalDist(), 0.5772156649015329
-    top = 0.0
-    if trials > 1:
-        top = math.sqrt(variance) * ((1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e)))
-    spread = 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr
-    if spread <= 0 or months < 2:
-        return top, math.nan
-    return top, normal.cdf((sr - top) * math.sqrt(months - 1) / math.sqrt(spread))
+def deflated_sharpe(sr: Column, variance: Column, trials: Column, months: Column, skew: Column, kurtosis: Column) -> tuple[Column, Column]:
+    """(threshold, probability): the best Sharpe that so many trials give by chance, and that of beating it; per period.
+
+    One trial, or trials that do not differ, choose nothing: the threshold is 0.
+    """
+    gamma = 0.5772156649015329
+    n = trials.cast("double")
+    best = F.sqrt(variance) * ((1 - gamma) * inverse_cdf(1 - 1 / n) + gamma * inverse_cdf(1 - 1 / (n * math.e)))
+    top = F.when((n > 1) & (variance > 0), best).otherwise(0.0)
+    spread = F.greatest(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr, F.lit(1e-12))
+    return top, F.when(months >= 1, cdf((sr - top) * F.sqrt(months - 1) / F.sqrt(spread)))
 
 
 def to_month_earned(ls: DataFrame) -> DataFrame:
     return ls.withColumn("month", month_after("month"))
 
 
-@dataclass(frozen=True)
-class Attribution:
-    alpha: float  # a year
-    alpha_t: float
-    betas: dict[str, float]
-    betas_t: dict[str, float]
-    r2: float
-    n: int
-
+def attribution(ls: DataFrame, factors: DataFrame, names: list[str], keys: list[str] | None = None, ret: str = "ret_gross", lags: int = 0) -> DataFrame:
+    """(keys, n, alpha, t_alpha, beta_<name>, t_<name>, r2): each series on the factors of the month that it earns in; alpha is a year's."""
+    keys = keys or []
+    rows = to_month_earned(ls).select(*keys, "month", F.col(ret).alias("__ret")).join(factors.select("month", *names), "month")
+    fit = least_squares(rows, "__ret", names, keys, "month", lags)
+    return fit.withColumn("const", F.col("const") * YEAR).withColumnsRenamed({"const": "alpha", "t_const": "t_alpha"})
 
-def attribution(ls: DataFrame, factors: DataFrame, names: list[str], ret: str = "ret_gross", lags: int = 0) -> Attribution:
-    """Least squares on factors with a Bartlett-weighted covariance.
 
-    Spark sums the cross products and, in a second pass, those of the scores and
-    their lags; the driver solves a system of as many rows as there are factors.
-    """
-    x = ["__one", *names]
-    rows = to_month_earned(ls).select("month", F.col(ret).alias("__y")).join(factors.select("month", *names), "month").withColumn("__one", F.lit(1.0))
-    rows = rows.dropna(subset=["__y", *names])
-    pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]]
-    sums = rows.agg(F.count("*").alias("n"), F.var_samp("__y").alias("vy"), *(F.sum(F.col(a) * F.col(b)).alias(f"g{i}") for i, (a, b) in enumerate(pairs)), *(F.sum(F.col(a) * F.col("__y")).alias(f"h{i}") for i, a in enumerate(x))).first()
-    k = len(x)
-    if sums["n"] <= k:
-        raise ValueError(f"{sums['n']} months do not fit {k} coefficients")
-    gram = np.zeros((k, k))
-    for i, (a, b) in enumerate(pairs):
-        gram[x.index(a), x.index(b)] = gram[x.index(b), x.index(a)] = sums[f"g{i}"]
-    coef = np.linalg.solve(gram, np.array([sums[f"h{i}"] for i in range(k)]))
-    fit = sum((float(c) * F.col(a) for c, a in zip(coef, x, strict=True)), F.lit(0.0))
-    order = Window.partitionBy().orderBy("month")  # one row a month
-    scored = rows.withColumn("__e", F.col("__y") - fit).withColumns({f"__s{i}": F.col("__e") * F.col(a) for i, a in enumerate(x)})
-    lagged = scored.withColumns({f"__l{m}_{i}": F.lag(f"__s{i}", m).over(order) for m in range(1, lags + 1) for i in range(k)})
-    meat_sums = lagged.agg(F.var_samp("__e").alias("ve"), *(F.sum(F.col(f"__s{i}") * F.col(f"__s{j}" if m == 0 else f"__l{m}_{j}")).alias(f"m{m}_{i}_{j}") for m in range(lags + 1) for i in range(k) for j in range(k))).first()
-    meat = np.zeros((k, k))
-    for m in range(lags + 1):
-        own = np.array([[meat_sums[f"m{m}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-        meat += own if m == 0 else (1 - m / (lags + 1)) * (own + own.T)
-    bread = np.linalg.inv(gram)
-    se = np.sqrt(np.diag(bread @ meat @ bread))
-    t = coef / se
-    r2 = 1 - meat_sums["ve"] / sums["vy"] if sums["vy"] else math.nan
-    return Attribution(float(coef[0]) * YEAR, float(t[0]), dict(zip(names, map(float, coef[1:]), strict=True)), dict(zip(names, map(float, t[1:]), strict=True)), float(r2), int(sums["n"]))
-
-
-def weighting_gap(equal: DataFrame, cap: DataFrame, factors: DataFrame, ret: str = "ret_gross", lags: int = 0) -> Attribution:
+def weighting_gap(equal: DataFrame, cap: DataFrame, factors: DataFrame, keys: list[str] | None = None, ret: str = "ret_gross", lags: int = 0) -> DataFrame:
     """Equal- less cap-weighted returns on the size factor."""
-    both = equal.select("month", F.col(ret).alias("__a")).join(cap.select("month", F.col(ret).alias("__b")), "month").select("month", (F.col("__a") - F.col("__b")).alias(ret))
-    return attribution(both, factors, ["smb"], ret, lags)
+    keys = keys or []
+    both = equal.select(*keys, "month", F.col(ret).alias("__a")).join(cap.select(*keys, "month", F.col(ret).alias("__b")), [*keys, "month"]).select(*keys, "month", (F.col("__a") - F.col("__b")).alias(ret))
+    return attribution(both, factors, ["smb"], keys, ret, lags)
 
 
 def breakeven_cost(ls: DataFrame, keys: list[str] | None = None) -> DataFrame:

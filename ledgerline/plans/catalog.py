@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config
-from ledgerline.functions import names, references, words
+from ledgerline.functions import names, normal, references, words
 from ledgerline.functions.dates import month_after, month_on_or_before, parse_date
 from ledgerline.functions.numbers import average_rank, near, outside
 from ledgerline.operators import audit, calendar, facts, intervals, portfolio, prices, sectors, shares, signals, speclog, stats, textsim, universe
@@ -810,9 +810,16 @@ def score_coverage(m: Market) -> DataFrame:
 
 @query
 def factor_attribution(m: Market) -> DataFrame:
-    a = stats.attribution(m.spread, m.factors, ["mkt_rf", "smb", "hml"])
-    rows = [("alpha", a.alpha, a.alpha_t), *((k, v, a.betas_t[k]) for k, v in a.betas.items())]
-    return r(m.spark.createDataFrame([(n, float(x), float(t), a.n) for n, x, t in rows], "name string, value double, t double, n long"), "value", "t", digits=5)
+    fit = stats.attribution(m.spread, m.factors, ["mkt_rf", "smb", "hml"])
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n if n == "alpha" else f"beta_{n}").alias("value"), F.col(f"t_{n}").alias("t"), "n") for n in ("alpha", "mkt_rf", "smb", "hml")))
+    return r(fit.select(F.explode(rows).alias("x")).select("x.*"), "value", "t", digits=5)
+
+
+@query
+def normal_values(m: Market) -> DataFrame:
+    """The normal distribution function at each order's scaled price, and the quantile of its rank."""
+    o = m.table("orders").select("o_orderkey", ((F.col("o_totalprice") - 150_000) / 20_000).alias("x"), ((F.col("o_orderkey") % 999 + 1) / 1_000).alias("p"))
+    return r(o.select("o_orderkey", normal.cdf(F.col("x")).alias("below"), normal.inverse_cdf(F.col("p")).alias("quantile")), "below", "quantile", digits=9)
 
 
 # --- logs and audits ---

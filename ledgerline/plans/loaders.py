@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import names
 from ledgerline.operators import asof, audit, facts, intervals, portfolio, runs, shares, speclog, stats
-from ledgerline.plans import jobs, sqlview
+from ledgerline.plans import jobs, reports, sqlview
 from ledgerline.plans.catalog import CFG, CONCEPTS, Market, query, r
-from ledgerline.plans.oracles import ORACLES, VIEWS, _BODIES, _normal, _resolved, _round, _sql
+from ledgerline.plans.oracles import ORACLES, VIEWS, _BODIES, _normal, _resolved, _round, _sql, normal_cdf, quantiles
 from ledgerline.plans.reports import inputs
 from ledgerline.sources import files, market, tables
 from ledgerline.sources.store import new_table, settled
@@ -340,11 +340,13 @@ def tag_gap(m: Market) -> DataFrame:
 
 @query
 def deflated(m: Market) -> DataFrame:
-    """The deflated Sharpe ratio of the spread under the logged trials."""
-    one = stats.performance(m.spread.withColumn("x", F.lit(1)), ["x"]).first()
-    trials = speclog.trial_variance(m.spec_log).where("kind = 'all'").first()
-    top, p = stats.deflated_sharpe(one["sharpe"] / 12**0.5, trials["variance"], trials["n"], one["n"], one["skew"], one["kurtosis"])
-    return m.spark.createDataFrame([(top, p)], "threshold double, probability double")
+    """Of each run: the best Sharpe ratio that as many trials as were logged give by chance, and the probability of beating it."""
+    ls = runs.run(reports.inputs(m), CFG, (runs.BASE, runs.SENSITIVITIES[0]))
+    one = stats.performance(ls, ["factor", "tag"])
+    trials = speclog.trial_variance(m.spec_log).where("kind = 'all'").select(F.round("variance", 2).alias("variance"), F.col("n").alias("trials"))
+    both = one.withColumn("kind", F.lit("all")).join(trials.withColumn("kind", F.lit("all")), "kind")  # one row of trials
+    top, p = stats.deflated_sharpe(F.col("sharpe") / 12**0.5, F.col("variance"), F.col("trials"), F.col("n"), F.col("skew"), F.col("kurtosis"))
+    return r(both.select("factor", "tag", top.alias("threshold"), p.alias("probability")), "threshold", "probability", digits=5)
 
 
 def _audit(m: Market) -> tuple[DataFrame, DataFrame]:
@@ -503,6 +505,11 @@ BODIES: dict[str, str] = {
     "built_benchmarks": "SELECT month, mkt_rf, smb AS umd, round(CASE WHEN month(month) % 2 = 1 THEN smb - hml END, 6) AS big_hml, round(hml - mkt_rf, 6) AS big_rmw FROM factors",
     "built_text": _BODIES["text_coverage"],
     "universe_ciks": "SELECT DISTINCT cik FROM ciks WHERE substr(ticker, 2)::BIGINT % 3 = 0",
+    "deflated": f"""SELECT factor, tag, round(top, 5) AS threshold, round({normal_cdf('x')}, 5) AS probability FROM (
+      SELECT *, (sr - top) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS x FROM (
+      SELECT *, CASE WHEN trials > 1 AND variance > 0 THEN sqrt(variance) * ((1 - 0.5772156649015329) * (SELECT max(q) FROM best_of WHERE kind = 1) + 0.5772156649015329 * (SELECT max(q) FROM best_of WHERE kind = 2)) ELSE 0 END AS top FROM (
+      SELECT factor, tag, count(*) AS n, avg(x) / stddev_samp(x) AS sr, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS skew, avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) AS kurt
+      FROM (SELECT factor, tag, ret_net AS x, avg(ret_net) OVER (PARTITION BY factor, tag) AS m FROM runs_cw) GROUP BY 1, 2), (SELECT trials, variance FROM all_trials)))""",
     "loaded_runs": f"SELECT factor, tag, month, {_round('ret_gross turnover ret_net')} FROM runs_base",
     "rebuild_drift": "SELECT '' AS \"table\", '' AS what, 0::BIGINT AS n WHERE false",
 }
@@ -530,5 +537,7 @@ BODIES["cik_matches"] = f"""SELECT ticker, security, coalesce(c1, c2, c3, c4, c5
   SELECT m.ticker, m.security, CASE WHEN k % 9 = 0 AND "end" IS NULL THEN k + 5000 END AS c1, CASE WHEN k % 2 = 0 AND "end" IS NULL THEN k + 7000 END AS c2, a.cik AS c3, b.cik AS c4, c.cik AS c5
   FROM (SELECT *, {_normal('security')} AS name FROM (SELECT ticker, k, "end", {_NAME} AS security FROM members)) m
   LEFT JOIN whole_only a ON a.key = m.name LEFT JOIN tight_only b ON b.key = replace(m.name, ' ', '') LEFT JOIN begin__only c ON c.key = {_START.replace('name', 'm.name')})"""
+VIEWS["all_trials"] = f"SELECT n::DOUBLE AS trials, variance FROM ({_BODIES['spec_variance']}) WHERE kind = 'all'"
+VIEWS["best_of"] = f"SELECT kind, q FROM (SELECT 1 AS kind, 1 - 1 / trials AS p FROM all_trials UNION ALL SELECT 2, 1 - 1 / (trials * exp(1)) FROM all_trials) JOIN {quantiles('SELECT 1 - 1 / trials AS p FROM all_trials UNION SELECT 1 - 1 / (trials * exp(1)) FROM all_trials')} USING (p)"
 ORACLES.update({name: _sql(body) for name, body in BODIES.items()})
 ORACLES["latest_caps"] = _resolved(False, "SELECT ticker, month, cap, round(n_basis, 6) AS n_basis, shares_source FROM (SELECT ticker, max(month) AS month, arg_max(cap, month) AS cap FROM (SELECT m.month, m.ticker, round(px_me * v, 6) AS cap FROM monthly m JOIN (SELECT ticker, last_day(date) AS month, sum(volume) AS v FROM daily GROUP BY 1, 2) USING (month, ticker)) GROUP BY 1) JOIN resolved USING (month, ticker) WHERE ticker IN (SELECT ticker FROM members WHERE \"end\" IS NULL)")

@@ -207,6 +207,39 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 VIEWS["words"] = VIEWS["words"].format(text=_markup("text"), stop=_STOP)
 
 
+def least_squares(rows: str, keys: list[str], names: list[str], lags: int = 0) -> str:
+    """Least squares with robust errors by what is left of each regressor after the others (rows: keys, month, y and the regressors)."""
+    x = ["one", *names]
+    by = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    sql = f"SELECT *, 1.0::DOUBLE AS one FROM ({rows}) WHERE y IS NOT NULL AND " + " AND ".join(f"{n} IS NOT NULL" for n in names)
+
+    def left(a: str, j: int, steps: int) -> str:
+        return a + "".join(f" - sum({a} * v{j}_{i}) OVER ({by}) / sum(v{j}_{i} * v{j}_{i}) OVER ({by}) * v{j}_{i}" for i in range(steps))
+
+    for s in range(len(names)):
+        sql = f"SELECT *, {', '.join(f'{left([o for o in x if o != a][s], j, s)} AS v{j}_{s}' for j, a in enumerate(x))} FROM ({sql})"
+    sql = f"SELECT *, {', '.join(f'{left(a, j, len(names))} AS r{j}' for j, a in enumerate(x))} FROM ({sql})"
+    sql = f"SELECT *, {', '.join(f'sum(r{j} * y) OVER ({by}) / sum(r{j} * r{j}) OVER ({by}) AS b{j}' for j in range(len(x)))} FROM ({sql})"
+    sql = f"SELECT *, y - {' - '.join(f'b{j} * {a}' for j, a in enumerate(x))} AS e FROM ({sql})"
+    lagged = "".join(f", lag(r{j} * e, {m}) OVER ({by} ORDER BY month) AS w{j}_{m}" for j in range(len(x)) for m in range(1, lags + 1))
+    spread = [" + ".join([f"sum(r{j} * e * r{j} * e)", *(f"2 * {1 - m / (lags + 1)} * sum(r{j} * e * w{j}_{m})" for m in range(1, lags + 1))]) for j in range(len(x))]
+    out = "".join(f", any_value(b{j}) AS beta_{a}, any_value(b{j}) / (sqrt({spread[j]}) / sum(r{j} * r{j})) AS t_{a}" for j, a in enumerate(x))
+    return f"SELECT {''.join(k + ', ' for k in keys)}count(*) AS n{out}, 1 - var_samp(e) / var_samp(y) AS r2 FROM (SELECT *{lagged} FROM ({sql})){' GROUP BY ' + ', '.join(keys) if keys else ''}"
+
+
+def normal_cdf(x: str) -> str:
+    """The distribution function as one series, its terms by the logarithm of the gamma function."""
+    terms = f"list_sum(list_transform(range(200), lambda k: exp(k * ln({x} * {x}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 WHEN {x} = 0 THEN 0.5 ELSE 0.5 + {x} * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} END"
+
+
+def quantiles(ps: str) -> str:
+    """(p, q) of the normal quantiles of a query of distinct p, by halving an interval."""
+    return f"""(WITH RECURSIVE h AS (SELECT p, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS step FROM ({ps})
+      UNION ALL SELECT p, CASE WHEN f < p THEN mid ELSE lo END, CASE WHEN f < p THEN hi ELSE mid END, step + 1 FROM (SELECT *, {normal_cdf('mid')} AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM h)) WHERE step < 46)
+      SELECT p, (lo + hi) / 2 AS q FROM h WHERE step = 46)"""
+
+
 def _sql(body: str) -> str:
     """``body`` with the views it needs, each before its first use."""
     import re
@@ -352,6 +385,10 @@ _BODIES: dict[str, str] = {
     "parsed_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN ts::DATE END AS d FROM events",
     "json_numbers": "SELECT event_id, (props->>'k')::BIGINT AS k FROM events",
     "page_words": f"SELECT page_id, word, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower({_markup('html')}), '([a-z][a-z''-]*[a-z]|[a-z])')) AS word FROM pages) WHERE word NOT IN ({_STOP}) GROUP BY 1, 2",
+    "normal_values": f"""SELECT o_orderkey, round({normal_cdf('x')}, 9) AS below, round(q, 9) + 0.0 AS quantile FROM (SELECT o_orderkey, (o_totalprice - 150000) / 20000 AS x, (o_orderkey % 999 + 1) / 1000.0::DOUBLE AS p FROM orders)
+      JOIN {quantiles('SELECT unnest(range(1, 1000)) / 1000.0::DOUBLE AS p')} USING (p)""",
+    "factor_attribution": f"""SELECT unnest(['alpha', 'mkt_rf', 'smb', 'hml']) AS name, round(unnest([beta_one * 12, beta_mkt_rf, beta_smb, beta_hml]), 5) AS value, round(unnest([t_one, t_mkt_rf, t_smb, t_hml]), 5) AS t, n
+      FROM ({least_squares("SELECT f.*, l.ret_gross AS y FROM ls l JOIN factors f ON f.month = last_day((l.month + INTERVAL 1 MONTH)::DATE)", [], ["mkt_rf", "smb", "hml"])})""",
     "unescaped_pages": f"""SELECT page_id, i, {unescape('t')} AS plain, CASE WHEN i = 0 THEN md5({unescape('html')}) END AS digest FROM
       (SELECT *, 'a&' || names[k % len(names) + 1] || 'b&' || rtrim(names[k % len(names) + 1], ';') || 'cd &#' || (k % 50000 + 161) || ';' AS t FROM (SELECT *, page_id * 10 + i AS k FROM (SELECT page_id, html, unnest(range(10)) AS i FROM pages)), (SELECT [{", ".join(f"'{n}'" for n in sorted(html5))}] AS names))""",
     "document_words": "SELECT * FROM words",

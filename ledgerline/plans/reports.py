@@ -166,6 +166,14 @@ def cap_shares(m: Market) -> DataFrame:
     return share.groupBy(F.year("month").alias("year")).agg(F.round(F.avg("share") * 100, 4).alias("share_pct"))
 
 
+@query
+def attributions(m: Market) -> DataFrame:
+    """Every run and its cap-weighted variant on three factors at once, with two lags."""
+    names = ["mkt_rf", "smb", "hml"]
+    fit = stats.attribution(_runs(m, runs.BASE, runs.SENSITIVITIES[0]), m.factors, names, ["factor", "tag"], lags=2)
+    return r(fit, "alpha", "t_alpha", *(f"{p}_{n}" for n in names for p in ("beta", "t")), "r2", digits=5)
+
+
 @query
 def trial_counts(m: Market) -> DataFrame:
     """Rows logged, and of all and of candidates: distinct specifications and the variance of their latest monthly Sharpe ratios."""
@@ -298,6 +306,8 @@ BODIES: dict[str, str] = {
     "hedge_table": f"""SELECT factor, tag, {_round('sharpe beta beta_t corr', 5)}, months FROM (SELECT factor, tag, {_SHARPE.format('ret_net')} AS sharpe FROM runs_both GROUP BY 1, 2) JOIN ({_fit(_earned('runs_both', 'mkt_rf', 'factor, tag'), 'factor, tag')}) USING (factor, tag)
       JOIN (SELECT factor, tag, count(*) AS months, corr(y, x) AS corr FROM ({_earned('runs_both', 'hml', 'factor, tag')}) GROUP BY 1, 2) USING (factor, tag)""",
     "weighting_gaps": f"SELECT factor, n, {_round('alpha alpha_t beta beta_t r2', 5)} FROM ({_fit(_earned('gaps', 'smb', 'factor'), 'factor')})",
+    "attributions": "SELECT factor, tag, n, round(beta_one * 12, 5) AS alpha, round(t_one, 5) AS t_alpha, " + ", ".join(f"round({p}_{n}, 5) AS {p}_{n}" for n in ("mkt_rf", "smb", "hml") for p in ("beta", "t"))
+    + ", round(r2, 5) AS r2 FROM (" + oracles.least_squares("SELECT l.factor, l.tag, f.*, l.ret_gross AS y FROM runs_cw l JOIN factors f ON f.month = last_day((l.month + INTERVAL 1 MONTH)::DATE)", ["factor", "tag"], ["mkt_rf", "smb", "hml"], 2) + ")",
     "results_frame": "SELECT * FROM res",
     "factor_report": "SELECT * FROM res WHERE factor = 'momentum'",
     "prose_figures": " UNION ALL ".join(f"SELECT '{c}_' || factor AS name, printf('%.{d}f', round({c} * {by}, {d})) AS text FROM res WHERE {c} IS NOT NULL" for c, (d, by) in FORMATS.items()),

@@ -1,7 +1,6 @@
 """Loaders, caches, workbooks, builds and report texts by hand-worked cases."""
 
 from datetime import date
-from statistics import NormalDist
 
 import pytest
 
@@ -89,13 +88,6 @@ def test_single_fit_equals_least_squares(spark):
     assert (got["alpha_t"], got["beta_t"]) == pytest.approx(tuple(coef / se)) and got["r2"] == pytest.approx(1 - e.var() / y.var())
 
 
-def test_deflated_sharpe_by_the_normal_distribution():
-    top, p = stats.deflated_sharpe(0.2, 0.01, 10, 120, -0.3, 4.0)
-    g, n = 0.5772156649015329, NormalDist()
-    want = 0.1 * ((1 - g) * n.inv_cdf(0.9) + g * n.inv_cdf(1 - 1 / (10 * 2.718281828459045)))
-    assert top == pytest.approx(want) and p == pytest.approx(n.cdf((0.2 - want) * 119**0.5 / (1 + 0.3 * 0.2 + 0.75 * 0.04) ** 0.5))
-
-
 def test_report_texts(spark):
     df = spark.createDataFrame([("b", 1.234, None), ("a", 2.0, 3)], "f string, x double, n int")
     assert markdown.table(df, ["f"]) == "| f | x | n |\n| --- | --- | --- |\n| a | 2.00 | 3 |\n| b | 1.23 | n/a |"

@@ -3,13 +3,14 @@
 import math
 import random
 from datetime import date
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config, load
-from ledgerline.functions import names, references, words
+from ledgerline.functions import names, normal, references, words
 from ledgerline.functions.dates import month_on_or_before, parse_date
 from ledgerline.operators import audit, facts, intervals, portfolio, prices, shares, signals, speclog, stats, textsim, universe
 from ledgerline.operators.asof import asof_backward, asof_forward, assert_point_in_time, first_filed, known_by
@@ -135,7 +136,14 @@ def test_attribution_and_robust_errors(spark):
     last = spark.createDataFrame([(m, i) for i, m in enumerate(months)], "d date, i int").select(F.last_day("d").alias("month"), "i")
     ls = last.where("i < 120").join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "i int, ret_gross double"), "i").drop("i")
     fac = last.where("i > 0").join(spark.createDataFrame([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, mkt_rf double, hml double"), "i").drop("i")
-    got = stats.attribution(ls, fac, ["mkt_rf", "hml"], lags=2)
+    flat = ls.withColumn("name", F.lit(None).cast("string"))
+    several = flat.unionByName(ls.selectExpr("month", "2 * ret_gross AS ret_gross", "'twice' AS name")).unionByName(flat.limit(3).withColumn("name", F.lit("short"))).unionByName(ls.selectExpr("month", "CASE WHEN month < '2005-01-01' THEN ret_gross END AS ret_gross", "'half' AS name"))
+    fits = {r["name"]: r for r in stats.attribution(several, fac, ["mkt_rf", "hml"], ["name"], lags=2).collect()}
+    got = fits[None]
+    assert fits["short"]["n"] == 3 and fits["short"]["alpha"] is None and fits["half"]["n"] == 60
+    assert fits["twice"]["beta_hml"] == pytest.approx(2 * got["beta_hml"]) and fits["twice"]["t_hml"] == pytest.approx(got["t_hml"])
+    dependent = stats.attribution(ls, fac.withColumn("smb", 2 * F.col("hml")), ["hml", "smb"]).first()
+    assert dependent["beta_hml"] is None and dependent["n"] == n
     X = np.column_stack([np.ones(n), x])
     b = np.linalg.solve(X.T @ X, X.T @ y)
     s = X * (y - X @ b)[:, None]
@@ -143,7 +151,9 @@ def test_attribution_and_robust_errors(spark):
     for m in (1, 2):
         meat += (1 - m / 3) * (s[m:].T @ s[:-m] + s[:-m].T @ s[m:])
     se = np.sqrt(np.diag(np.linalg.inv(X.T @ X) @ meat @ np.linalg.inv(X.T @ X)))
-    assert got.n == n and got.betas["mkt_rf"] == pytest.approx(b[1]) and got.betas_t["hml"] == pytest.approx(b[2] / se[2]) and got.alpha == pytest.approx(12 * b[0]) and got.alpha_t == pytest.approx(b[0] / se[0])
+    assert got["n"] == n and got["beta_mkt_rf"] == pytest.approx(b[1]) and got["t_hml"] == pytest.approx(b[2] / se[2]) and got["alpha"] == pytest.approx(12 * b[0]) and got["t_alpha"] == pytest.approx(b[0] / se[0])
+    assert got["r2"] == pytest.approx(1 - (y - X @ b).var() / y.var())
+    assert stats.attribution(ls, fac, ["mkt_rf", "hml"], lags=2).first()["t_hml"] == pytest.approx(got["t_hml"])
     nw = stats.newey_west(spark.createDataFrame([(m, float(v)) for m, v in zip(months, y)], "month date, v double"), "v", 3).first()
     c = y - y.mean()
     want = (c @ c + 2 * sum((1 - k / 4) * (c[k:] @ c[:-k]) for k in (1, 2, 3))) / n / n
@@ -153,9 +163,25 @@ def test_attribution_and_robust_errors(spark):
 def test_scalar_statistics():
     assert stats.half_life([(h, 0.05 * math.exp(-h / 4)) for h in (1, 2, 3, 6, 12)]) == pytest.approx(4 * math.log(2), rel=1e-3)
     assert math.isnan(stats.half_life([(h, 0.01 * h) for h in (1, 2, 3, 6, 12)]))
-    top, p = stats.deflated_sharpe(0.2, 0.01, 1, 120, 0.0, 3.0)
-    assert top == 0 and p == pytest.approx(0.985, abs=2e-3)
-    assert stats.deflated_sharpe(0.2, 0.01, 50, 120, 0.0, 3.0)[1] < p
+
+
+def test_normal_distribution_and_deflated_sharpe(spark):
+    exact = NormalDist()
+    xs = [0.0, 1e-9, -0.5, 1.0, 2.999, 3.0, 3.001, -3.001, 5.0, -5.0, -8.0, 8.0, -12.0, -30.0]
+    ps = [1e-12, 1e-6, 0.001, 0.1, 0.4999, 0.5, 0.5001, 0.9, 0.999999]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(normal.cdf(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(-x / math.sqrt(2)) / 2 for x in xs], rel=1e-12, abs=0)
+    inv = [r[0] for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i").select(normal.inverse_cdf(F.col("p"))).collect()]
+    assert inv == pytest.approx([exact.inv_cdf(p) for p in ps], rel=1e-9, abs=1e-12)
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (None,), (1.5,)], "p double").select(normal.inverse_cdf(F.col("p"))).collect()] == [-math.inf, math.inf, None, None]
+    cases = [(0.2, 0.01, 1, 120, 0.0, 3.0), (0.2, 0.01, 50, 120, 0.0, 3.0), (0.2, 0.01, 10, 120, -0.3, 4.0), (0.2, 0.0, 10, 120, 0.0, 3.0), (3.0, 0.01, 10, 120, 3.0, 3.0)]
+    top, p = stats.deflated_sharpe(*map(F.col, "abcdef"))
+    out = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a double, b double, c long, d long, e double, f double").orderBy("i").select(top, p).collect()
+    g = 0.5772156649015329
+    want = 0.1 * ((1 - g) * exact.inv_cdf(0.9) + g * exact.inv_cdf(1 - 1 / (10 * math.e)))
+    assert out[0][0] == 0 and out[0][1] == pytest.approx(0.985, abs=2e-3) and out[1][1] < out[0][1] and out[3][0] == 0
+    assert out[2][0] == pytest.approx(want) and out[2][1] == pytest.approx(exact.cdf((0.2 - want) * 119**0.5 / (1 + 0.3 * 0.2 + 0.75 * 0.04) ** 0.5))
+    assert out[4][1] == 1.0  # moments that no series has: the spread is held above 0
 
 
 def test_hedge_uses_only_the_past(spark):

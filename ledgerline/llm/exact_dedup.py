@@ -80,7 +80,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks): a row for each row of ``docs``."""
     rows = recipes(docs, id_col, text_col, bits).withColumn("key", F.xxhash64("recipe"))
     last = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "row")
-    groups = rows.groupBy("key", "recipe").agg(F.max(last).alias("last"), F.count("*").alias("group_size"))
+    groups = written(rows.groupBy("key", "recipe").agg(F.max(last).alias("last"), F.count("*").alias("group_size")), "groups")  # a join of two tables, of which the rows' side can be split
     return rows.join(groups, ["key", "recipe"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks")
     )

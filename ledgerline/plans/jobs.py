@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import Config
 from ledgerline.operators import audit, facts, intervals, prices, runs, sectors, textsim
-from ledgerline.sources import tables
+from ledgerline.sources import files, incremental, tables, zips
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,25 @@ def fundamentals(tree: Tree, filings: DataFrame, kinds: DataFrame, cik_months: D
     return wide
 
 
+def ingest(tree: Tree, zips_uri: str, tags: dict[str, tuple[list[str], str]], forms: list[str], version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Typed facts of all quarterly zip files, with ``part`` for the quarter, and the (part, path, stamp) of the quarters that were read now.
+
+    A quarter is read again when its file or the tag map has changed; the others stay as they are.
+    """
+    names = sorted({tag for own, _ in tags.values() for tag in own})
+    salt = files.tag_map_hash(json.dumps(tags, sort_keys=True).encode(), version)
+    wanted = incremental.file_stamps(tree.spark, f"{zips_uri}/*.zip", r"([^/]+)\.zip$", salt)
+
+    def build(stale: DataFrame) -> DataFrame:
+        paths = [r["path"] for r in stale.select("path").collect()]  # one a quarter
+        part = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+        num, _ = files.tab_lines(zips.zip_lines(tree.spark, paths, r"^num\.txt$"), files.NUM, ("path",))
+        sub, _ = files.tab_lines(zips.zip_lines(tree.spark, paths, r"^sub\.txt$"), files.SUB)
+        return files.filing_values(num.withColumn("part", part), sub, names, forms, ("part",))
+
+    return incremental.refresh(tree.spark, tree.uri("facts"), wanted, build)
+
+
 def share_tables(tree: Tree, covers: DataFrame, splits: DataFrame, prices_until) -> None:
     """Cover counts and the splits up to the day the prices go to."""
     tree.save("cover_shares", covers)

@@ -15,7 +15,7 @@ from ledgerline.plans import jobs, reports, sqlview
 from ledgerline.plans.catalog import CFG, CONCEPTS, Market, query, r
 from ledgerline.plans.oracles import ORACLES, VIEWS, _BODIES, _normal, _resolved, _round, _sql, normal_cdf, quantiles
 from ledgerline.plans.reports import inputs
-from ledgerline.sources import files, market, tables
+from ledgerline.sources import files, market, tables, zips
 from ledgerline.sources.store import new_table, settled
 
 TOML = """
@@ -72,6 +72,58 @@ def filing_values(m: Market) -> DataFrame:
     return files.filing_values(num, sub, ["Tag0", "Tag1"], ["10-K", "10-Q"])
 
 
+def _quarter_lines(m: Market, changed: str | None = None) -> DataFrame:
+    """The lines of the quarterly files of all filings, or of one quarter whose values have doubled; every 13th filing has a broken line too."""
+    num, sub = _filed(m)
+    day = F.to_date("filed", "yyyyMMdd")
+    quarter = F.concat(F.year(day).cast("string"), F.lit("q"), F.quarter(day).cast("string"))
+    of = sub.select("adsh", quarter.alias("file"))
+    held = num.join(of, "adsh")
+    if changed:
+        held = held.where(F.col("file") == changed).withColumn("value", (F.col("value").cast("double") * 2).cast("string"))
+        sub = sub.join(of.where(F.col("file") == changed), "adsh", "left_semi")
+    line = lambda schema: F.concat_ws("\t", *(F.coalesce(F.col(x.split()[0]), F.lit("")) for x in schema.split(",")))
+    own = held.select("file", F.lit("num.txt").alias("member"), F.col("adsh").cast("long").alias("n"), line(files.NUM).alias("line"))
+    broken = own.where("n % 13 = 0").withColumn("line", F.lit("too\tshort"))
+    return own.unionByName(broken).unionByName(sub.join(of, "adsh").select("file", F.lit("sub.txt").alias("member"), F.col("adsh").cast("long").alias("n"), line(files.SUB).alias("line")))
+
+
+def _quarterly(m: Market) -> str:
+    uri = new_table(m.spark, "zips")
+    zips.put_zips(_quarter_lines(m), uri, _HEADERS)
+    return uri
+
+
+_HEADERS = {f"{n}.txt": "\t".join(x.split()[0] for x in schema.split(",")) for n, schema in (("num", files.NUM), ("sub", files.SUB))}
+
+
+@query
+def zip_members(m: Market) -> DataFrame:
+    """Of each quarterly file: the lines of its larger member and how many have another width."""
+    lines = zips.zip_lines(m.spark, _quarterly(m), r"^num\.txt$")
+    _, malformed = files.tab_lines(lines, files.NUM)
+    return lines.where("n > 0").groupBy("path").agg(F.count("*").alias("lines")).join(malformed, "path").select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("part"), "lines", "malformed")
+
+
+CHANGED = "1996q2"
+
+
+@query
+def ingested_quarters(m: Market) -> DataFrame:
+    """All quarters read; one file changes and only it is read again; then none is; then the tag map changes and all are."""
+    tree, uri, forms = jobs.Tree(m.spark, new_table(m.spark, "build")), _quarterly(m), ["10-K", "10-Q"]
+    old = {**tables.tag_map(TOML), "c9": (["Tag9"], "flow")}
+    _, first = jobs.ingest(tree, uri, old, forms)
+    zips.put_zips(_quarter_lines(m, CHANGED), uri, _HEADERS)
+    _, second = jobs.ingest(tree, uri, old, forms)
+    _, third = jobs.ingest(tree, uri, old, forms)
+    held, fourth = jobs.ingest(tree, uri, tables.tag_map(TOML), forms)
+    times = first.select("part", F.lit(1).alias("k"))
+    for x in (second, third, fourth):
+        times = times.unionByName(x.select("part", F.lit(1).alias("k")))
+    return r(held.groupBy("part").agg(F.count("*").alias("n"), F.sum("value").alias("total")).join(times.groupBy("part").agg(F.sum("k").alias("times")), "part"), "total", digits=2)
+
+
 @query
 def filing_index(m: Market) -> DataFrame:
     return files.filing_index(_filed(m)[1])
@@ -465,6 +517,9 @@ _FILED = "SELECT * FROM filings WHERE"
 BODIES: dict[str, str] = {
     "vendor_files": "SELECT ticker, date, close, adj_close, volume FROM daily WHERE substr(ticker, 2)::BIGINT % 4 = 0 AND day(date) <> 21 AND adj_close > 0",
     "filing_values": f"SELECT adsh, cik, tag, ddate, qtrs, value, filed, form, fy, (cik % 9000 + 100)::INTEGER AS sic, 'The \"Filer\" ' || cik AS name FROM filings WHERE tag IN ('Tag0', 'Tag1') AND form IN ('10-K', '10-Q') AND {_KEY} % 7 <> 0 AND {_KEY} % 11 <> 0",
+    "zip_members": f"SELECT part, count(*) + count(*) FILTER ({_KEY} % 13 = 0) AS lines, count(*) FILTER ({_KEY} % 13 = 0) AS malformed FROM (SELECT *, year(filed)::VARCHAR || 'q' || quarter(filed)::VARCHAR AS part FROM filings) GROUP BY 1",
+    "ingested_quarters": f"""SELECT part, count(*) AS n, round(sum(value * CASE WHEN part = '{CHANGED}' THEN 2 ELSE 1 END), 2) AS total, CASE WHEN part = '{CHANGED}' THEN 3 ELSE 2 END::BIGINT AS times
+      FROM (SELECT *, year(filed)::VARCHAR || 'q' || quarter(filed)::VARCHAR AS part FROM filings) WHERE form IN ('10-K', '10-Q') AND {_KEY} % 7 <> 0 AND {_KEY} % 11 <> 0 GROUP BY 1""",
     "filing_index": "SELECT adsh, cik, form, ddate AS period, fy, filed, filed + INTERVAL 16 HOUR + INTERVAL 30 MINUTE AS accepted, 'i' || adsh || '.xml' AS instance FROM filings WHERE form = '10-K'",
     "facts_floats": "SELECT cik, accn AS adsh, ddate, filed, form, val AS value, fy FROM factpages WHERE form LIKE '10-K%' AND val > 0",
     "facts_covers": "SELECT cik, accn AS adsh, ddate, filed, form, val AS value, fy FROM factpages WHERE val > 0",

@@ -5,11 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from html.parser import HTMLParser
-from io import BytesIO, TextIOWrapper
 from pathlib import Path
 
 import pandas as pd
@@ -65,13 +63,13 @@ def vendor_prices(spark: SparkSession, paths: list[str] | str, adjusted: str = "
     return rows.where("adj_close > 0 and date is not null")
 
 
-def filing_values(num: DataFrame, sub: DataFrame, tags: list[str], forms: list[str]) -> DataFrame:
-    """Typed facts of chosen tags and forms in dollars or shares, without segments."""
+def filing_values(num: DataFrame, sub: DataFrame, tags: list[str], forms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed facts of chosen tags and forms in dollars or shares, without segments; with columns of ``num`` to ``keep``."""
     kept = num.where(F.col("tag").isin(tags) & F.col("uom").isin("USD", "shares") & (F.coalesce("segments", F.lit("")) == "") & (F.coalesce("coreg", F.lit("")) == ""))
     rows = kept.join(sub.where(F.col("form").isin(forms)), "adsh")
     return rows.select(
         "adsh", F.col("cik").try_cast("bigint").alias("cik"), "tag", compact_date("ddate").alias("ddate"), F.col("qtrs").try_cast("int").alias("qtrs"), F.col("value").try_cast("double").alias("value"),
-        compact_date("filed").alias("filed"), "form", F.col("fy").try_cast("int").alias("fy"), F.col("sic").try_cast("int").alias("sic"), "name",
+        compact_date("filed").alias("filed"), "form", F.col("fy").try_cast("int").alias("fy"), F.col("sic").try_cast("int").alias("sic"), "name", *keep,
     ).dropna(subset=["cik", "ddate", "qtrs", "value", "filed"])
 
 
@@ -80,40 +78,14 @@ def tab_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("quote", "").option("mode", "DROPMALFORMED").schema(schema).csv(path)
 
 
-def zip_lines(spark: SparkSession, path: str, member: str, batch_lines: int = 20_000) -> DataFrame:
-    """(path, member, n, line): the lines of the members that a pattern names, of every zip file.
-
-    A member is unpacked as its lines are read, so a task holds a zip file and a
-    batch of lines, however long the member is.
-    """
-    held = spark.read.format("binaryFile").load(path).select("path", "content")
-    columns = ["path", "member", "n", "line"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    for name in sorted(x for x in z.namelist() if re.search(member, x)):
-                        with z.open(name) as raw:
-                            rows = []
-                            for n, line in enumerate(TextIOWrapper(raw, "latin-1", newline="\n")):
-                                rows.append((p, name, n, line.rstrip("\r\n")))
-                                if len(rows) == batch_lines:
-                                    yield pd.DataFrame(rows, columns=columns)
-                                    rows = []
-                            yield pd.DataFrame(rows, columns=columns)
-
-    return held.mapInPandas(run, "path string, member string, n long, line string")
-
-
-def tab_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+def tab_lines(lines: DataFrame, schema: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows of tab-separated lines without quoting, and (path, malformed): how many lines of another width each file has.
 
-    The first line of a member is its header.
+    The first line of a member is its header; ``keep`` names columns of the lines that the rows carry.
     """
     names = [x.split()[0] for x in schema.split(",")]
     parts = lines.where("n > 0").withColumn("cells", F.split("line", "\t", -1)).withColumn("whole", F.size("cells") == len(names))
-    rows = parts.where("whole").select(*(F.nullif(F.col("cells")[i], F.lit("")).alias(name) for i, name in enumerate(names)))
+    rows = parts.where("whole").select(*(F.nullif(F.col("cells")[i], F.lit("")).alias(name) for i, name in enumerate(names)), *keep)
     return rows, parts.groupBy("path").agg(F.count_if(~F.col("whole")).alias("malformed"))
 
 

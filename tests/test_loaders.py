@@ -7,7 +7,7 @@ import pytest
 from ledgerline.operators import markdown, runs, stats
 from ledgerline.plans import jobs
 from ledgerline.plans.loaders import TOML, workbook
-from ledgerline.sources import files, tables
+from ledgerline.sources import files, incremental, tables, zips
 
 
 def test_missing_and_wrong_overrides(spark, tmp_path):
@@ -106,9 +106,64 @@ def test_zip_members_line_by_line(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{q}.zip", "w") as z:
             z.writestr("sub.txt", "\r\n".join([head, *(row.format(f"{i}") for i in range(n)), "short\tline"]) + "\r\n")
             z.writestr("num.txt", "x\n")
-    lines = files.zip_lines(spark, f"file://{tmp_path}/*.zip", r"^sub\.txt$", batch_lines=7)
+    lines = zips.zip_lines(spark, f"file://{tmp_path}/*.zip", r"^sub\.txt$", batch_lines=7)
     assert lines.count() == 57
     rows, malformed = files.tab_lines(lines, files.SUB)
     assert rows.columns == [x.split()[0] for x in files.SUB.split(",")] and rows.count() == 53
     assert rows.where("sic is null and name = 'The \"N\"'").count() == 53 and sorted(r[1] for r in malformed.collect()) == [1, 1]
     assert files.filing_index(rows).count() == 50
+
+
+def test_zip_members_are_partitions_and_stream(tmp_path, spark):
+    """A member of 200 MB is read in batches; members are partitions of their own; several paths, folders and none."""
+    import tracemalloc
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("num.txt", "w") as out:
+        out.write(b"head\n")
+        for _ in range(200):
+            out.write((b"a" * 999 + b"\n") * 1000)
+        z_small = zipfile.ZipFile(tmp_path / "small.zip", "w")
+    with z_small as z:
+        z.writestr("num.txt", "head\nx")
+        z.writestr("sub.txt", "head\n")
+    reader = zips.ZipReader({"path": f"file://{tmp_path}/*.zip", "member": r"\.txt$", "batchlines": "1000"})
+    parts = reader.partitions()
+    assert [(p.path.rsplit("/", 1)[1], p.name) for p in parts] == [("big.zip", "num.txt"), ("small.zip", "num.txt"), ("small.zip", "sub.txt")]
+    tracemalloc.start()
+    lines = sum(b.num_rows for b in reader.read(parts[0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == 200_001 and peak < 20e6
+    df = zips.zip_lines(spark, [f"{tmp_path}/small.zip", f"file://{tmp_path}/none*.zip"], "num")
+    assert [(r["member"], r["n"], r["line"]) for r in df.orderBy("n").collect()] == [("num.txt", 0, "head"), ("num.txt", 1, "x")]
+    assert zips.zip_lines(spark, f"file://{tmp_path}/none", "num").count() == 0
+
+
+def test_refresh_builds_stale_parts_only(spark, tmp_path):
+    uri, built = f"file://{tmp_path}/t", []
+    source = {"a": [1, 2], "b": [3], "c": []}
+
+    def build(stale):
+        names = [r["part"] for r in stale.collect()]
+        built.append(sorted(names))
+        return spark.createDataFrame([(n, x) for n in names for x in source[n]], "part string, x long")
+
+    def run(**stamps):
+        held, now = incremental.refresh(spark, uri, spark.createDataFrame([(p, "of " + p, s) for p, s in stamps.items()], "part string, path string, stamp string"), build)
+        return sorted((r["part"], r["x"]) for r in held.collect()), sorted(r["part"] for r in now.collect())
+
+    assert run(a="1", b="1", c="1") == ([("a", 1), ("a", 2), ("b", 3)], ["a", "b", "c"])
+    source["b"] = [4, 5]
+    assert run(a="1", b="2", c="1") == ([("a", 1), ("a", 2), ("b", 4), ("b", 5)], ["b"])
+    source["b"] = []
+    assert run(a="1", b="3", c="1") == ([("a", 1), ("a", 2)], ["b"])  # a part that has become empty
+    assert run(a="1", b="3") == ([("a", 1), ("a", 2)], [])
+    assert run(b="3") == ([], [])  # a part that is wanted no more
+    broken = dict(source)
+    source.clear()
+    with pytest.raises(KeyError):
+        run(a="9", b="3")
+    source.update(broken)
+    assert run(a="1", b="3") == ([("a", 1), ("a", 2)], ["a"])  # a broken run's part is built again, under the old stamp too
+    assert built[-1] == ["a"]

@@ -8,14 +8,15 @@ shares of the sample, whose size is a share of all tokens. No cell gives more
 tokens than it has: a category too scarce for its target gives all it has, and
 the others of its margin share what is missing in proportion. A cell's calibrated
 probability is its raked weight over its tokens. A document's draw depends on its
-id alone.
+id and a digest of its text, so rows that share an id, or have none, are each drawn
+for themselves.
 
 Where the margins contradict each other once cells are full, the sample comes as
 near to them as ``ROUNDS`` rounds bring it, the last margin nearest.
 
 Edge cases: null category values fall under ``"*"``; null or empty text weighs 0 tokens, and a cell
-without tokens has probability 0; repeated rows are drawn alike; a null id draws 0
-and so stays wherever its cell has any probability; an empty table stays empty;
+without tokens has probability 0; rows of equal id and text are drawn alike, a null id is
+one more id; without a text column the id alone decides; an empty table stays empty;
 other columns are carried along, but columns of the input named ``probability`` or
 ``sampled`` give way to the results.
 """
@@ -51,10 +52,10 @@ def category(value: Column, shares: dict[str, float]) -> Column:
     return F.when(value.isin(named), value).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
 
 
-def draw(id_: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) from the id: the first 52 bits of an MD5."""
-    digits = F.substring(F.md5(F.concat(id_.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 13)
-    return F.coalesce(F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13)), F.lit(0.0))
+def draw(id_: Column, seed: int, text: Column) -> Column:
+    """A uniform number in [0, 1) from the id and the text's MD5: the first 52 bits of an MD5."""
+    key = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def attainable(shares: np.ndarray, tokens: np.ndarray, size: float) -> np.ndarray:
@@ -115,11 +116,12 @@ def probabilities(docs: DataFrame, targets: Targets, tokens: str, rounds: int =
     return docs.sparkSession.createDataFrame(rows, T.StructType([*(T.StructField(m, T.StringType()) for m in names), T.StructField("probability", T.DoubleType())]))
 
 
-def mix(docs: DataFrame, targets: Targets, tokens: str, seed: int = 1, id_col: str = "doc_id", rounds: int = ROUNDS, size: float = SIZE) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets, tokens: str, seed: int = 1, id_col: str = "doc_id", rounds: int = ROUNDS, size: float = SIZE, text_col: str = "text") -> DataFrame:
     """``docs`` with ``probability`` and ``sampled``; margins are columns named by ``targets``."""
     names = list(targets)
+    text = F.col(text_col) if text_col in docs.columns else F.lit(None).cast("string")
     table = F.broadcast(probabilities(docs, targets, tokens, rounds, size).toDF(*(f"t{i}" for i in range(len(names))), "p"))  # its size is that of the targets
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(category(F.col(m), targets[m]).alias(f"g{i}") for i, m in enumerate(names)))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), draw(F.col(f"`{id_col}`"), seed, text).alias("u"), *(category(F.col(m), targets[m]).alias(f"g{i}") for i, m in enumerate(names)))
     joined = keyed.join(table, [keyed[f"g{i}"] == table[f"t{i}"] for i in range(len(names))], "left")
     own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("probability", "sampled")]
-    return joined.select(*own, F.col("p").alias("probability"), (draw(F.col(f"row.`{id_col}`"), seed) < F.col("p")).alias("sampled"))
+    return joined.select(*own, F.col("p").alias("probability"), (F.col("u") < F.col("p")).alias("sampled"))

@@ -52,7 +52,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.word_count(F.col("text")).alias("n_tokens"), mixing.topic(F.col("text")).alias("topic"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", mixing.word_count(F.col("text")).alias("n_tokens"), mixing.topic(F.col("text")).alias("topic"))
     mixed = mixing.mix(docs, TARGETS, "n_tokens")
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
@@ -169,9 +169,9 @@ def _rake_sql(rounds: int) -> str:
     keys = ", ".join(f"g_{m}" for m in names)
     own = ", ".join(f"({share})::DOUBLE AS s_{m}" for m, share in zip(names, shares, strict=True))
     kept = f"{keys}, cell, " + ", ".join(f"t_{m}" for m in names)
-    out = [f"""WITH t AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
+    out = [f"""WITH t AS (SELECT doc_id, source, lang, coalesce(md5(text), '') AS digest, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS n_digits FROM documents),
-d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_symbols * 10 > n_tokens THEN 'markup' WHEN n_digits * 10 > n_tokens THEN 'figures' ELSE 'prose' END AS topic FROM t),
+d AS (SELECT doc_id, source, lang, digest, n_tokens, CASE WHEN n_symbols * 10 > n_tokens THEN 'markup' WHEN n_digits * 10 > n_tokens THEN 'figures' ELSE 'prose' END AS topic FROM t),
 g AS (SELECT *, {", ".join(groups)} FROM d),
 c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS cell FROM g GROUP BY ALL),
 s AS (SELECT *, {own} FROM c WHERE cell > 0),
@@ -192,7 +192,7 @@ t_{m} AS (SELECT g_{m}, coalesce(least(tokens, share * level), 0.0) AS t_{m} FRO
     return ",\n".join(out) + f""",
 f AS (SELECT {keys}, w / cell AS p FROM r{step})
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 0.0), 6) AS probability,
-  ('0x' || substr(md5(doc_id::VARCHAR || ':1'), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(p, 0.0) AS sampled
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':1:' || digest), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(p, 0.0) AS sampled
 FROM g LEFT JOIN f ON {on}"""
 
 

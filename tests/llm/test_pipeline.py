@@ -104,6 +104,21 @@ def test_mixture_has_the_target_shares(spark):
     assert abs(share - 0.3) < 0.02 and abs(langs["en"] / len(kept) - 0.4) < 0.02 and abs(langs["de"] / len(kept) - 0.3) < 0.02
 
 
+def test_rows_without_an_id_are_sampled(spark):
+    """Null ids, and one id that many rows share, are taken at the probability of their cell."""
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of three", "src0") for i in range(6_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n", mixing.F.lit(3))
+    for frame in (df, df.withColumnRenamed("text", "body")):
+        mixed = rows(mixing.mix(frame, {"source": {"*": 1.0}}, "n", text_col=frame.columns[1]).select("doc_id", "probability", "sampled"))
+        assert {p for _, p, _ in mixed} == {0.5}
+        for kind in (lambda i: i is None, lambda i: i == 7, lambda i: i not in (None, 7)):
+            taken = [s for i, _, s in mixed if kind(i)]
+            assert len(taken) >= 1_999 and abs(sum(taken) - len(taken) / 2) < 3 * (len(taken) / 4) ** 0.5
+    by_id = rows(mixing.mix(df.drop("text"), {"source": {"*": 1.0}}, "n").select("doc_id", "sampled").distinct())
+    assert len(by_id) == len({i for i, _ in by_id})
+    assert rows(mixing.mix(df.unionByName(df), {"source": {"*": 1.0}}, "n").groupBy("text").agg(mixing.F.count_distinct("sampled").alias("c")).where("c > 1")) == []
+
+
 def test_scarce_category_gives_all_it_has(spark):
     docs = [(i, "src0" if i % 2 else "src1", "markup" if i < 30 else "prose", 10) for i in range(10_000)]
     df = spark.createDataFrame(docs, "doc_id long, source string, topic string, n long")

@@ -17,8 +17,8 @@ bound on labelled rows). Whole texts are read, in learning and in prediction.
 Edge cases: null text, or text without a letter, is ``und`` with score 0; empty
 tables give empty results; without any learned language all is ``und``; equal code
 lengths go to the first language in alphabetical order; repeated rows get equal
-results; rows with a null id are predicted but not learned from; other columns are
-never read.
+results; rows with a null id are predicted but not learned from; of an id that
+several texts share each text is learned from; other columns are never read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from ledgerline.llm.textkernel import slices
 
 ORDER = 3
 MAX_DOCS = 400
+#: Chosen ids up to this many (a few MB) are broadcast, so that no text is shuffled to learn from a bounded sample.
+MAX_CHOSEN = 1 << 17
 #: First bits of the hashes by which a language's documents are counted before they are ranked.
 BITS = 12
 START = 256  # stands before every text; context only
@@ -200,8 +202,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """A coder from the documents for which ``learn`` holds and id, lang and text are not null."""
     usable = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    chosen = _first_by_hash(named.select("doc_id", "lang").distinct(), max_docs)
-    grams = written(gram_counts(named.join(chosen, ["doc_id", "lang"])), "grams")
+    chosen = written(_first_by_hash(written(named.select("doc_id", "lang").distinct(), "ids"), max_docs), "chosen")
+    side = F.broadcast(chosen) if chosen.count() <= MAX_CHOSEN else chosen  # then the texts stay where they are read
+    grams = written(gram_counts(named.join(side, ["doc_id", "lang"])), "grams")
     uri = new_dir(docs.sparkSession, "language-id")
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     number = {x: i for i, x in enumerate(langs)}

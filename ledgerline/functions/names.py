@@ -102,6 +102,26 @@ def spec_key(row: dict[str, object]) -> str:
     return hashlib.sha256("\x1f".join(one_spelling(row.get(k)) for k in KEY_FIELDS).encode()).hexdigest()[:12]
 
 
+def one_spelling_column(value: Column) -> Column:
+    """``one_spelling`` of a column: a number with six significant digits, without zeros at its end."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    d = text.try_cast("double")
+    low = F.floor(F.log10(F.abs(d)))
+    held = F.round(d / F.pow(F.lit(10.0), low), 5)  # one digit before the point
+    power = low + F.when(F.abs(held) >= 10, 1).otherwise(0)
+    digits = lambda x: F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exponent = F.concat(digits(held / F.when(F.abs(held) >= 10, 10).otherwise(1)), F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    plain = digits(F.round(held * F.pow(F.lit(10.0), low), 10))
+    number = F.when(d == 0, F.when(F.startswith(text, F.lit("-")), "-0").otherwise("0")).when((power >= -4) & (power < 6), plain).otherwise(exponent)
+    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), text).otherwise(number)
+
+
+def spec_key_of_columns() -> Column:
+    """``spec_key`` over columns, however their numbers are spelled."""
+    joined = F.concat_ws("\x1f", *(one_spelling_column(F.col(k)) for k in KEY_FIELDS))
+    return F.substring(F.sha2(joined.cast("binary"), 256), 1, 12)
+
+
 def spec_key_column() -> Column:
     """``spec_key`` over columns that are spelled one way already."""
     joined = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in KEY_FIELDS))

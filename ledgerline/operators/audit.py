@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.names import normalise_name
 from ledgerline.operators.sectors import audit_class
+from ledgerline.sources.store import settled
 
 # Annual and quarterly forms of domestic and of foreign filers.
 DOMESTIC = ("10-K", "10-Q", "10-KT", "10-QT", "10-K/A", "10-Q/A")
@@ -49,6 +52,42 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float =
     return counted.select(pairs.alias("p")).select("p.*").where("n > 0")
 
 
+def fingerprints(df: DataFrame, keys: list[str], buckets: int, tolerance: float = 1e-10, ignore: tuple[str, ...] = STAMPS) -> DataFrame:
+    """(bucket, n, sum_a, sum_b) of a table: rows dealt to buckets by the hash of their keys, and two sums of hashes of whole rows, whatever their order.
+
+    Numbers are hashed at the grid of ``tolerance``: what is further apart has another hash, what is nearer may have.
+    """
+    digits = max(0, int(-math.log10(tolerance) + 1e-9))
+    kinds = dict(df.dtypes)
+    cols = sorted(c for c in df.columns if c not in ignore)
+    plain = [F.round(F.col(c).cast("double"), digits) + 0.0 if kinds[c] in ("double", "float") else F.col(c) for c in cols]
+    held = [F.struct(x.isNull(), x) for x in plain]  # a hash passes over nulls, so they are told apart
+    bucket = F.pmod(F.xxhash64(*(F.struct(F.col(k).isNull(), F.col(k)) for k in sorted(keys))), F.lit(buckets)).alias("bucket")
+    sums = [F.sum(F.xxhash64(F.lit(seed), *held).cast("decimal(20,0)")) for seed in (1, 2)]
+    return df.groupBy(bucket).agg(F.count("*").alias("n"), sums[0].alias("sum_a"), sums[1].alias("sum_b"))
+
+
+def drifted(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 1e-10, ignore: tuple[str, ...] = STAMPS, buckets: int = 4096) -> DataFrame:
+    """``differences``, comparing in full only the buckets of keys whose fingerprints differ.
+
+    Two builds that agree cost a scan and a small aggregation each; rows are
+    sorted and joined only where something has changed.
+    """
+    own, other = (sorted(c for c in df.columns if c not in ignore) for df in (a, b))
+    if own != other:
+        return differences(a, b, keys, tolerance, ignore)
+    left, right = (fingerprints(df, keys, buckets, tolerance, ignore) for df in (a, b))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("n", "sum_a", "sum_b")]
+    both = left.alias("l").join(right.alias("r"), "bucket", "full").where(~(same[0] & same[1] & same[2])).select("bucket")
+    odd = settled(both, "odd-buckets")  # as long as the number of buckets
+
+    def of(df: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*(F.struct(F.col(k).isNull(), F.col(k)) for k in sorted(keys))), F.lit(buckets))
+        return df.withColumn("__bucket", bucket).join(F.broadcast(odd.withColumnRenamed("bucket", "__bucket")), "__bucket", "left_semi").drop("__bucket")
+
+    return differences(of(a), of(b), keys, tolerance, ignore)
+
+
 def quality_checks(counts: DataFrame, coverage: DataFrame, low: int, high: int, max_gap_pct: float) -> DataFrame:
     """(check, passed, value): members within bounds in every month; a small price gap in the last twelve months."""
     size = counts.agg(F.lit("universe_count_in_range").alias("check"), F.bool_and(F.col("n").between(low, high)).alias("passed"), F.min("n").cast("double").alias("value"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.names import KEY_FIELDS, sector_neutral_of, spec_key, spec_kind, variant_of
+from ledgerline.functions.names import KEY_FIELDS, sector_neutral_of, spec_key_of_columns, spec_kind, variant_of
 from ledgerline.operators.asof import asof_forward_all
+from ledgerline.sources.store import settled
 
 # The columns of the log, in order.
 COLUMNS = ("timestamp", "factor", "signal", "weighting", "cost_bps", "lag_days", "rebalance", "holding_months", "winsor_lo", "winsor_hi", "n_deciles", "start", "end", "sharpe_gross", "sharpe_net", "note", "config_hash", "git_commit", "kind", "sector_neutral", "variant", "spec_key")
@@ -15,13 +16,20 @@ SCHEMA = ", ".join(f"`{c}` string" for c in COLUMNS)
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """All rows; an empty log if there is none yet."""
+    """The first row of each run; an empty log if there is none yet.
+
+    The same specification, commit and note is the same run. Writers that did not see
+    each other may both have added one: what was written first, then the smaller
+    row, stands for it, so a run never counts twice.
+    """
     try:
-        rows = spark.read.schema(SCHEMA).parquet(path)
+        rows = spark.read.schema(f"{SCHEMA}, __at string").parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], SCHEMA)
+        rows = spark.createDataFrame([], f"{SCHEMA}, __at string")
+    first = F.row_number().over(Window.partitionBy(*SAME_RUN).orderBy("__at", *COLUMNS))
+    rows = rows.withColumn("__r", first).where("__r = 1").select(*COLUMNS)
     return rows if kind is None else rows.where(F.col("kind") == kind)
 
 
@@ -35,20 +43,22 @@ def upgrade(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast("string") for c in missing}).select(*COLUMNS)
 
 
-def append(spark: SparkSession, path: str, runs: list[dict[str, object]]) -> int:
-    """Adds runs that the log does not have; the same specification, commit and note is the same run."""
-    rows = []
-    for run in runs:
-        full = {c: run.get(c) for c in COLUMNS}
-        full["spec_key"] = spec_key(full)
-        rows.append(tuple(None if v is None else str(v) for v in full.values()))
-    new = upgrade(spark.createDataFrame(rows, SCHEMA)).dropDuplicates(list(SAME_RUN))
+def append(spark: SparkSession, path: str, runs: list[dict[str, object]] | DataFrame) -> int:
+    """Adds runs that the log does not have, from a list or a table, and says how many; see ``read`` for runs that two writers add at once.
+
+    A task writes its file whole or not at all, and nothing that is there is
+    touched, so a writer that fails or is repeated leaves a log that reads the same.
+    """
+    if not isinstance(runs, DataFrame):
+        runs = spark.createDataFrame([tuple(None if run.get(c) is None else str(run[c]) for c in COLUMNS) for run in runs], SCHEMA)
+    held = runs.select(*(F.col(c).cast("string").alias(c) if c in runs.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS))
+    first = F.row_number().over(Window.partitionBy(*SAME_RUN).orderBy(*COLUMNS))
+    new = upgrade(held.withColumn("spec_key", spec_key_of_columns())).withColumn("__r", first).where("__r = 1").drop("__r")
     old = read(spark, path)
-    same = [new[c].eqNullSafe(old[c]) for c in SAME_RUN]
-    fresh = new.join(old.select(*SAME_RUN), same, "left_anti")
+    fresh = settled(new.join(old.select(*SAME_RUN), [new[c].eqNullSafe(old[c]) for c in SAME_RUN], "left_anti"), "runs")
     n = fresh.count()
     if n:
-        fresh.coalesce(1).write.mode("append").parquet(path)
+        fresh.withColumn("__at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.mode("append").parquet(path)
     return n
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.asof import asof_backward_all
 from ledgerline.sources.store import settled
 
 UNKNOWN_START = date(1900, 1, 1)
@@ -29,9 +30,11 @@ def _renames(unmatched: DataFrame, current: DataFrame, reliable_from: date, days
     # a member stands under each day within reach, so they meet on equal days
     reach = F.explode(F.sequence(F.date_sub("date_added", days), F.date_add("date_added", days)))
     pairs = unmatched.where(F.col("date") >= F.lit(reliable_from)).join(current.select(F.col("ticker").alias("new_ticker"), reach.alias("date")), "date")
-    by_date = Window.orderBy("date")  # over candidate pairs alone
-    gap = (F.datediff("date", F.lag("date").over(by_date)) > 4 * days).cast("int")
-    chains = pairs.withColumn("__gap", F.coalesce(gap, F.lit(0))).withColumn("chain", F.sum("__gap").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
+    # a chain begins on a day that no other lies before within reach; each day belongs to the last beginning
+    dates = pairs.select("date").distinct()
+    covered = dates.select(F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", 4 * days))).alias("date"))
+    begins = dates.join(covered, "date", "left_anti").select(F.col("date").alias("chain"))
+    chains = pairs.join(asof_backward_all(dates, begins, "date", "chain", ["chain"]), "date")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()

@@ -132,5 +132,5 @@ def drift(spark: SparkSession, old: Tree, new: Tree, keys: dict[str, list[str]])
     """(table, what, n): how the tables of two builds differ; no rows if the build is repeatable."""
     out = spark.createDataFrame([], "table string, what string, n long")
     for name, own in keys.items():
-        out = out.unionByName(audit.differences(old.read(name), new.read(name), own).select(F.lit(name).alias("table"), "what", "n"))
+        out = out.unionByName(audit.drifted(old.read(name), new.read(name), own).select(F.lit(name).alias("table"), "what", "n"))
     return out

@@ -334,11 +334,12 @@ def quarter_list(m: Market) -> DataFrame:
 
 @query
 def logged_runs(m: Market) -> DataFrame:
-    """Runs logged twice: the same specification, commit and note is one row."""
+    """The orders of two years as runs, logged year by year and then all again: each specification, commit and note is one run."""
     uri = new_table(m.spark, "log")
-    some = [{"timestamp": f"2020-01-0{i}", "factor": f"f{i % 2}", "note": "base" if i < 3 else "sensitivity cw", "git_commit": "abc", "weighting": "ew"} for i in (1, 2, 3)]
-    speclog.append(m.spark, uri, some)
-    speclog.append(m.spark, uri, [{**some[0], "timestamp": "2020-02-01"}, {**some[0], "git_commit": "def"}])
+    day = F.to_date(F.substring("timestamp", 1, 10))
+    runs_ = m.spec_log.where(F.year(day).isin(1995, 1996)).drop("spec_key")
+    for some in (runs_.where(F.year(day) == 1995), runs_.where(F.year(day) == 1996), runs_):
+        speclog.append(m.spark, uri, some)
     return speclog.read(m.spark, uri).select("timestamp", "factor", "note", "kind", "git_commit")
 
 
@@ -489,11 +490,16 @@ def loaded_runs(m: Market) -> DataFrame:
 
 @query
 def rebuild_drift(m: Market) -> DataFrame:
-    """Two builds of the same inputs: their tables do not differ."""
-    trees = [jobs.Tree(m.spark, new_table(m.spark, "build")) for _ in range(2)]
-    for tree in trees:
-        jobs.price_panel(tree, m.daily, m.second, m.members, CFG)
-    return jobs.drift(m.spark, *trees, {"returns_monthly": ["month", "ticker"], "price_coverage": ["month"]})
+    """A build against itself, and against one in which returns of some tickers were changed, a year of coverage is gone and prices came back in another order."""
+    old, new = (jobs.Tree(m.spark, new_table(m.spark, "build")) for _ in range(2))
+    jobs.price_panel(old, m.daily, m.second, m.members, CFG)
+    changed = F.when(_k() % 50 == 7, F.col("ret_fwd") + 0.001).otherwise(F.col("ret_fwd") + 1e-13)
+    new.save("returns_monthly", old.read("returns_monthly").withColumn("ret_fwd", changed))
+    new.save("price_coverage", old.read("price_coverage").where("year(month) <> 1997"))
+    new.save("prices_daily", old.read("prices_daily").orderBy(F.xxhash64("ticker", "date")))
+    keys = {"returns_monthly": ["month", "ticker"], "price_coverage": ["month"], "prices_daily": ["ticker", "date"]}
+    same = jobs.drift(m.spark, old, old, keys).withColumn("table", F.concat(F.lit("same "), "table"))
+    return same.unionByName(jobs.drift(m.spark, old, new, keys))
 
 
 # --- their SQL ---
@@ -547,7 +553,8 @@ BODIES: dict[str, str] = {
     "tag_map_rows": "SELECT * FROM (VALUES ('c1', 0, 'Tag0', true), ('c1', 1, 'Tag1', true), ('c2', 0, 'Tag1', false), ('c2', 1, 'Tag2', false), ('c3', 0, 'Tag2', true), ('c3', 1, 'Tag0', true)) t(concept, priority, tag, flow)",
     "tag_map_problems": "SELECT * FROM (VALUES ('c2: existing tags removed or reordered'), ('c3: concept removed')) t(problem)",
     "quarter_list": "SELECT year(d)::VARCHAR || 'q' || quarter(d)::VARCHAR AS quarter FROM (SELECT unnest(generate_series(TIMESTAMP '1992-04-01', (SELECT max(filed) FROM filings)::TIMESTAMP, INTERVAL 3 MONTH)) AS d)",
-    "logged_runs": """SELECT * FROM (VALUES ('2020-01-01', 'f1', 'base', 'candidate', 'abc'), ('2020-01-02', 'f0', 'base', 'candidate', 'abc'), ('2020-01-03', 'f1', 'sensitivity cw', 'diagnostic', 'abc'), ('2020-01-01', 'f1', 'base', 'candidate', 'def')) t("timestamp", factor, note, kind, git_commit)""",
+    "logged_runs": """SELECT "timestamp", factor, note, kind, git_commit FROM (SELECT s.*, git_commit, row_number() OVER (PARTITION BY spec_key, git_commit, note ORDER BY year(substr("timestamp", 1, 10)::DATE), "timestamp") AS r
+      FROM speclog s JOIN (SELECT o_orderkey, substr(md5(o_custkey::VARCHAR), 1, 6) AS git_commit FROM orders) ON o_orderkey = substr("timestamp", 12)::BIGINT WHERE year(substr("timestamp", 1, 10)::DATE) IN (1995, 1996)) WHERE r = 1""",
     "looked_up": """SELECT count(*) AS n FROM members WHERE "end" IS NULL""",
     "known_in_time": _BODIES["facts_known"],
     "annual_known": """SELECT p.month, p.ticker, p.cik, CASE WHEN v.period_end >= (p.month - INTERVAL 18 MONTH)::DATE THEN v.value END AS c1 FROM cikm p ASOF LEFT JOIN annual1 v ON p.cik = v.cik AND p.month >= v.available_from""",
@@ -566,7 +573,8 @@ BODIES: dict[str, str] = {
       SELECT factor, tag, count(*) AS n, avg(x) / stddev_samp(x) AS sr, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS skew, avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) AS kurt
       FROM (SELECT factor, tag, ret_net AS x, avg(ret_net) OVER (PARTITION BY factor, tag) AS m FROM runs_cw) GROUP BY 1, 2), (SELECT trials, variance FROM all_trials)))""",
     "loaded_runs": f"SELECT factor, tag, month, {_round('ret_gross turnover ret_net')} FROM runs_base",
-    "rebuild_drift": "SELECT '' AS \"table\", '' AS what, 0::BIGINT AS n WHERE false",
+    "rebuild_drift": """SELECT 'returns_monthly' AS "table", 'values of ret_fwd' AS what, count(*) AS n FROM monthly_k WHERE substr(ticker, 2)::BIGINT % 50 = 7 AND ret_fwd IS NOT NULL HAVING count(*) > 0
+      UNION ALL SELECT 'price_coverage', 'rows only in a', count(*) FROM coverage_k WHERE year(month) = 1997 HAVING count(*) > 0""",
 }
 import re  # noqa: E402
 

@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import date
+from datetime import date, timedelta
 from statistics import NormalDist
 
 import numpy as np
@@ -296,6 +296,53 @@ def test_normalise_small_sector(spark):
     assert z["t0"] == pytest.approx((0 - v[:6].mean()) / v[:6].std(ddof=1)) and z["t7"] == pytest.approx((7 - v.mean()) / v.std(ddof=1))
 
 
+def test_one_spelling_of_numbers(spark):
+    texts = ["10", "10.0", " 0.010 ", "-3.50", "0", "-0", "1e3", "123456", "1234567", "0.0001", "0.00001234567", "999999.7", "9.9999995", "1e-300", "abc", "", None, "12.3456789", "0.1", "100000", "1000000", "nan", "5%"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(names.one_spelling_column(F.col("t"))).collect()]
+    assert got == [names.one_spelling(t) for t in texts]
+    row = {k: t for k, t in zip(names.KEY_FIELDS, texts, strict=False)}
+    frame = spark.createDataFrame([tuple(row.get(k) for k in names.KEY_FIELDS)], ", ".join(f"`{k}` string" for k in names.KEY_FIELDS))
+    assert frame.select(names.spec_key_of_columns()).first()[0] == names.spec_key(row)
+
+
+def test_two_writers_of_one_log(spark, tmp_path):
+    """Writers that start together do not double a run, and a run that is there is not added."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/log"
+    run = {"timestamp": "2020-01-01T00:00:00", "factor": "f", "note": "base", "git_commit": "a"}
+    some = [{**run, "factor": f"f{i}"} for i in range(20)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda shift: speclog.append(spark, path, [{**x, "timestamp": f"2020-01-0{shift}"} for x in some[shift * 5 :]]), (0, 1)))
+    log = speclog.read(spark, path)
+    assert sorted(r["factor"] for r in log.collect()) == sorted(x["factor"] for x in some)
+    assert speclog.append(spark, path, spark.createDataFrame(some).union(spark.createDataFrame(some))) == 0
+    assert speclog.append(spark, path, [{**run, "git_commit": None}, {**run, "git_commit": None}]) == 1 and speclog.append(spark, path, [{**run, "git_commit": None}]) == 0
+
+
+def test_drift_compares_only_what_changed(spark, monkeypatch):
+    rows_ = [(i, None if i % 7 == 0 else i / 3, f"s{i % 5}") for i in range(500)]
+    a = spark.createDataFrame(rows_, "k int, x double, s string")
+    b = spark.createDataFrame([(k, x if x is None or k % 2 else x + 1e-12, s) for k, x, s in reversed(rows_)], "k int, x double, s string")
+    full, seen = audit.differences, []
+    monkeypatch.setattr(audit, "differences", lambda l, r, *rest: seen.append((l.count(), r.count())) or full(l, r, *rest))
+    assert rows(audit.drifted(a, b, ["k"])) == []
+    c = b.where("k <> 10").withColumn("x", F.when(F.col("k") == 20, F.col("x") + 1e-6).when(F.col("k") == 7, 0.0).otherwise(F.col("x"))).withColumn("s", F.when(F.col("k") != 33, F.col("s"))).unionByName(b.where("k = 40"))
+    assert rows(audit.drifted(a, c, ["k"])) == rows(full(a, c, ["k"])) == [("rows only in a", 1), ("rows only in b", 1), ("values of s", 1), ("values of x", 2)]
+    assert all(n < 60 for pair in seen for n in pair)
+    assert rows(audit.drifted(a, a.drop("s"), ["k"]))[0][1] == 1 and rows(audit.drifted(a.limit(0), a.limit(0), ["k"])) == []
+
+
+def test_rename_chains_without_a_global_window(spark):
+    """Days in chains by the gaps between them, over years; no exchange to a single partition."""
+    days = [D(2015, 1, 5), D(2015, 1, 20), D(2015, 3, 1), D(2016, 12, 20), D(2017, 1, 10), D(2017, 2, 5), D(2017, 8, 1)]
+    unmatched = spark.createDataFrame([(f"O{i}", d, i, "x") for i, d in enumerate(days)], "ticker string, date date, row long, security string")
+    current = spark.createDataFrame([(f"N{i}", d + timedelta(days=i % 3)) for i, d in enumerate(days)], "ticker string, date_added date")
+    out = universe._renames(unmatched, current, D(2010, 1, 1), 7)
+    assert rows(out.select("old_ticker", "new_ticker")) == [(f"O{i}", f"N{i}") for i in range(7)]
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_speclog(spark, tmp_path):
     path = str(tmp_path / "log")
     run = {"timestamp": "2024-01-01", "factor": "value", "cost_bps": 10, "note": "base", "git_commit": "abc", "n_deciles": "10.0"}

@@ -199,6 +199,43 @@ def terciles(frame: DataFrame, value: str) -> DataFrame:
     return frame.withColumn("tercile", F.least(F.floor(share * 3).cast("int") + 1, F.lit(3)))
 
 
+def rank_gaps(frame: DataFrame, a: str, b: str) -> DataFrame:
+    """``frame`` (month, ticker, two scores) with the share of the month below each, ``gap`` between the shares, and the third of each score."""
+    month = Window.partitionBy("month")
+    both = frame.where(finite(a) & finite(b))
+    for c in (a, b):
+        both = both.withColumn(f"{c}_share", (average_rank(c, "month") - 0.5) / F.count("*").over(month))
+        both = both.withColumn(f"{c}_third", F.least(F.floor(F.col(f"{c}_share") * 3).cast("int") + 1, F.lit(3)))
+    return both.withColumn("gap", F.abs(F.col(f"{a}_share") - F.col(f"{b}_share")))
+
+
+def diagnosis(frame: DataFrame, a: str, b: str, weights: DataFrame, ls: DataFrame, factors: DataFrame, factor: str, blocks: list[tuple[int, int]], top: int = 5) -> DataFrame:
+    """(block, names, mean_gap, agreement, crossings, rank_corr, top_share, corr): where two ways to score a factor part, by blocks of years and in all.
+
+    ``agreement`` is the percentage of name-months in the same third, ``crossings`` those
+    in opposite outer thirds; ``top_share`` the mean weight of a month's ``top``
+    largest names in the outer groups of ``weights`` (month, ticker, decile, w); ``corr`` that of the spread with the factor of its month of earning.
+    """
+    ranges = {"all": F.lit(True), **{f"{x}-{y}": F.year("month").between(x, y) for x, y in blocks}}
+    within = F.explode(F.array_compact(F.array(*(F.when(held, F.lit(name)) for name, held in ranges.items()))))
+    rows = rank_gaps(frame, a, b).withColumn("block", within)
+    ta, tb = F.col(f"{a}_third"), F.col(f"{b}_third")
+    gaps = rows.groupBy("block").agg(
+        F.count("*").alias("names"), F.avg("gap").alias("mean_gap"), (100 * F.avg((ta == tb).cast("int"))).alias("agreement"), F.count_if(F.abs(ta - tb) == 2).alias("crossings"), F.corr(f"{a}_share", f"{b}_share").alias("rank_corr"),
+    )
+    rank = F.row_number().over(Window.partitionBy("month", "decile").orderBy(F.col("w").desc(), "ticker"))
+    ends = weights.withColumn("__last", F.max("decile").over(Window.partitionBy("month"))).where((F.col("decile") == 1) | (F.col("decile") == F.col("__last")))
+    tops = ends.withColumn("__r", rank).where(F.col("__r") <= top).groupBy("month", "decile").agg(F.sum("w").alias("t")).withColumn("block", within).groupBy("block").agg(F.avg("t").alias("top_share"))
+    return gaps.join(tops, "block", "left").join(block_correlations(ls, factors, factor, blocks).select("block", "corr"), "block", "left")
+
+
+def widest_gaps(frame: DataFrame, a: str, b: str) -> DataFrame:
+    """(ticker, months, mean_gap, crossings): each name's share of the disagreement."""
+    rows = rank_gaps(frame, a, b)
+    crossed = F.abs(F.col(f"{a}_third") - F.col(f"{b}_third")) == 2
+    return rows.groupBy("ticker").agg(F.count("*").alias("months"), F.avg("gap").alias("mean_gap"), F.count_if(crossed).alias("crossings"))
+
+
 def score_coverage(z: DataFrame, members: DataFrame) -> DataFrame:
     """(coverage): the median over months of members with a score over members."""
     rows = members.join(z.where(finite("z")).select("month", "ticker", F.lit(1).alias("__z")), ["month", "ticker"], "left")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ class Tree:
 
     spark: SparkSession
     root: str
+    #: The stamp of each step that has run or been found, and the names of those that were built.
+    stamps: dict[str, str] = field(default_factory=dict)
+    built: list[str] = field(default_factory=list)
 
     def uri(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -30,6 +35,25 @@ class Tree:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.uri(name))
 
+    def step(self, name: str, build: Callable[[], DataFrame], *after: str, stamp: str = "") -> DataFrame:
+        """The table ``name``, built unless it stands under the same stamp: its own and those of the steps it comes ``after``.
+
+        The mark of a table goes before it is written and comes after, so a build that
+        broke off goes on from the step that failed, and a step whose input changed
+        is done again with all that follow from it.
+        """
+        own = hashlib.sha256("|".join([stamp, *(f"{a}={self.stamps[a]}" for a in after)]).encode()).hexdigest()[:16]
+        marks = self.uri(f"_marks/{name}")
+        held = self.spark.read.parquet(marks).first()[0] if tables.exists(self.spark, marks) else None
+        if held != own:
+            mark = lambda value: self.spark.createDataFrame([(value,)], "stamp string").coalesce(1).write.mode("overwrite").parquet(marks)
+            mark("")
+            self.save(name, build())
+            mark(own)
+            self.built.append(name)
+        self.stamps[name] = own
+        return self.read(name)
+
     def find(self, name: str) -> DataFrame | None:
         return tables.optional(self.spark, self.uri(name))
 
@@ -87,17 +111,44 @@ def ingest(tree: Tree, zips_uri: str, tags: dict[str, tuple[list[str], str]], fo
     return incremental.refresh(tree.spark, tree.uri("facts"), wanted, build)
 
 
-def share_tables(tree: Tree, covers: DataFrame, splits: DataFrame, prices_until) -> None:
-    """Cover counts and the splits up to the day the prices go to."""
-    tree.save("cover_shares", covers)
-    tree.save("splits", splits.where(F.col("date") <= F.lit(prices_until)))
+def filer_map(tree: Tree, members: DataFrame, filers: DataFrame, tickers: DataFrame, current: DataFrame, overrides: DataFrame | None = None, stamp: str = "") -> DataFrame:
+    """(ticker, start, end, cik): the filer of each name, eras written by hand in place of the match; the whole log of matches is kept."""
+    log = tree.step("cik_log", lambda: sectors.cik_map(members, filers, tickers, current), stamp=stamp)
+
+    def build() -> DataFrame:
+        none = F.lit(None).cast("date")
+        found = log.where("cik is not null").select("ticker", none.alias("start"), none.alias("end"), "cik").distinct()
+        if overrides is None:
+            return found
+        return found.join(overrides.select("ticker").distinct(), "ticker", "left_anti").unionByName(overrides.select("ticker", "start", "end", "cik"))
 
+    return tree.step("ciks", build, "cik_log")
 
-def identity(tree: Tree, membership: DataFrame, quotes: DataFrame, daily: DataFrame, names: DataFrame, levels: DataFrame, cfg: Config) -> DataFrame:
-    """The identity check over its assembled inputs, and the windows that follow from it."""
+
+def share_build(tree: Tree, membership: DataFrame, shares_pages: DataFrame, float_pages: DataFrame, splits: DataFrame, daily: DataFrame, stamp: str = "") -> dict[str, DataFrame]:
+    """Cover counts, other share counts, public floats and splits of the filers that were ever members, after ``filer_map``.
+
+    Pages are (cik, json) documents of facts; splits go up to the last day of prices.
+    """
+    wanted = tree.step("universe_ciks", lambda: ciks_of(tree.read("ciks"), membership), "ciks", stamp=stamp)
+    of = lambda pages: pages.join(wanted, "cik", "left_semi")
+    last = daily.agg(F.max("date").alias("__last"))
+    return {
+        "cover_shares": tree.step("cover_shares", lambda: files.facts_cover(of(shares_pages)), "universe_ciks", stamp=stamp),
+        "api_shares": tree.step("api_shares", lambda: tables.api_shares(files.facts_fallback(of(shares_pages), "shares")), "universe_ciks", stamp=stamp),
+        "public_float": tree.step("public_float", lambda: files.facts_float(of(float_pages)), "universe_ciks", stamp=stamp),
+        "splits": tree.step("splits", lambda: splits.join(F.broadcast(last)).where("ratio > 0 and date <= __last").drop("__last"), stamp=stamp),  # one row
+    }
+
+
+def identity_build(tree: Tree, membership: DataFrame, quotes: DataFrame | None, daily: DataFrame, filers: DataFrame, eras: DataFrame, floats: DataFrame, cfg: Config, stamp: str = "") -> DataFrame | None:
+    """Exclusion windows of names whose prices are another company's, from levels, first prices and names; None before there are quotes."""
+    if quotes is None:
+        return None
+    levels = tree.step("price_levels", lambda: prices.price_levels(floats, tree.read("cover_shares"), tree.read("splits"), eras, daily, membership, cfg.start, cfg.end), "cover_shares", "splits", stamp=stamp)
     first = daily.groupBy("ticker").agg(F.min("date").alias("first_price"))
-    flags = tree.save("identity", prices.identity_check(membership, quotes, first, names, levels))
-    return tree.save("identity_windows", tables.identity_windows(flags, cfg.end))
+    flags = tree.step("identity", lambda: prices.identity_check(membership, quotes, first, prices.names_by_ticker(eras, filers), levels), "price_levels", stamp=stamp)
+    return tree.step("identity_windows", lambda: tables.identity_windows(flags, cfg.end), "identity")
 
 
 def sector_table(tree: Tree, filings: DataFrame, ciks: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import date
 from io import BytesIO
 from zipfile import ZipFile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,10 +206,13 @@ def snapshot_rows(m: Market) -> DataFrame:
 
 @query
 def factor_file(m: Market) -> DataFrame:
-    """A factor file as text: a block of months, then one of years."""
-    lines = [f"{d:%Y%m},{x * 100:9.4f}" for d, x in sorted(m.factors.select("month", "mkt_rf").collect())]  # a row a month
-    rows = files.monthly_block("\n".join(["Monthly", ",Mkt", *lines, "", "1995,  1.0"]))
-    return r(m.spark.createDataFrame(rows, "month date, mkt_rf double"), "mkt_rf")
+    """A factor file as text, written and read: a block of months, then one of years."""
+    uri = new_table(m.spark, "factors")
+    line = F.format_string("%s,%9.4f", F.date_format("month", "yyyyMM"), F.col("mkt_rf") * 100)
+    held = m.factors.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("months"))  # a row a month
+    held.select(F.concat(F.lit("Monthly\n,Mkt\n"), "months", F.lit("\n\n199501,  1.0\n1995,  1.0")).alias("value")).write.text(uri)
+    texts = m.spark.read.text(uri, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return r(files.monthly_block(texts, ["mkt_rf"]).drop("path"), "mkt_rf")
 
 
 @query
@@ -239,9 +243,15 @@ def workbook(sheet: str, rows: list[list[str]]) -> bytes:
 
 @query
 def workbook_series(m: Market) -> DataFrame:
-    rows = [[f"{d:%m/%d/%Y}", "x", str(x)] for d, x in sorted(m.factors.select("month", "mkt_rf").collect())]  # a row a month
-    content = workbook("Factors", [["Title"], ["DATE", "AUS", "USA"], *rows, ["", "", "1"]])
-    return tables.dated_column(tables.sheet(content, "Factors"), "USA", "bab", m.spark)
+    """A workbook of the months, made in a task and stored as bytes, then its cells read in the tasks."""
+    rows = m.factors.select(F.lit("book").alias("path"), F.date_format("month", "MM/dd/yyyy").alias("d"), F.col("mkt_rf").cast("string").alias("v"), "month")
+
+    def book(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        cells = [[d, "x", v] for d, v in some.sort_values("month")[["d", "v"]].itertuples(index=False)]
+        return pd.DataFrame({"path": [key[0]], "content": [workbook("Factors", [["Title"], ["DATE", "AUS", "USA"], *cells, ["", "", "1"]])]})
+
+    stored = settled(rows.groupBy("path").applyInPandas(book, "path string, content binary"), "books")  # a row a month
+    return tables.dated_column(tables.sheet_cells(stored, "Factors"), "USA", "bab")
 
 
 @query
@@ -315,15 +325,25 @@ def cached_facts(m: Market) -> DataFrame:
 
 @query
 def tag_map_rows(m: Market) -> DataFrame:
+    """Every tag of the map in order of preference, and how many filed facts it names."""
     tags = tables.tag_map(TOML)
     flows = tables.of_kind(tags, "flow")
-    return facts.tag_priority(m.spark, tags).withColumn("flow", F.col("concept").isin(*flows))
+    used = m.filings.groupBy("concept", "tag").agg(F.count("*").alias("facts"))
+    rows = facts.tag_priority(m.spark, tags).join(used, ["concept", "tag"], "left")
+    return rows.withColumns({"facts": F.coalesce("facts", F.lit(0)), "flow": F.col("concept").isin(*flows)})
+
+
+def _year_map(m: Market, year: int) -> DataFrame:
+    """A tag map out of the filings of a year: each concept's tags by how often they were filed; another kind in even years for one concept, none of another."""
+    often = m.filings.where(F.col("fy") == year).groupBy("concept", "tag").agg(F.count("*").alias("n"))
+    tags = often.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "tag")))["tag"].alias("tags"))
+    kind = F.when((F.col("concept") == "c4") & F.lit(year % 2 == 0), "flow").otherwise("stock")
+    return tags.where((F.col("concept") != "c5") | F.lit(year % 2 == 1)).withColumn("kind", kind)
 
 
 @query
 def tag_map_problems(m: Market) -> DataFrame:
-    base, head = tables.tag_map(TOML), tables.tag_map(TOML.replace('"Tag1", "Tag2"', '"Tag2", "Tag1"').replace("c3", "c4"))
-    return m.spark.createDataFrame([(x,) for x in tables.tag_map_problems(base, head)], "problem string")
+    return tables.tag_map_changes(_year_map(m, 1995), _year_map(m, 1998))
 
 
 @query
@@ -472,6 +492,58 @@ def built_universe(m: Market) -> DataFrame:
     return tree.read("membership")
 
 
+def _quotes(m: Market) -> DataFrame:
+    k = _k()
+    return m.members.where(k % 5 != 0).select("ticker", F.when(k % 4 == 1, "Another Company Inc").otherwise(F.concat("security", F.lit(" Corp"))).alias("quote_name"), F.when(k % 3 == 1, "PNK").otherwise("NYQ").alias("exchange"), F.when(k % 7 == 2, "EUR").otherwise("USD").alias("currency"), F.when(k % 11 == 0, "ETF").otherwise("EQUITY").alias("quote_type"))
+
+
+@query
+def built_shares(m: Market) -> DataFrame:
+    """The share tables of the members' filers. The first build breaks off at the splits; the second goes on from there: (table, n, ciks, total, times built)."""
+    tree = jobs.Tree(m.spark, new_table(m.spark, "build"))
+    chosen = m.members.where(_k() % 3 == 0)
+    tree.step("ciks", lambda: m.ciks)
+    broken = None  # as if its file could not be read
+    pages = _fact_pages(m, "shares"), _fact_pages(m, "USD")
+    try:
+        jobs.share_build(tree, chosen, *pages, broken, m.daily)
+    except AttributeError:
+        pass
+    else:
+        raise AssertionError("a broken step did not stop the build")
+    again = jobs.Tree(m.spark, tree.root)
+    again.step("ciks", lambda: m.ciks)
+    held = jobs.share_build(again, chosen, *pages, m.splits, m.daily)
+    times = [*tree.built, *again.built]
+    out = None
+    for name, df in held.items():
+        value, key = ("ratio", "ticker") if name == "splits" else ("value", "cik")
+        row = df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("keys"), F.round(F.sum(value), 2).alias("total")).select(F.lit(name).alias("table"), "n", "keys", "total", F.lit(times.count(name)).alias("times"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def built_identity(m: Market) -> DataFrame:
+    """Exclusion windows by the whole identity build, price levels and all."""
+    tree = jobs.Tree(m.spark, new_table(m.spark, "build"))
+    tree.step("cover_shares", lambda: market.covers(m.spark, m.sf_dir))
+    tree.step("splits", lambda: m.splits)
+    filers = m.table("customer").select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"))
+    return jobs.identity_build(tree, m.members, _quotes(m), m.daily, filers, m.ciks, market.floats(m.spark, m.sf_dir), CFG)
+
+
+@query
+def built_ciks(m: Market) -> DataFrame:
+    """The filer map from names, a ticker list and the constituents, with eras written by hand."""
+    k = _k()
+    tree = jobs.Tree(m.spark, new_table(m.spark, "build"))
+    members = m.members.select("ticker", F.when(k % 4 == 0, F.concat(F.lit("Big "), "security", F.lit(" & Co. Inc"))).when(k % 4 == 1, F.concat(F.lit("Alpha Beta "), k.cast("string"))).otherwise(F.col("security")).alias("security"))
+    filers = m.members.select((k + 5000).alias("cik"), F.when(k % 4 == 0, F.concat(F.lit("BIG "), F.upper("security"), F.lit(" AND CO"))).when(k % 8 == 2, F.replace("security", F.lit("#"), F.lit(" "))).otherwise(F.concat(F.lit("Other "), "security")).alias("name"))
+    hand = m.members.where(k % 10 == 0).select("ticker", "start", "end", (k + 9000).alias("cik"))
+    return jobs.filer_map(tree, members, filers, m.members.where(k % 9 == 0).select("ticker", (k + 5000).alias("cik")), m.members.where("end is null").select("ticker", F.when(k % 2 == 0, k + 7000).alias("cik")), hand)
+
+
 @query
 def universe_ciks(m: Market) -> DataFrame:
     return jobs.ciks_of(m.ciks, m.members.where(_k() % 3 == 0))
@@ -550,8 +622,11 @@ BODIES: dict[str, str] = {
     "all_floats": "SELECT * FROM floats WHERE fy = 1996 UNION ALL SELECT cik, adsh, ddate, filed, form, value, fy FROM filings WHERE concept = 'c2' AND form LIKE '10-K%'",
     "cached_facts": """SELECT concept, tag, cik, adsh, ddate, qtrs, value, filed, form, fy FROM (SELECT f.*, row_number() OVER (PARTITION BY adsh, f.concept, ddate, qtrs ORDER BY p, value DESC) AS r FROM filings f JOIN
       (VALUES ('c1', 'Tag0', 0), ('c1', 'Tag1', 1), ('c2', 'Tag1', 0), ('c2', 'Tag2', 1), ('c3', 'Tag2', 0), ('c3', 'Tag0', 1)) t(c, t, p) ON f.concept = c AND f.tag = t) WHERE r = 1""",
-    "tag_map_rows": "SELECT * FROM (VALUES ('c1', 0, 'Tag0', true), ('c1', 1, 'Tag1', true), ('c2', 0, 'Tag1', false), ('c2', 1, 'Tag2', false), ('c3', 0, 'Tag2', true), ('c3', 1, 'Tag0', true)) t(concept, priority, tag, flow)",
-    "tag_map_problems": "SELECT * FROM (VALUES ('c2: existing tags removed or reordered'), ('c3: concept removed')) t(problem)",
+    "tag_map_rows": """SELECT t.concept, priority, t.tag, flow, coalesce(facts, 0) AS facts FROM (VALUES ('c1', 0, 'Tag0', true), ('c1', 1, 'Tag1', true), ('c2', 0, 'Tag1', false), ('c2', 1, 'Tag2', false), ('c3', 0, 'Tag2', true), ('c3', 1, 'Tag0', true)) t(concept, priority, tag, flow)
+      LEFT JOIN (SELECT concept, tag, count(*) AS facts FROM filings GROUP BY 1, 2) USING (concept, tag)""",
+    "tag_map_problems": """WITH y AS (SELECT fy, concept, list(tag ORDER BY n DESC, tag) AS tags, CASE WHEN concept = 'c4' AND fy % 2 = 0 THEN 'flow' ELSE 'stock' END AS kind FROM (SELECT fy, concept, tag, count(*) AS n FROM filings GROUP BY ALL) WHERE concept <> 'c5' OR fy % 2 = 1 GROUP BY 1, 2),
+      p AS (SELECT a.concept, a.tags AS ta, b.tags AS tb, a.kind AS ka, b.kind AS kb FROM (SELECT * FROM y WHERE fy = 1995) a LEFT JOIN (SELECT * FROM y WHERE fy = 1998) b USING (concept))
+      SELECT concept || ': concept removed' AS problem FROM p WHERE tb IS NULL UNION ALL SELECT concept || ': kind changed' FROM p WHERE kb <> ka UNION ALL SELECT concept || ': existing tags removed or reordered' FROM p WHERE tb IS NOT NULL AND tb[1:len(ta)] <> ta""",
     "quarter_list": "SELECT year(d)::VARCHAR || 'q' || quarter(d)::VARCHAR AS quarter FROM (SELECT unnest(generate_series(TIMESTAMP '1992-04-01', (SELECT max(filed) FROM filings)::TIMESTAMP, INTERVAL 3 MONTH)) AS d)",
     "logged_runs": """SELECT "timestamp", factor, note, kind, git_commit FROM (SELECT s.*, git_commit, row_number() OVER (PARTITION BY spec_key, git_commit, note ORDER BY year(substr("timestamp", 1, 10)::DATE), "timestamp") AS r
       FROM speclog s JOIN (SELECT o_orderkey, substr(md5(o_custkey::VARCHAR), 1, 6) AS git_commit FROM orders) ON o_orderkey = substr("timestamp", 12)::BIGINT WHERE year(substr("timestamp", 1, 10)::DATE) IN (1995, 1996)) WHERE r = 1""",
@@ -565,6 +640,12 @@ BODIES: dict[str, str] = {
     "built_fundamentals": "SELECT month, count(*) AS members, " + ", ".join(f"count({c}) AS {c}" for c in CONCEPTS) + " FROM cikm JOIN wide USING (month, ticker) GROUP BY 1",
     "built_sectors": "SELECT c.ticker, c.cik, c.\"start\", c.\"end\", coalesce(sector, 'Other') AS sector FROM ciks c LEFT JOIN latestsic USING (ticker)",
     "built_benchmarks": "SELECT month, mkt_rf, smb AS umd, round(CASE WHEN month(month) % 2 = 1 THEN smb - hml END, 6) AS big_hml, round(hml - mkt_rf, 6) AS big_rmw FROM factors",
+    "built_universe": """SELECT ticker, CASE WHEN k % 4 = 0 AND "end" IS NOT NULL THEN ("start" - 30)::DATE ELSE "start" END AS "start", "end" FROM members UNION ALL SELECT ticker, ("start" - 30)::DATE, "end" FROM members WHERE k % 4 = 0 AND "end" IS NULL""",
+    "built_shares": """WITH u AS (SELECT DISTINCT cik FROM ciks WHERE substr(ticker, 2)::BIGINT % 3 = 0)
+      SELECT 'cover_shares' AS "table", count(*) AS n, count(DISTINCT cik) AS keys, round(sum(val), 2) AS total, 1 AS times FROM factpages SEMI JOIN u USING (cik) WHERE val > 0
+      UNION ALL SELECT 'api_shares', count(*), count(DISTINCT cik), round(sum(value), 2), 1 FROM spanrows SEMI JOIN u USING (cik)
+      UNION ALL SELECT 'public_float', count(*), count(DISTINCT cik), round(sum(val), 2), 1 FROM factpages SEMI JOIN u USING (cik) WHERE form LIKE '10-K%' AND val > 0
+      UNION ALL SELECT 'splits', count(*), count(DISTINCT ticker), round(sum(ratio), 2), 1 FROM splits WHERE ratio > 0 AND date <= (SELECT max(date) FROM daily)""",
     "built_text": _BODIES["text_coverage"],
     "universe_ciks": "SELECT DISTINCT cik FROM ciks WHERE substr(ticker, 2)::BIGINT % 3 = 0",
     "deflated": f"""SELECT factor, tag, round(top, 5) AS threshold, round({normal_cdf('x')}, 5) AS probability FROM (
@@ -602,5 +683,11 @@ BODIES["cik_matches"] = f"""SELECT ticker, security, coalesce(c1, c2, c3, c4, c5
   LEFT JOIN whole_only a ON a.key = m.name LEFT JOIN tight_only b ON b.key = replace(m.name, ' ', '') LEFT JOIN begin__only c ON c.key = {_START.replace('name', 'm.name')})"""
 VIEWS["all_trials"] = f"SELECT n::DOUBLE AS trials, variance FROM ({_BODIES['spec_variance']}) WHERE kind = 'all'"
 VIEWS["best_of"] = f"SELECT kind, q FROM (SELECT 1 AS kind, 1 - 1 / trials AS p FROM all_trials UNION ALL SELECT 2, 1 - 1 / (trials * exp(1)) FROM all_trials) JOIN {quantiles('SELECT 1 - 1 / trials AS p FROM all_trials UNION SELECT 1 - 1 / (trials * exp(1)) FROM all_trials')} USING (p)"
+_planted = _BODIES["identity_flags"]
+_level = "CASE WHEN k % 2 = 0 THEN (k % 30)::DOUBLE END AS level, CASE WHEN k % 2 = 0 THEN 1::BIGINT END AS n_levels, coalesce(k % 2 = 0 AND k % 30 BETWEEN 0.5 AND 20, false) AS in_band FROM members WHERE"
+VIEWS["levelled"] = _planted.replace(_level, f"l.level, l.n_levels, coalesce(l.level BETWEEN 0.5 AND 20, false) AS in_band FROM members LEFT JOIN ({_BODIES['price_levels']}) l USING (ticker) WHERE")
+BODIES["built_identity"] = """SELECT ticker, member_start AS "start", coalesce(member_end, DATE '2001-12-31') AS "end", reason, 'identity' AS source_check FROM levelled WHERE flag"""
+BODIES["built_ciks"] = f"""SELECT DISTINCT ticker, NULL::DATE AS "start", NULL::DATE AS "end", cik FROM ({BODIES['cik_matches']}) WHERE cik IS NOT NULL AND substr(ticker, 2)::BIGINT % 10 <> 0
+  UNION ALL SELECT ticker, "start", "end", k + 9000 FROM members WHERE k % 10 = 0"""
 ORACLES.update({name: _sql(body) for name, body in BODIES.items()})
 ORACLES["latest_caps"] = _resolved(False, "SELECT ticker, month, cap, round(n_basis, 6) AS n_basis, shares_source FROM (SELECT ticker, max(month) AS month, arg_max(cap, month) AS cap FROM (SELECT m.month, m.ticker, round(px_me * v, 6) AS cap FROM monthly m JOIN (SELECT ticker, last_day(date) AS month, sum(volume) AS v FROM daily GROUP BY 1, 2) USING (month, ticker)) GROUP BY 1) JOIN resolved USING (month, ticker) WHERE ticker IN (SELECT ticker FROM members WHERE \"end\" IS NULL)")

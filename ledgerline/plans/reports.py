@@ -12,6 +12,7 @@ from ledgerline.plans.oracles import ORACLES, VIEWS, _BODIES, _round, _simulatio
 from ledgerline.sources.store import new_table, settled
 
 COSTS = [0.0, 10.0, 50.0]
+BLOCKS = [(1995, 1996), (1997, 1998), (1999, 2001)]
 TAGS = ["cw", "hold12", "hold3", "hold6", "nosector", "replica", "terminal"]
 WANTED = [("momentum", "mkt_rf", -0.5), ("reversal", "smb", 0.9), ("momentum_cw", "hml", 0.2), ("momentum", "bab", 0.2)]
 
@@ -211,6 +212,24 @@ def weight_concentration(m: Market) -> DataFrame:
     return r(stats.concentration(portfolio.weights(portfolio.assign_deciles(m.z, 3), m.caps)), "max_w", "top_w")
 
 
+def _two_scores(m: Market) -> DataFrame:
+    """Scores by the signal as it is and after its outliers are cut and it is set against its sector."""
+    raw = r(signals.momentum(m.monthly), "value", digits=9).select("month", "ticker", F.col("value").alias("plain"))
+    return raw.join(m.z, ["month", "ticker"])
+
+
+@query
+def factor_diagnostics(m: Market) -> DataFrame:
+    w = portfolio.weights(portfolio.assign_deciles(m.z, 3), m.caps)
+    out = stats.diagnosis(_two_scores(m), "plain", "z", w, m.spread, m.factors, "mkt_rf", BLOCKS)
+    return r(out, "mean_gap", "agreement", "rank_corr", "top_share", "corr")
+
+
+@query
+def rank_gap_names(m: Market) -> DataFrame:
+    return r(stats.widest_gaps(_two_scores(m), "plain", "z"), "mean_gap")
+
+
 @query
 def heavy_names(m: Market) -> DataFrame:
     """The ten names with the largest mean weight in the outer terciles: a top-k report."""
@@ -226,6 +245,10 @@ def member_deviation(m: Market) -> DataFrame:
 
 # --- their SQL ---
 
+VIEWS["gaps_of"] = """SELECT *, abs(a - b) AS gap, least(floor(a * 3)::INTEGER + 1, 3) AS ta, least(floor(b * 3)::INTEGER + 1, 3) AS tb FROM (
+  SELECT month, ticker, (rank() OVER (PARTITION BY month ORDER BY plain) + (count(*) OVER (PARTITION BY month, plain) - 1) / 2 - 0.5::DOUBLE) / count(*) OVER (PARTITION BY month) AS a,
+    (rank() OVER (PARTITION BY month ORDER BY z) + (count(*) OVER (PARTITION BY month, z) - 1) / 2 - 0.5::DOUBLE) / count(*) OVER (PARTITION BY month) AS b FROM (SELECT month, ticker, value AS plain, z FROM mom9 JOIN z USING (month, ticker)))"""
+VIEWS["blocks"] = "SELECT * FROM (VALUES ('all', 0, 9999), " + ", ".join(f"('{a}-{b}', {a}, {b})" for a, b in BLOCKS) + ") b(block, a0, z0)"
 VIEWS["zn"] = "SELECT month, ticker, round((value - mu) / sd, 9) AS z FROM (SELECT month, ticker, value, avg(value) OVER a AS mu, stddev_samp(value) OVER a AS sd FROM momw WINDOW a AS (PARTITION BY month)) WHERE sd > 0"
 VIEWS["term"] = f"SELECT month, ticker, ret_fwd AS ret FROM ({_BODIES['terminal_returns']})"
 _SERIES: list[tuple[str, str]] = []
@@ -306,6 +329,10 @@ BODIES: dict[str, str] = {
     "hedge_table": f"""SELECT factor, tag, {_round('sharpe beta beta_t corr', 5)}, months FROM (SELECT factor, tag, {_SHARPE.format('ret_net')} AS sharpe FROM runs_both GROUP BY 1, 2) JOIN ({_fit(_earned('runs_both', 'mkt_rf', 'factor, tag'), 'factor, tag')}) USING (factor, tag)
       JOIN (SELECT factor, tag, count(*) AS months, corr(y, x) AS corr FROM ({_earned('runs_both', 'hml', 'factor, tag')}) GROUP BY 1, 2) USING (factor, tag)""",
     "weighting_gaps": f"SELECT factor, n, {_round('alpha alpha_t beta beta_t r2', 5)} FROM ({_fit(_earned('gaps', 'smb', 'factor'), 'factor')})",
+    "factor_diagnostics": f"""SELECT * FROM (SELECT block, count(*) AS names, round(avg(gap), 6) AS mean_gap, round(100 * avg((ta = tb)::INTEGER), 6) AS agreement, count(*) FILTER (abs(ta - tb) = 2) AS crossings, round(corr(a, b), 6) AS rank_corr FROM gaps_of JOIN blocks ON year(month) BETWEEN a0 AND z0 GROUP BY 1)
+      LEFT JOIN (SELECT block, round(avg(t), 6) AS top_share FROM (SELECT month, decile, sum(w) FILTER (n <= 5) AS t FROM (SELECT *, row_number() OVER (PARTITION BY month, decile ORDER BY w DESC, ticker) AS n, max(decile) OVER (PARTITION BY month) AS last FROM thirds) WHERE decile IN (1, last) GROUP BY 1, 2) JOIN blocks ON year(month) BETWEEN a0 AND z0 GROUP BY 1) USING (block)
+      LEFT JOIN (SELECT block, corr FROM ({_BODIES['fit_by_years']})) USING (block)""",
+    "rank_gap_names": "SELECT ticker, count(*) AS months, round(avg(gap), 6) AS mean_gap, count(*) FILTER (abs(ta - tb) = 2) AS crossings FROM gaps_of GROUP BY 1",
     "attributions": "SELECT factor, tag, n, round(beta_one * 12, 5) AS alpha, round(t_one, 5) AS t_alpha, " + ", ".join(f"round({p}_{n}, 5) AS {p}_{n}" for n in ("mkt_rf", "smb", "hml") for p in ("beta", "t"))
     + ", round(r2, 5) AS r2 FROM (" + oracles.least_squares("SELECT l.factor, l.tag, f.*, l.ret_gross AS y FROM runs_cw l JOIN factors f ON f.month = last_day((l.month + INTERVAL 1 MONTH)::DATE)", ["factor", "tag"], ["mkt_rf", "smb", "hml"], 2) + ")",
     "results_frame": "SELECT * FROM res",

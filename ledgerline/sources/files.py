@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import compact_date, parse_date
@@ -135,17 +135,15 @@ def primary_documents(pages: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select(F.col("z.accessionNumber").alias("adsh"), F.col("z.form").alias("form"), F.col("z.filingDate").try_cast("date").alias("filed"), F.col("z.primaryDocument").alias("document"))
 
 
-def monthly_block(text: str) -> list[tuple]:
-    """Rows (month, values…) of the first block of yyyymm lines of a factor file, percent as fractions."""
-    rows: list[tuple] = []
-    for line in text.splitlines():
-        parts = [p.strip() for p in line.split(",")]
-        if re.fullmatch(r"\d{6}", parts[0]):
-            end = pd.Period(f"{parts[0][:4]}-{parts[0][4:]}", "M").end_time.date()
-            rows.append((end, *(float(p) / 100 for p in parts[1:])))
-        elif rows:
-            break
-    return rows
+def monthly_block(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(path, month, names…) of the first block of yyyymm lines of factor files (path, text), percent as fractions; what is no number is null."""
+    lines = texts.select("path", F.posexplode(F.split("text", "\r\n|\n|\r", -1)).alias("at", "line")).withColumn("cells", F.split("line", ","))
+    months = lines.where(F.trim(F.get("cells", F.lit(0))).rlike("^\\d{6}$"))
+    order = Window.partitionBy("path").orderBy("at")
+    block = F.col("at") - F.row_number().over(order)
+    first = months.withColumn("block", block).withColumn("first", F.first("block").over(order)).where("block = first")
+    values = [(F.trim(F.get("cells", F.lit(i))).try_cast("double") / 100).alias(n) for i, n in enumerate(names, 1)]
+    return first.select("path", F.last_day(F.try_to_date(F.trim(F.get("cells", F.lit(0))), "yyyyMM")).alias("month"), *values)
 
 
 def dotted_series(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 from io import BytesIO
 from xml.etree import ElementTree
 from zipfile import ZipFile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,10 +145,31 @@ def sheet(content: bytes, name: str) -> list[dict[str, str]]:
     return out
 
 
-def dated_column(rows: list[dict[str, str]], column: str, name: str, spark: SparkSession) -> DataFrame:
-    """(month, name) of a sheet whose header row begins with DATE; rows without a date or a number are dropped."""
-    at = next(i for i, r in enumerate(rows) if "DATE" in r.values())
-    letters = {v: k for k, v in rows[at].items()}
-    cells = [(r.get(letters["DATE"]), r.get(letters[column])) for r in rows[at + 1 :]]
-    df = spark.createDataFrame(cells, "d string, v string")
-    return df.select(F.last_day(F.try_to_date("d", "M/d/yyyy")).alias("month"), F.col("v").try_cast("double").alias(name)).dropna()
+def sheet_cells(books: DataFrame, name: str) -> DataFrame:
+    """(path, row, letter, text): the cells of one sheet of each workbook (path, content), read in the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([(path, y, letter, text) for y, row in enumerate(sheet(bytes(content), name)) for letter, text in row.items()], columns=["path", "row", "letter", "text"])
+
+    return books.select("path", "content").mapInPandas(run, "path string, row long, letter string, text string")
+
+
+def dated_column(cells: DataFrame, column: str, name: str) -> DataFrame:
+    """(month, name) of sheets whose header is the first row with a cell DATE; rows without a date or a number are dropped."""
+    head = cells.where("text = 'DATE'").groupBy("path").agg(F.min("row").alias("head"))
+    titles = cells.join(head, "path").where("row = head").select("path", "head", "letter", "text")
+    date_at, value_at = (titles.where(F.col("text") == t).groupBy("path", "head").agg(F.min("letter").alias("letter")) for t in ("DATE", column))
+    pick = lambda at, out: cells.join(at, ["path", "letter"]).where("row > head").select("path", "row", F.col("text").alias(out))
+    rows = pick(date_at, "d").join(pick(value_at, "v"), ["path", "row"])
+    return rows.select(F.last_day(F.try_to_date("d", "M/d/yyyy")).alias("month"), F.col("v").try_cast("double").alias(name)).dropna()
+
+
+def tag_map_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(problem): what a new tag map breaks, both maps as (concept, tags, kind): tags may only be added at the end, and nothing may go."""
+    both = base.select("concept", F.col("tags").alias("old"), F.col("kind").alias("old_kind")).join(head.select("concept", "tags", "kind", F.lit(True).alias("held")), "concept", "left")
+    held = F.col("held").isNotNull()
+    moved = ~F.coalesce(F.slice("tags", F.lit(1), F.size("old")) == F.col("old"), F.lit(False))
+    found = [F.when(~held, "concept removed"), F.when(held & ~F.col("kind").eqNullSafe(F.col("old_kind")), "kind changed"), F.when(held & moved, "existing tags removed or reordered")]
+    return both.select("concept", F.explode(F.array_compact(F.array(*found))).alias("what")).select(F.concat("concept", F.lit(": "), "what").alias("problem"))

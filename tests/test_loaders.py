@@ -43,7 +43,9 @@ def test_quarters(spark):
 
 def test_workbook(spark):
     content = workbook("S", [["x"], ["DATE", "AUS", "USA"], ["01/31/2020", "1", "0.5"], ["02/29/2020", "1", ""], ["no", "1", "2"]])
-    assert [tuple(r) for r in tables.dated_column(tables.sheet(content, "S"), "USA", "bab", spark).collect()] == [(date(2020, 1, 31), 0.5)]
+    other = workbook("S", [["DATE", "USA", "AUS"], ["03/31/2021", "2.5", "1"], ["04/30/2021", "n/a", "1"]])
+    cells = tables.sheet_cells(spark.createDataFrame([("a", content), ("b", other)], "path string, content binary"), "S")
+    assert sorted(tuple(r) for r in tables.dated_column(cells, "USA", "bab").collect()) == [(date(2020, 1, 31), 0.5), (date(2021, 3, 31), 2.5)]
     with pytest.raises(ValueError, match="no sheet"):
         tables.sheet(content, "T")
 
@@ -167,3 +169,33 @@ def test_refresh_builds_stale_parts_only(spark, tmp_path):
     source.update(broken)
     assert run(a="1", b="3") == ([("a", 1), ("a", 2)], ["a"])  # a broken run's part is built again, under the old stamp too
     assert built[-1] == ["a"]
+
+
+def test_tag_map_changes_as_tables(spark):
+    kinds = "concept string, tags array<string>, kind string"
+    base = [("a", ["x", "y"], "flow"), ("b", ["x"], "stock"), ("c", ["z"], "flow"), ("d", ["p", "q"], "flow")]
+    head = [("a", ["x", "y", "w"], "flow"), ("b", ["x"], "flow"), ("d", ["q", "p"], None), ("e", ["n"], "flow")]
+    got = sorted(r[0] for r in tables.tag_map_changes(spark.createDataFrame(base, kinds), spark.createDataFrame(head, kinds)).collect())
+    as_dict = lambda rows: {n: (t, k) for n, t, k in rows}
+    assert got == ["b: kind changed", "c: concept removed", "d: existing tags removed or reordered", "d: kind changed"] == sorted(tables.tag_map_problems(as_dict(base), as_dict(head)))
+
+
+def test_a_broken_build_goes_on_where_it_failed(spark, tmp_path):
+    """Steps that ended are not done again; a changed step takes those that follow it with it."""
+    root, x = f"file://{tmp_path}/tree", spark.range(3).selectExpr("id AS x")
+    done = []
+
+    def run(middle, stamp=""):
+        tree = jobs.Tree(spark, root)
+        tree.step("a", lambda: done.append("a") or x, stamp=stamp)
+        tree.step("b", lambda: done.append("b") or middle(tree.read("a")), "a")
+        out = tree.step("c", lambda: done.append("c") or tree.read("b").where("x > 0"), "b")
+        tree.step("d", lambda: done.append("d") or x)
+        return sorted(r[0] for r in out.collect()), tree.built
+
+    with pytest.raises(Exception, match="nothing"):
+        run(lambda a: a.select("nothing"))
+    assert done == ["a", "b"]
+    assert run(lambda a: a.selectExpr("x + 1 AS x")) == ([1, 2, 3], ["b", "c", "d"])
+    assert run(lambda a: a) == ([1, 2, 3], [])  # nothing has changed its stamp
+    assert run(lambda a: a.where("x = 2"), "other") == ([2], ["a", "b", "c"])

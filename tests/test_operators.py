@@ -382,7 +382,8 @@ def test_files(spark, tmp_path):
     assert rows(files.facts_fallback(pages, "shares").select("cik", "qtrs", "value")) == [(1, 2, 7.0)]
     (tmp_path / "AAA.csv").write_text("Date,Open,Close,Adj Close,Volume\n2020-01-02,1,10,9.5,100\n2020-01-03,1,10,,100\n")
     assert rows(files.vendor_prices(spark, str(tmp_path / "AAA.csv"))) == [("AAA", D(2020, 1, 2), 10.0, 9.5, 100.0)]
-    assert files.monthly_block("header\n202001, 1.5, -2\n202002, 0, 1\n\n 2020, 9, 9\n") == [(D(2020, 1, 31), 0.015, -0.02), (D(2020, 2, 29), 0.0, 0.01)]
+    texts = spark.createDataFrame([("a", "header\n202001, 1.5, -2\n202002, 0, 1\n\n202003, 7, 7\n 2020, 9, 9\n"), ("b", "202005,x,3\r\n"), ("c", "none"), ("d", None)], "path string, text string")
+    assert rows(files.monthly_block(texts, ["x", "y"])) == [("a", D(2020, 1, 31), 0.015, -0.02), ("a", D(2020, 2, 29), 0.0, 0.01), ("b", D(2020, 5, 31), None, 0.03)]
 
 
 def test_streamed_first_filings(spark, tmp_path):

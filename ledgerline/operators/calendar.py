@@ -39,7 +39,9 @@ def shift_on_calendar(daily: DataFrame, dates: DataFrame, column: str, n: int, n
 
 
 def rebalance_dates(daily: DataFrame, lag_days: int, start: date, end: date) -> DataFrame:
-    """(month, t, t_exec): when weights are set and when they are traded."""
+    """(month, t, t_exec): when weights are set and when they are traded; the days are read once."""
     by_date = Window.orderBy("date")  # over the calendar alone
-    days = trading_days(daily).withColumn("t_exec", F.lead("date", lag_days).over(by_date))
-    return month_end_trading_days(daily, start, end).join(days, F.col("t") == F.col("date")).select("month", "t", "t_exec")
+    of_month = Window.partitionBy("month")
+    days = trading_days(daily).select("date", F.last_day("date").alias("month"), F.lead("date", lag_days).over(by_date).alias("t_exec"))
+    last = F.max(F.when(F.col("date").between(start, end), F.col("date"))).over(of_month)
+    return days.withColumn("t", last).where(F.col("date") == F.col("t")).select("month", "t", "t_exec")

@@ -14,6 +14,7 @@ from ledgerline.operators.asof import asof_backward, first_filed
 from ledgerline.operators.calendar import rebalance_dates
 from ledgerline.operators.intervals import era_at, member_panel
 from ledgerline.operators.shares import split_factor
+from ledgerline.sources.store import settled
 
 # What a live quote of a company looks like.
 US_EXCHANGES = ("NMS", "NYQ", "NGM", "NCM", "ASE", "PCX", "BTS")
@@ -64,12 +65,17 @@ def clean_daily(daily: DataFrame, membership: DataFrame, glitch: float = 2.0, co
     return kept, dropped
 
 
-def monthly_prices(daily: DataFrame, lag_days: int, start: date, end: date) -> DataFrame:
-    """(month, ticker, t, t_exec, px_me, px_exec): prices at month-end and at execution, either may be missing."""
-    when = rebalance_dates(daily, lag_days, start, end)  # a row a month
-    at = daily.join(F.broadcast(when), F.col("date") == F.col("t")).select("month", "ticker", F.col("adj_close").alias("px_me"))
-    done = daily.join(F.broadcast(when), F.col("date") == F.col("t_exec")).select("month", "ticker", F.col("adj_close").alias("px_exec"))
-    return at.join(done, ["month", "ticker"], "full").join(F.broadcast(when), "month").select("month", "ticker", "t", "t_exec", "px_me", "px_exec")
+def monthly_prices(daily: DataFrame, lag_days: int, start: date, end: date, when: DataFrame | None = None) -> DataFrame:
+    """(month, ticker, t, t_exec, px_me, px_exec): prices at month-end and at execution, either may be missing.
+
+    ``when`` are the rebalance dates if they are known; each day's prices meet them once.
+    """
+    when = settled(rebalance_dates(daily, lag_days, start, end), "when") if when is None else when
+    kinds = F.explode(F.array(F.struct(F.col("t").alias("date"), F.lit(True).alias("end")), F.struct(F.col("t_exec").alias("date"), F.lit(False).alias("end"))))
+    marks = F.broadcast(when.select("month", kinds.alias("k")).select("month", "k.*").where("date is not null"))  # two rows a month
+    price = lambda at: F.max(F.when(at, F.col("adj_close")))
+    both = daily.join(marks, "date").groupBy("month", "ticker").agg(price(F.col("end")).alias("px_me"), price(~F.col("end")).alias("px_exec"))
+    return both.join(F.broadcast(when), "month").select("month", "ticker", "t", "t_exec", "px_me", "px_exec")
 
 
 def dense(rows: DataFrame) -> DataFrame:
@@ -84,8 +90,8 @@ def monthly_returns(daily: DataFrame, lag_days: int, start: date, end: date) ->
     ``ret_fwd`` runs from this month's execution to the next one's; a series that
     ends in between earns up to its last print and is ``partial``.
     """
-    when = rebalance_dates(daily, lag_days, start, end).withColumn("t_next", F.lead("t_exec").over(Window.orderBy("month")))
-    rows = dense(monthly_prices(daily, lag_days, start, end).drop("t", "t_exec")).join(F.broadcast(when), "month")
+    when = settled(rebalance_dates(daily, lag_days, start, end).withColumn("t_next", F.lead("t_exec").over(Window.orderBy("month"))), "when")  # a row a month
+    rows = dense(monthly_prices(daily, lag_days, start, end, when.drop("t_next")).drop("t", "t_exec")).join(F.broadcast(when), "month")
     order = Window.partitionBy("ticker").orderBy("month")
     rows = rows.withColumns({"__me1": F.lead("px_me").over(order), "__ex1": F.lead("px_exec").over(order)})
     rows = asof_backward(rows, daily.select("ticker", F.col("date").alias("last_date"), F.col("adj_close").alias("last_px")), ["ticker"], "t_next", "last_date", ["last_date", "last_px"])

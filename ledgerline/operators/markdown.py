@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 _PLACE = re.compile(r"<!--cov:([\w.-]+)-->.*?<!--/cov-->", re.DOTALL)
 
@@ -38,3 +39,44 @@ def fill(text: str, values: dict[str, str]) -> str:
 def report(title: str, sections: dict[str, str]) -> str:
     """Sections under one title, in order; empty ones are left out."""
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{body}" for name, body in sections.items() if body)]) + "\n"
+
+
+def shown(value: Column, kind: str, digits: int) -> Column:
+    """A column as a report prints it: numbers with their digits, nothing as n/a."""
+    number = F.format_string(f"%.{digits}f", F.round(value.cast("double"), digits) + 0.0)
+    text = F.when(value.isNotNull() & ~F.isnan(value.cast("double")), number) if kind in ("double", "float") else value.cast("string")
+    return F.coalesce(text, F.lit("n/a"))
+
+
+def lines(df: DataFrame, order: list[str], digits: dict[str, int] | None = None) -> DataFrame:
+    """(at, line): a report's rows as a markdown table, the head at -1 and 0; ``digits`` by column, 2 if not given."""
+    kinds = dict(df.dtypes)
+    row = F.concat(F.lit("| "), F.array_join(F.array(*(shown(F.col(f"`{c}`"), kinds[c], (digits or {}).get(c, 2)) for c in df.columns)), " | "), F.lit(" |"))
+    body = df.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("at"), row.alias("line"))  # a report: a few rows
+    head = ["| " + " | ".join(x) + " |" for x in (df.columns, ["---"] * len(df.columns))]
+    return df.sparkSession.createDataFrame([(i - 1, x) for i, x in enumerate(head)], "at long, line string").unionByName(body)
+
+
+def document(title: str, sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, heading, at, line): a whole report, section by section; section 0 is the title."""
+    spark = next(iter(sections.values())).sparkSession
+    out = spark.createDataFrame([(0, title, 0, f"# {title}")], "section int, heading string, at long, line string")
+    for i, (heading, body) in enumerate(sections.items(), 1):
+        top = spark.createDataFrame([(i, heading, -2, f"## {heading}")], out.schema)
+        out = out.unionByName(top).unionByName(body.select(F.lit(i).alias("section"), F.lit(heading).alias("heading"), "at", "line"))
+    return out
+
+
+def filled(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(name, text): every marked figure of the texts (name, text) replaced by its value (key, value), marks kept.
+
+    A text is cut at its marks, the figures meet their values by key, and the pieces
+    are put together again; a mark without a value is an error.
+    """
+    mark = r"<!--cov:([\w.-]+)-->(?s:.*?)<!--/cov-->"
+    cut = texts.select("name", F.split("text", mark, -1).alias("between"), F.regexp_extract_all("text", F.lit(mark), F.lit(1)).alias("keys"))
+    marks = cut.select("name", F.posexplode("keys").alias("at", "key")).join(values.select("key", "value"), "key", "left")
+    known = F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("nothing computes "), F.col("key"))).cast("string")).otherwise(F.concat(F.lit("<!--cov:"), "key", F.lit("-->"), "value", F.lit("<!--/cov-->")))
+    found = marks.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", known.alias("v"))))["v"].alias("figures"))
+    pieces = F.transform("between", lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("figures"), i), F.lit(""))))
+    return cut.join(found, "name", "left").select("name", F.array_join(F.when(F.size("keys") == 0, F.col("between")).otherwise(pieces), "").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import intervals, portfolio, prices, runs, signals, speclog, stats
+from ledgerline.operators import intervals, markdown, portfolio, prices, runs, signals, speclog, stats
 from ledgerline.plans import oracles
 from ledgerline.plans.catalog import CFG, Market, _delistings, _exclusions, _until_removed, query, r
 from ledgerline.plans.oracles import ORACLES, VIEWS, _BODIES, _round, _simulation, _sql
@@ -131,6 +131,36 @@ def prose_figures(m: Market) -> DataFrame:
     return runs.figures(_results(m), "factor", FORMATS)
 
 
+RESULT_COLUMNS = ["factor", "net_ann", "sharpe_net", "max_drawdown", "breakeven_bps"]
+
+
+@query
+def report_document(m: Market) -> DataFrame:
+    """The report as lines of text: results, validation, variants and attribution, each a table."""
+    ls = _runs(m, *ALL)
+    two = settled(ls.where("tag in ('', 'cw')"), "two")
+    wanted = m.spark.createDataFrame(WANTED, "series string, benchmark string, threshold double")
+    validation = runs.validation(two, m.factors, wanted, ["mkt_rf", "smb", "hml"]).select("series", "benchmark", "correlation", "months", "passed")
+    variants = r(runs.variant_table(ls, TAGS), "base", *TAGS).select("factor", "base", *TAGS)
+    fit = r(stats.attribution(two, m.factors, ["mkt_rf", "smb", "hml"], ["factor", "tag"], lags=2), "alpha", "beta_mkt_rf", "r2", digits=5).select("factor", "tag", "alpha", "beta_mkt_rf", "r2")
+    return markdown.document("Results", {
+        "Results table": markdown.lines(_results(m).select(*RESULT_COLUMNS), ["factor"], {"net_ann": 4, "max_drawdown": 4, "breakeven_bps": 0}),
+        "Validation": markdown.lines(validation, ["series", "benchmark"], {"correlation": 4}),
+        "Variants (net Sharpe)": markdown.lines(variants, ["factor"]),
+        "Attribution": markdown.lines(fit, ["factor", "tag"], {"alpha": 4}),
+    })
+
+
+@query
+def filled_text(m: Market) -> DataFrame:
+    """A paragraph for each factor with marked figures, old numbers in them, and one without any."""
+    figures = settled(runs.figures(_results(m), "factor", FORMATS), "figures")
+    factor = F.regexp_extract("name", "^sharpe_net_(.*)$", 1)
+    texts = figures.where("name like 'sharpe_net_%'").select(factor.alias("name"), F.concat(F.lit("Of "), factor, F.lit(": net <!--cov:net_ann_"), factor, F.lit("-->9\n9<!--/cov-->%, Sharpe <!--cov:sharpe_net_"), factor, F.lit("--><!--/cov-->.")).alias("text"))
+    plain = m.spark.createDataFrame([("none", "No figure <!--cov--> here.")], "name string, text string")
+    return markdown.filled(texts.unionByName(plain), figures.select(F.col("name").alias("key"), F.col("text").alias("value")))
+
+
 @query
 def factor_cards(m: Market) -> DataFrame:
     """The results as the page shows them: percent, two digits."""
@@ -268,6 +298,13 @@ for _factor, _z, _zn in (("momentum", "z", "zn"), ("reversal", "rz", "rz")):
         _SERIES.append((_factor, _v.tag))
 
 
+def _table_sql(section: int, heading: str, source: str, cols: list[str], digits: dict[str, int], order: str) -> str:
+    cell = [f"coalesce(printf('%.{digits[c]}f', round({c}, {digits[c]})::DOUBLE + 0.0), 'n/a')" if c in digits else f"coalesce({c}::VARCHAR, 'n/a')" for c in cols]
+    head = [(-2, f"## {heading}"), (-1, "| " + " | ".join(cols) + " |"), (0, "| " + " | ".join(["---"] * len(cols)) + " |")]
+    fixed = " UNION ALL ".join(f"SELECT {section}, '{heading}', {at}::BIGINT, '{line}'" for at, line in head)
+    return f"{fixed} UNION ALL SELECT {section}, '{heading}', row_number() OVER (ORDER BY {order}), '| ' || {" || ' | ' || ".join(cell)} || ' |' FROM {source}"
+
+
 def _union(*tags: str) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS factor, '{t}' AS tag, month, ret_gross, turnover, ret_net FROM ls_{f}_{t or 'base'}" for f, t in _SERIES if t in tags)
 
@@ -338,6 +375,13 @@ BODIES: dict[str, str] = {
     "results_frame": "SELECT * FROM res",
     "factor_report": "SELECT * FROM res WHERE factor = 'momentum'",
     "prose_figures": " UNION ALL ".join(f"SELECT '{c}_' || factor AS name, printf('%.{d}f', round({c} * {by}, {d})) AS text FROM res WHERE {c} IS NOT NULL" for c, (d, by) in FORMATS.items()),
+    "report_document": f"""SELECT 0 AS section, 'Results' AS heading, 0::BIGINT AS at, '# Results' AS line
+      UNION ALL {_table_sql(1, 'Results table', 'res', RESULT_COLUMNS, {"net_ann": 4, "sharpe_net": 2, "max_drawdown": 4, "breakeven_bps": 0}, 'factor')}
+      UNION ALL {_table_sql(2, 'Validation', 'validated', ["series", "benchmark", "correlation", "months", "passed"], {"correlation": 4}, 'series, benchmark')}
+      UNION ALL {_table_sql(3, 'Variants (net Sharpe)', '(SELECT factor, ' + ", ".join(f"round(max(s) FILTER (tag = '{t}'), 6) AS {t or 'base'}" for t in ["", *TAGS]) + f" FROM (SELECT factor, tag, {_SHARPE.format('ret_net')} AS s FROM runs_all GROUP BY 1, 2) GROUP BY 1)", ["factor", "base", *TAGS], {t: 2 for t in ("base", *TAGS)}, 'factor')}
+      UNION ALL {_table_sql(4, 'Attribution', '(SELECT factor, tag, round(beta_one * 12, 5) AS alpha, round(beta_mkt_rf, 5) AS beta_mkt_rf, round(r2, 5) AS r2 FROM (' + oracles.least_squares("SELECT l.factor, l.tag, f.*, l.ret_gross AS y FROM runs_cw l JOIN factors f ON f.month = last_day((l.month + INTERVAL 1 MONTH)::DATE)", ["factor", "tag"], ["mkt_rf", "smb", "hml"], 2) + '))', ["factor", "tag", "alpha", "beta_mkt_rf", "r2"], {"alpha": 4, "beta_mkt_rf": 2, "r2": 2}, 'factor, tag')}""",
+    "filled_text": """SELECT factor AS name, 'Of ' || factor || ': net <!--cov:net_ann_' || factor || '-->' || printf('%.1f', round(net_ann * 100, 1)) || '<!--/cov-->%, Sharpe <!--cov:sharpe_net_' || factor || '-->' || printf('%.2f', round(sharpe_net, 2)) || '<!--/cov-->.' AS text FROM res
+      UNION ALL SELECT 'none', 'No figure <!--cov--> here.'""",
     "factor_cards": "SELECT factor, round(gross_ann * 100, 1) AS gross, round(net_ann * 100, 1) AS net, round(sharpe_net, 2) AS sharpe, round(max_drawdown * 100, 0)::INTEGER AS mdd, round(mean_ic, 3) AS ic, CASE WHEN breakeven_bps >= 0 THEN printf('%.0f bp', round(breakeven_bps, 0)) ELSE 'none' END AS be FROM res",
     "exclusion_counts": """SELECT (SELECT count(*) FROM members WHERE k % 6 = 0) AS windows, (SELECT count(DISTINCT ticker) FROM members WHERE k % 6 = 0) AS names, count(*) AS member_months, count(p) AS priced_member_months FROM (SELECT e.month, e.ticker, m.p FROM excluded e JOIN panel USING (month, ticker) LEFT JOIN (SELECT month, ticker, 1 AS p FROM monthly) m USING (month, ticker))""",
     "cap_shares": "SELECT year(month)::INTEGER AS year, round(avg(s) * 100, 4) AS share_pct FROM (SELECT month, count(cap)::DOUBLE / count(*) AS s FROM panel LEFT JOIN caps USING (month, ticker) GROUP BY 1) GROUP BY 1",

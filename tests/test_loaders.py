@@ -199,3 +199,18 @@ def test_a_broken_build_goes_on_where_it_failed(spark, tmp_path):
     assert run(lambda a: a.selectExpr("x + 1 AS x")) == ([1, 2, 3], ["b", "c", "d"])
     assert run(lambda a: a) == ([1, 2, 3], [])  # nothing has changed its stamp
     assert run(lambda a: a.where("x = 2"), "other") == ([2], ["a", "b", "c"])
+
+
+def test_figures_are_filled_by_key(spark):
+    texts = spark.createDataFrame([("a", "x <!--cov:k-->old\nold<!--/cov--> y <!--cov:n.1--><!--/cov-->"), ("b", "plain"), ("c", "")], "name string, text string")
+    values = spark.createDataFrame([("k", "1.5"), ("n.1", "$2\\"), ("unused", "9")], "key string, value string")
+    got = {r["name"]: r["text"] for r in markdown.filled(texts, values).collect()}
+    assert got == {r["name"]: markdown.fill(r["text"], {"k": "1.5", "n.1": "$2\\"}) for r in texts.collect()}
+    with pytest.raises(Exception, match="nothing computes k"):
+        markdown.filled(texts, values.where("key <> 'k'")).collect()
+
+
+def test_report_lines(spark):
+    df = spark.createDataFrame([("b", 1.235, None), ("a", float("nan"), 3), (None, -0.001, 4)], "f string, x double, n int")
+    doc = markdown.document("T", {"One": markdown.lines(df, ["f"]), "Two": markdown.lines(df.limit(0), ["f"], {"x": 1})})
+    assert [r["line"] for r in doc.orderBy("section", "at").collect()] == ["# T", "## One", "| f | x | n |", "| --- | --- | --- |", "| n/a | 0.00 | 4 |", "| a | n/a | 3 |", "| b | 1.24 | n/a |", "## Two", "| f | x | n |", "| --- | --- | --- |"]

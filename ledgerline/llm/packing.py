@@ -13,8 +13,8 @@ bins of one parent into the other, removes the bins that then hold an item
 twice, and best-fits the displaced items by decreasing length. Fewer bins are
 better; of as many, those whose room is gathered in the fewest bins, so that fewer
 pieces climb to the next level. Every island breeds ``GENERATIONS`` children in
-every epoch, at the lower bound too, where only the second aim is left; each
-starts from best fit of a shuffled decreasing order.
+every epoch, at the lower bound too, where only the second aim is left; an island
+above the bound is widened and breeds on as long as that helps. Each starts from best fit of a shuffled decreasing order.
 
 Edge cases: null or empty text is one piece that holds only the end token; equal
 lengths and repeated rows are told apart by a row id; a document longer than
@@ -43,6 +43,8 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_ITEMS = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
+#: An island above the lower bound: its population, children without a better one until it rests, and children at most.
+WIDE, PATIENCE, MOST = 16, 120, 1200
 MAX_LEVELS = 8
 #: Units whose tokens one worker remembers before it starts afresh.
 CACHE_UNITS = 600_000
@@ -251,22 +253,37 @@ def mutate(a: Bins, size: list[int], dice: random.Random) -> Bins:
 
 
 def evolve(size: list[int], capacity: int, seed: int, immigrants: list[np.ndarray], population: int, generations: int) -> Bins:
-    """The best grouping of one island after an epoch of ``generations`` crossovers."""
+    """The best grouping of one island after an epoch of ``generations`` crossovers.
+
+    Above the lower bound the island is widened and breeds on, until it reaches the
+    bound or ``PATIENCE`` children in a row were no better than the best, ``MOST`` at most.
+    """
     dice = random.Random(seed)
     down = sorted(range(len(size)), key=lambda i: (-size[i], i))
+    least = -(-sum(size) // capacity)
     pool = [Bins.of(x, size, capacity) for x in immigrants]
-    while len(pool) < population:
-        noise = 0.02 * len(pool)
-        order = sorted(down, key=lambda i: (-size[i] * (1 - noise + 2 * noise * dice.random()), i))
-        pool.append(Bins(capacity).place(order, size))
-    for _ in range(generations if len(pool) > 1 else 0):
+
+    def widen(to: int) -> None:
+        while len(pool) < to:
+            noise = 0.02 * len(pool)
+            order = sorted(down, key=lambda i: (-size[i] * (1 - noise + 2 * noise * dice.random()), i))
+            pool.append(Bins(capacity).place(order, size))
+
+    widen(population)
+    best = min(p.cost for p in pool)
+    if best[0] > least and population > 1:
+        widen(WIDE)
+    bred = idle = 0
+    while len(pool) > 1 and (bred < generations or (best[0] > least and idle < PATIENCE and bred < MOST)):
         pool.sort(key=lambda p: p.cost)
         a, b = dice.sample(pool, 2)
         child = crossover(a, b, size, dice)
         if dice.random() < 0.5:
             child = mutate(child, size, dice)
-        if child.cost < pool[-1].cost:
+        if child.cost < pool[-1].cost and all(child.cost != p.cost for p in pool):  # equal costs are mostly equal groupings
             pool[-1] = child
+        bred, idle = bred + 1, 0 if child.cost < best else idle + 1
+        best = min(best, child.cost)
     return min(pool, key=lambda p: p.cost)
 
 

@@ -106,3 +106,21 @@ def test_every_island_breeds_and_never_pays_for_it(monkeypatch):
         assert len(calls) - before == 3 * packing.GENERATIONS
         assert sorted(i for own in best.items for i in own) == list(range(1500))
         assert best.cost <= min(first.cost, other.cost) and first.cost <= plain.cost
+
+
+def test_breeding_beats_best_fit(spark):
+    """Triples that fill a bin exactly: best fit of decreasing lengths is above the bound, the islands come nearer to it."""
+    for seed in range(3):
+        dice = random.Random(seed)
+        size = []
+        for _ in range(60):
+            a = dice.randint(1556, 2007)
+            b = dice.randint((4096 - a) * 42 // 100, (4096 - a) // 2)
+            size += [a, b, 4096 - a - b]
+        down = sorted(range(len(size)), key=lambda i: (-size[i], i))
+        plain = packing.Bins(4096).place(down, size)
+        best = packing.evolve(size, 4096, seed, [], packing.POPULATION, packing.GENERATIONS)
+        assert sorted(i for own in best.items for i in own) == list(range(180)) and max(best.fill) <= 4096
+        assert 60 <= len(best.fill) <= len(plain.fill) - 3
+    packed = rows(packing.pack(spark.createDataFrame(list(enumerate(size)), "rid long, length long")).select("sequence_id").distinct())
+    assert len(packed) <= len(plain.fill) - 3

@@ -111,6 +111,19 @@ def ingest(tree: Tree, zips_uri: str, tags: dict[str, tuple[list[str], str]], fo
     return incremental.refresh(tree.spark, tree.uri("facts"), wanted, build)
 
 
+def ingest_index(tree: Tree, zips_uri: str, version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """The index of annual reports of all quarterly zip files, each report once, and the quarters that were read now."""
+    wanted = incremental.file_stamps(tree.spark, f"{zips_uri}/*.zip", r"([^/]+)\.zip$", f"index {version}")
+
+    def build(stale: DataFrame) -> DataFrame:
+        paths = [r["path"] for r in stale.select("path").collect()]  # one a quarter
+        sub, _ = files.tab_lines(zips.zip_lines(tree.spark, paths, r"^sub\.txt$"), files.SUB, ("path",))
+        return files.filing_index(sub.withColumn("part", F.regexp_extract("path", r"([^/]+)\.zip$", 1)), ("part",))
+
+    held, now = incremental.refresh(tree.spark, tree.uri("index"), wanted, build)
+    return held.drop("part").dropDuplicates(["adsh"]), now
+
+
 def filer_map(tree: Tree, members: DataFrame, filers: DataFrame, tickers: DataFrame, current: DataFrame, overrides: DataFrame | None = None, stamp: str = "") -> DataFrame:
     """(ticker, start, end, cik): the filer of each name, eras written by hand in place of the match; the whole log of matches is kept."""
     log = tree.step("cik_log", lambda: sectors.cik_map(members, filers, tickers, current), stamp=stamp)

@@ -125,6 +125,27 @@ def ingested_quarters(m: Market) -> DataFrame:
     return r(held.groupBy("part").agg(F.count("*").alias("n"), F.sum("value").alias("total")).join(times.groupBy("part").agg(F.sum("k").alias("times")), "part"), "total", digits=2)
 
 
+@query
+def ingested_index(m: Market) -> DataFrame:
+    """The index read from all quarterly files, and again from none of them."""
+    tree, uri = jobs.Tree(m.spark, new_table(m.spark, "build")), _quarterly(m)
+    jobs.ingest_index(tree, uri)
+    held, again = jobs.ingest_index(tree, uri)
+    if not again.isEmpty():
+        raise AssertionError("unchanged files were read again")
+    return held
+
+
+@query
+def second_prices(m: Market) -> DataFrame:
+    """The optional second source: none before it has been stored, then its rows without stamps."""
+    uri = new_table(m.spark, "second")
+    if tables.optional(m.spark, uri) is not None:
+        raise AssertionError("a source that was never stored has rows")
+    m.second.withColumn("as_of", F.lit("2020-01-01")).write.parquet(uri)
+    return tables.optional(m.spark, uri)
+
+
 @query
 def filing_index(m: Market) -> DataFrame:
     return files.filing_index(_filed(m)[1])
@@ -598,6 +619,8 @@ BODIES: dict[str, str] = {
     "zip_members": f"SELECT part, count(*) + count(*) FILTER ({_KEY} % 13 = 0) AS lines, count(*) FILTER ({_KEY} % 13 = 0) AS malformed FROM (SELECT *, year(filed)::VARCHAR || 'q' || quarter(filed)::VARCHAR AS part FROM filings) GROUP BY 1",
     "ingested_quarters": f"""SELECT part, count(*) AS n, round(sum(value * CASE WHEN part = '{CHANGED}' THEN 2 ELSE 1 END), 2) AS total, CASE WHEN part = '{CHANGED}' THEN 3 ELSE 2 END::BIGINT AS times
       FROM (SELECT *, year(filed)::VARCHAR || 'q' || quarter(filed)::VARCHAR AS part FROM filings) WHERE form IN ('10-K', '10-Q') AND {_KEY} % 7 <> 0 AND {_KEY} % 11 <> 0 GROUP BY 1""",
+    "ingested_index": "SELECT adsh, cik, form, ddate AS period, fy, filed, filed + INTERVAL 16 HOUR + INTERVAL 30 MINUTE AS accepted, 'i' || adsh || '.xml' AS instance FROM filings WHERE form = '10-K'",
+    "second_prices": "SELECT ticker, date, close, volume, adj_close FROM second",
     "filing_index": "SELECT adsh, cik, form, ddate AS period, fy, filed, filed + INTERVAL 16 HOUR + INTERVAL 30 MINUTE AS accepted, 'i' || adsh || '.xml' AS instance FROM filings WHERE form = '10-K'",
     "facts_floats": "SELECT cik, accn AS adsh, ddate, filed, form, val AS value, fy FROM factpages WHERE form LIKE '10-K%' AND val > 0",
     "facts_covers": "SELECT cik, accn AS adsh, ddate, filed, form, val AS value, fy FROM factpages WHERE val > 0",

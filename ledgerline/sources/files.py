@@ -89,10 +89,10 @@ def tab_lines(lines: DataFrame, schema: str, keep: tuple[str, ...] = ()) -> tupl
     return rows, parts.groupBy("path").agg(F.count_if(~F.col("whole")).alias("malformed"))
 
 
-def filing_index(sub: DataFrame) -> DataFrame:
-    """(adsh, cik, form, period, fy, filed, accepted, instance) of original annual reports."""
+def filing_index(sub: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(adsh, cik, form, period, fy, filed, accepted, instance) of original annual reports, with columns of ``sub`` to ``keep``."""
     rows = sub.where(F.col("form").isin("10-K", "10-KT"))
-    return rows.select("adsh", F.col("cik").try_cast("bigint").alias("cik"), "form", compact_date("period").alias("period"), F.col("fy").try_cast("int").alias("fy"), compact_date("filed").alias("filed"), F.expr("try_to_timestamp(substr(accepted, 1, 19))").cast("timestamp_ntz").alias("accepted"), "instance").dropDuplicates(["adsh"])
+    return rows.select("adsh", F.col("cik").try_cast("bigint").alias("cik"), "form", compact_date("period").alias("period"), F.col("fy").try_cast("int").alias("fy"), compact_date("filed").alias("filed"), F.expr("try_to_timestamp(substr(accepted, 1, 19))").cast("timestamp_ntz").alias("accepted"), "instance", *keep).dropDuplicates(["adsh"])
 
 
 def company_facts(pages: DataFrame, unit: str, json_col: str = "json") -> DataFrame:

@@ -44,7 +44,7 @@ END_ID = 1
 SHARD_ITEMS = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: An island above the lower bound: its population, children without a better one until it rests, and children at most.
-WIDE, PATIENCE, MOST = 16, 120, 1200
+WIDE, PATIENCE, MOST = 8, 60, 400
 MAX_LEVELS = 8
 #: Units whose tokens one worker remembers before it starts afresh.
 CACHE_UNITS = 600_000

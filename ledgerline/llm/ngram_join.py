@@ -17,7 +17,8 @@ nothing. Small buckets compare all pairs; trees work in larger ones.
 Steps: (1) collapse documents with equal sets; (2) list the leading shingles of
 each class and keep those that two classes hold; classes that hold the same one
 meet in parts first, and a part with more than ``RUN`` of them is linked to one of
-its own, which alone goes on, so no task gets a whole hot shingle; (3) in each
+its own, which alone goes on, so no task gets a whole hot shingle; what meets such
+a one is linked to it without a bound, as those it stands for may be near; (3) in each
 bucket that is left, a tree finds the pairs that the bound allows; where sets are
 large, what it puts together must pass trees over finer points; of large buckets a
 spanning forest is kept; (4) the connected parts are gathered in chunks of about
@@ -280,33 +281,43 @@ def _batches(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names)
 
 
-def _runs_linked(run: int):
-    """Of rows (g, node), dealt by g and a salt: the rows, but of more than ``run`` of one g only the first, and its links to the others.
+def _rows_and_links(g: np.ndarray, node: np.ndarray, marked: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (g, node, other), where ``other`` is null, or the node itself in a marked row; and distinct links, whose g is null."""
+    for at in range(0, len(g), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(g[part]), pa.array(node[part]), pa.array(node[part], mask=~marked[part])], ["g", "node", "other"])
+    links = np.unique(np.stack([a, b]), axis=1)
+    for batch in _batches(["node", "other"], links[0], links[1]):
+        yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(0), batch.column(1)], ["g", "node", "other"])
 
-    A link is a row whose g is null: (node, other).
-    """
+
+def _runs_linked(run: int):
+    """Of rows (g, node), dealt by g and a salt: the rows, but of more than ``run`` of one g only the first, marked, and its links to the others."""
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, node, starts = _held(batches)
         size = np.diff(np.concatenate([starts, [len(g)]]))
-        of = np.repeat(size, size)
+        large = np.repeat(size, size) > run
         first = np.repeat(starts, size)
-        kept = (of <= run) | (np.arange(len(g)) == first)
-        for batch in _batches(["g", "node"], g[kept], node[kept]):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.int64())], ["g", "node", "other"])
-        links = np.unique(np.stack([node[first[~kept]], node[~kept]]), axis=1)
-        for batch in _batches(["node", "other"], links[0], links[1]):
-            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(0), batch.column(1)], ["g", "node", "other"])
+        kept = ~large | (np.arange(len(g)) == first)
+        yield from _rows_and_links(g[kept], node[kept], large[kept], node[first[~kept]], node[~kept])
 
     return collapse
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, node), dealt by g, those whose g at least two nodes hold."""
-    g, node, _ = _held(batches)
-    same = g[1:] == g[:-1]
-    keep = np.concatenate([np.zeros(min(1, len(g)), bool), same]) | np.concatenate([same, np.zeros(min(1, len(g)), bool)])
-    yield from _batches(["g", "node"], g[keep], node[keep])
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, node, other), dealt by g, those whose g at least two nodes hold; where a row is marked, links of all nodes of its g instead.
+
+    A marked row stands for others, which may be near to what it is not near to
+    itself: no bound may keep it from meeting the rest.
+    """
+    held = [b for b in batches if b.num_rows]
+    g, node, starts = _held(iter(held))
+    size = np.diff(np.concatenate([starts, [len(g)]]))
+    first = np.repeat(starts, size)
+    hot = np.isin(g, np.concatenate([g[:0], *(b.column(0).filter(b.column(2).is_valid()).to_numpy(zero_copy_only=False) for b in held)]))
+    kept, linked = (np.repeat(size, size) > 1) & ~hot, hot & (np.arange(len(g)) != first)
+    yield from _rows_and_links(g[kept], node[kept], np.zeros(int(kept.sum()), bool), node[first[linked]], node[linked])
 
 
 def _candidates(percent: int):
@@ -449,10 +460,10 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     salts = max(4, math.isqrt(classes.count()) // 64)
     leading = points.select(F.explode("leading").alias("g"), "node").repartition(F.col("g"), F.pmod(F.xxhash64("node"), F.lit(salts)))
     parts = written(leading.mapInArrow(_runs_linked(RUN), "g long, node long, other long"), "leading")
-    runs = parts.where("g is null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    meets = parts.where("g is not null").select("g", "node").repartition("g").mapInArrow(_shared_only, "g long, node long")
+    meets = written(parts.where("g is not null").repartition("g").mapInArrow(_met, "g long, node long, other long"), "meets")
+    runs = parts.unionByName(meets).where("g is null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     once = points.select("node", "n", "point").dropDuplicates(["node"])
-    buckets = written(meets, "meets").join(once, "node").select("g", "node", "n", "point").repartition("g")
+    buckets = meets.where("g is not null").join(once, "node").select("g", "node", "n", "point").repartition("g")
     found = written(buckets.mapInArrow(_candidates(percent), "kind long, a long, b long").groupBy("kind", "a", "b").agg(F.count("*").alias("times")), "pairs")
     fine = points.select("node", "n", "point", "fine").dropDuplicates(["node"])
     left, right = (fine.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in "ab")

@@ -146,3 +146,22 @@ def test_rows_that_share_an_id(spark):
     docs = [(1, text("a")), (1, text("b")), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c", 31)), (3, text("b") + " x")]
     got = sorted(rows(ngram_join.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"))), key=str)
     assert got == brute(docs)
+
+
+def test_links_across_the_parts_of_a_hot_shingle(spark, monkeypatch):
+    """Pairs that meet on one hot shingle only, in parts of it whose own leaders are unlike."""
+    monkeypatch.setattr(ngram_join, "RUN", 9)
+    dice = random.Random(8)
+    pool = [f"p{i}" for i in range(30)]
+    texts = [[f"a{i}", f"b{i}", *dice.sample(pool, 7)] for i in range(300)] + [[f"c{i}", "hot", *dice.sample(pool, 7)] for i in range(40)]
+    want = [(i, 9, i) for i in range(340)]
+    for i in range(340, 360, 2):
+        same = dice.sample(pool, 7)
+        texts += [[f"d{i}", "hot", *same], [f"e{i}", "hot", *same]]
+        want += [(i, 9, i), (i + 1, 9, i)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all parts come into one task
+    try:
+        assert sorted(rows(ngram_join.similar_classes(docs, k=1))) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

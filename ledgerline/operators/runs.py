@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config
@@ -197,5 +197,9 @@ def results(ls: DataFrame, z: DataFrame, monthly: DataFrame, members: DataFrame,
 
 def figures(rows: DataFrame, key: str, formats: dict[str, tuple[int, float]]) -> DataFrame:
     """(name, text): every number of a wide table as text; ``formats`` has the digits and the factor of each column."""
-    cells = [F.struct(F.concat(F.lit(f"{c}_"), F.col(key)).alias("name"), F.format_string(f"%.{d}f", F.round(F.col(c) * by, d)).alias("text")) for c, (d, by) in formats.items()]
-    return rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("text <> 'null'")
+    def rounded(x: Column, d: int) -> Column:
+        """Rounded by scaling, with the sign of what rounds to zero, as printf shows it."""
+        return F.signum(x) * (F.round(F.abs(x) * 10.0**d) / 10.0**d)
+
+    cells = [F.struct(F.concat(F.lit(f"{c}_"), F.col(key)).alias("name"), F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", rounded(F.col(c) * by, d))).alias("text")) for c, (d, by) in formats.items()]
+    return rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("text is not null")

@@ -414,3 +414,15 @@ def test_float_check_broadcasts_nothing_that_grows(spark):
     plan = check._jdf.queryExecution().sparkPlan().toString()
     sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in sides if "month" in line or "cik" in line or "float_date" in line], sides
+
+
+def test_figures_keep_the_sign_of_zero_and_round_as_printf(spark):
+    import duckdb
+
+    from ledgerline.operators import runs
+
+    values = [-0.0004, -0.00049, 0.0, 0.0004, 0.1235, 0.28745, -0.28745, 0.28755, None]
+    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate(values)], "factor string, x double")
+    got = {r["name"]: r["text"] for r in runs.figures(rows, "factor", {"x": (1, 100.0)}).collect()}
+    want = {f"x_{i}": duckdb.execute("SELECT printf('%.1f', round(?::DOUBLE * 100.0, 1))", [x]).fetchall()[0][0] for i, x in enumerate(values) if x is not None}
+    assert got == want
